@@ -236,6 +236,30 @@ def q_weekly_demand_vs_forecast(spark, sf_dir, cfg: PlanConfig = DEFAULT):
         "sum_demand", "sum_context_aware_forecast", "sum_traditional_forecast"))
 
 
+# ---------------------------------------------------------------- model (rows-only check)
+
+
+def q_gbt_forecast(spark, sf_dir, cfg: PlanConfig = DEFAULT):
+    from ..operators.forecast import gbt_forecasts
+
+    return finish(gbt_forecasts(weekly_demand(spark, sf_dir), cfg))
+
+
+def q_context_plan_gbt(spark, sf_dir, cfg: PlanConfig = DEFAULT):
+    from ..operators.forecast import gbt_forecasts
+
+    demand, _, _, _, params = _params(spark, sf_dir, cfg)
+    return finish(policy.context_plan(gbt_forecasts(demand, cfg), params, cfg))
+
+
+def q_gbt_accuracy(spark, sf_dir, cfg: PlanConfig = DEFAULT):
+    from ..operators.forecast import gbt_forecasts
+
+    demand, items = load_inputs(spark, sf_dir)
+    settled = panel.policy_panel(demand, items, cfg, forecasts=gbt_forecasts(demand, cfg))
+    return finish(compare.forecast_accuracy(settled))
+
+
 QUERIES: dict[str, Query] = {
     "weekly_demand": q_weekly_demand,
     "item_info": q_item_info,
@@ -268,4 +292,7 @@ QUERIES: dict[str, Query] = {
     "weekly_inventory": q_weekly_inventory,
     "weekly_stockouts": q_weekly_stockouts,
     "weekly_demand_vs_forecast": q_weekly_demand_vs_forecast,
+    "gbt_forecast": q_gbt_forecast,
+    "context_plan_gbt": q_context_plan_gbt,
+    "gbt_accuracy": q_gbt_accuracy,
 }
