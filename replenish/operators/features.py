@@ -1,10 +1,10 @@
 """Model features: calendar, lags, trailing mean, external signals.
 
-The window is partitioned by (category, product_id): the product decides the
-category, so the result is the reference's per-product window, and having
-the category among the keys lets a later category filter reach the scan. One
-product holds at most one row per week, so a window partition is bounded by
-the length of the calendar however the sales are skewed.
+The window is partitioned by ``product_id`` alone, the key every later join
+and aggregate of the planning steps uses, so the planner can keep one hash
+partitioning from the demand roll-up to the settlement. One product holds at
+most one row per week, so a window partition is bounded by the length of the
+calendar however skewed the sales are.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ MA_COLUMN = "demand_ma_4"
 
 
 def product_window():
-    return Window.partitionBy("category", "product_id").orderBy("date")
+    return Window.partitionBy("product_id").orderBy("date")
 
 
 def history_columns(demand: str = "demand") -> dict[str, Column]:

@@ -1,23 +1,34 @@
-"""Both policies planned and settled in one pass.
-
-The reference builds the baseline and the context-aware plan separately,
-joins each to the item master, settles each, and aggregates each — every
-step twice, each re-reading the source. Here the test rows are joined to
-the product parameters once, both policies are computed side by side as
-columns, and a ``stack`` turns them into a long frame tagged by ``policy``.
-Every comparison (D18-D22, V8-V16) is then a single aggregate over that
-frame, so the expensive upstream (the line-item roll-up) is read once.
+"""Both policies planned and settled in one pass over the demand history.
+
+The reference builds the baseline and the context-aware plan separately:
+per-product statistics by a group-by, joined back to the test rows, each
+plan joined to the item master, settled, and aggregated — every step twice,
+each re-reading the source. Here one window over the history (partitioned
+by product, ordered by date) yields in a single sort both the lag features
+and, through whole-partition frames restricted to training rows, the
+per-product statistics. The test rows are then joined to the item costs
+once, both policies are computed side by side as columns, and a ``stack``
+turns them into a long frame tagged by ``policy``. Every comparison
+(D18-D22, V8-V16) is a single aggregate over that frame, so the expensive
+upstream (the line-item roll-up) is read once per query.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, PlanConfig
+from ..functions import policy_math as pm
 from ..functions.settlement import SETTLEMENT_COLUMNS, settlement_columns
 from . import features, split
-from .policy import baseline_columns, context_columns, product_params
+from .policy import (
+    BASELINE_PLAN_COLUMNS,
+    CONTEXT_PLAN_COLUMNS,
+    COST_COLUMNS,
+    baseline_columns,
+    context_columns,
+)
 
 TRADITIONAL = "Traditional"
 CONTEXT_AWARE = "Context Aware"
@@ -27,6 +38,24 @@ PANEL_KEYS = ("date", "product_id", "category", "actual_demand", "lead_time")
 PLAN_VALUES = ("forecast_demand", "safety_stock", "order_quantity", "required_inventory")
 
 
+def training_stats_columns(cfg: PlanConfig = DEFAULT) -> dict[str, Column]:
+    """Per-product training statistics as whole-partition window aggregates.
+
+    Same values as ``policy.product_stats`` (A1) but attached to every
+    history row without a group-by and a join back.
+    """
+    whole = features.product_window().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    is_train = split.train_filter(cfg)
+    d = F.when(is_train, F.col("demand"))
+    lt = F.when(is_train, F.col("lead_time"))
+    return {
+        "demand_avg": F.avg(d).over(whole),
+        "demand_std": F.stddev_samp(d).over(whole),
+        "lead_time_avg": F.avg(lt).over(whole),
+        "n_train": F.count(F.when(is_train, F.lit(1))).over(whole),
+    }
+
+
 def planning_rows(
     demand: DataFrame,
     items: DataFrame,
@@ -39,23 +68,32 @@ def planning_rows(
     forecast, e.g. from the boosted-tree model. Without it the trailing
     four-week mean over the whole history is used (deterministic), and a
     product with no earlier week falls back to its training mean.
+
+    A product without training rows, or missing from ``items``, gets no
+    rows — the inner-join semantics of the reference's parameter table.
     """
     hist = demand.filter(split.history_filter(cfg))
-    params = product_params(hist.filter(split.train_filter(cfg)), items, cfg).drop("category")
+    cols = training_stats_columns(cfg)
     if forecasts is None:
-        test = features.with_history(hist).filter(split.test_filter(cfg))
-        test = test.select(*demand.columns, F.col(features.MA_COLUMN).alias("model_forecast"))
-    else:
-        test = hist.filter(split.test_filter(cfg)).join(
+        cols["model_forecast"] = features.history_columns()[features.MA_COLUMN]
+    rows = hist.withColumns(cols).filter(split.test_filter(cfg) & (F.col("n_train") > 0))
+    if forecasts is not None:
+        rows = rows.join(
             forecasts.select("product_id", "date", F.col("forecast_demand").alias("model_forecast")),
             ["product_id", "date"],
             "left",
         )
-    rows = test.join(params, "product_id").withColumnRenamed("demand", "actual_demand")
-
+    rows = rows.join(items.select("product_id", *COST_COLUMNS), "product_id")
+    rows = rows.withColumnRenamed("demand", "actual_demand").withColumns(
+        {
+            "eoq": pm.eoq("demand_avg", "unit_cost", cfg.holding_rate, cfg.order_cost, cfg.periods_per_year),
+            "safety_stock": pm.safety_stock("demand_std", "lead_time_avg", cfg.service_level),
+        }
+    )
     base = baseline_columns()
     rows = rows.withColumns(
         {
+            "reorder_point": pm.reorder_point("demand_avg", "lead_time_avg", "safety_stock"),
             "t_forecast": base["forecast_demand"],
             "t_required": base["required_inventory"],
             "t_order": base["order_quantity"],
@@ -73,6 +111,59 @@ def planning_rows(
     )
 
 
+def history_with_forecasts(demand: DataFrame, items: DataFrame, cfg: PlanConfig = DEFAULT) -> DataFrame:
+    """Every demand row with both forecasts; NULL where no plan exists.
+
+    A row has a plan when it lies in the test window and its product has
+    training rows and an item record. One window pass over the demand and a
+    left join to the item keys — the source is read once, where joining the
+    demand to separately built plans would read it twice.
+    """
+    cols = training_stats_columns(cfg)
+    cols["model_forecast"] = features.history_columns()[features.MA_COLUMN]
+    keys = items.select("product_id", F.lit(True).alias("_has_item"))
+    rows = demand.withColumns(cols).join(keys, "product_id", "left")
+    planned = split.test_filter(cfg) & (F.col("n_train") > 0) & F.col("_has_item").isNotNull()
+    return rows.withColumns(
+        {
+            "t_forecast": F.when(planned, F.col("demand_avg")),
+            "c_forecast": F.when(planned, F.coalesce(F.col("model_forecast"), F.col("demand_avg"))),
+        }
+    )
+
+
+def baseline_from_rows(rows: DataFrame, keep_costs: bool = False) -> DataFrame:
+    """The traditional plan (D8 columns) out of ``planning_rows``."""
+    out = rows.select(
+        *[
+            {
+                "forecast_demand": F.col("t_forecast"),
+                "order_quantity": F.col("t_order"),
+                "required_inventory": F.col("t_required"),
+            }.get(c, F.col(c)).alias(c)
+            for c in BASELINE_PLAN_COLUMNS
+        ],
+        *(COST_COLUMNS if keep_costs else ()),
+    )
+    return out
+
+
+def context_from_rows(rows: DataFrame, keep_costs: bool = False) -> DataFrame:
+    """The context-aware plan (D14 columns) out of ``planning_rows``."""
+    return rows.select(
+        *[
+            {
+                "forecast_demand": F.col("c_forecast"),
+                "safety_stock": F.col("c_safety"),
+                "order_quantity": F.col("c_order"),
+                "required_inventory": F.col("c_required"),
+            }.get(c, F.col(c)).alias(c)
+            for c in CONTEXT_PLAN_COLUMNS
+        ],
+        *(COST_COLUMNS if keep_costs else ()),
+    )
+
+
 def policy_panel(
     demand: DataFrame,
     items: DataFrame,
@@ -83,8 +174,7 @@ def policy_panel(
     rows = planning_rows(demand, items, cfg, forecasts)
     stacked = rows.select(
         *PANEL_KEYS,
-        "unit_cost",
-        "stockout_cost_multiplier",
+        *COST_COLUMNS,
         F.stack(
             F.lit(2),
             F.lit(TRADITIONAL), "t_forecast", "safety_stock", "t_order", "t_required",

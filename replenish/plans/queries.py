@@ -74,31 +74,28 @@ def q_policy_params(spark, sf_dir, cfg: PlanConfig = DEFAULT):
     return finish(_params(spark, sf_dir, cfg)[4])
 
 
-def q_baseline_plan(spark, sf_dir, cfg: PlanConfig = DEFAULT):
-    _, _, _, test, params = _params(spark, sf_dir, cfg)
-    return finish(policy.baseline_plan(test, params))
+def _planning_rows(spark, sf_dir, cfg):
+    demand, items = load_inputs(spark, sf_dir)
+    return panel.planning_rows(demand, items, cfg)
 
 
-def _ma_predictions(demand, cfg):
-    """Test rows whose forecast is the trailing four-week mean (deterministic forecaster)."""
-    return features.test_features_carry(demand, cfg, signals=None).withColumn(
-        "forecast_demand", F.col(features.MA_COLUMN)
-    )
+def q_baseline_plan(spark, sf_dir, cfg: PlanConfig = DEFAULT):
+    return finish(panel.baseline_from_rows(_planning_rows(spark, sf_dir, cfg)))
 
 
 def q_context_plan(spark, sf_dir, cfg: PlanConfig = DEFAULT):
-    demand, _, _, _, params = _params(spark, sf_dir, cfg)
-    return finish(policy.context_plan(_ma_predictions(demand, cfg), params, cfg, fallback_to_mean=True))
+    """Context-aware plan with the deterministic forecaster (trailing four-week
+    mean over the history, falling back to the training mean)."""
+    return finish(panel.context_from_rows(_planning_rows(spark, sf_dir, cfg)))
 
 
 def q_settle_baseline(spark, sf_dir, cfg: PlanConfig = DEFAULT):
-    _, _, _, test, params = _params(spark, sf_dir, cfg)
-    return finish(settle.settle(policy.baseline_plan(test, params, keep_costs=True), cfg=cfg))
+    plan = panel.baseline_from_rows(_planning_rows(spark, sf_dir, cfg), keep_costs=True)
+    return finish(settle.settle(plan, cfg=cfg))
 
 
 def q_settle_context(spark, sf_dir, cfg: PlanConfig = DEFAULT):
-    demand, _, _, _, params = _params(spark, sf_dir, cfg)
-    plan = policy.context_plan(_ma_predictions(demand, cfg), params, cfg, keep_costs=True, fallback_to_mean=True)
+    plan = panel.context_from_rows(_planning_rows(spark, sf_dir, cfg), keep_costs=True)
     return finish(settle.settle(plan, cfg=cfg))
 
 
@@ -161,8 +158,7 @@ def _panel(spark, sf_dir, cfg):
 
 
 def q_kpi_baseline(spark, sf_dir, cfg: PlanConfig = DEFAULT):
-    _, _, _, test, params = _params(spark, sf_dir, cfg)
-    sim = settle.settle(policy.baseline_plan(test, params, keep_costs=True), cfg=cfg)
+    sim = settle.settle(panel.baseline_from_rows(_planning_rows(spark, sf_dir, cfg), keep_costs=True), cfg=cfg)
     return finish(sim.agg(*compare.kpi_aggregates()), money=MONEY)
 
 
@@ -206,13 +202,8 @@ def q_stockouts_inventory_over_time(spark, sf_dir, cfg: PlanConfig = DEFAULT):
     return finish(views.stockouts_inventory_over_time(_panel(spark, sf_dir, cfg)))
 
 
-def _rows(spark, sf_dir, cfg):
-    demand, items = load_inputs(spark, sf_dir)
-    return demand, panel.planning_rows(demand, items, cfg)
-
-
 def q_forecast_comparison(spark, sf_dir, cfg: PlanConfig = DEFAULT):
-    return finish(views.forecast_comparison(*_rows(spark, sf_dir, cfg)))
+    return finish(views.forecast_comparison(*load_inputs(spark, sf_dir), cfg))
 
 
 def q_service_level_by_category(spark, sf_dir, cfg: PlanConfig = DEFAULT):
@@ -232,7 +223,7 @@ def q_weekly_stockouts(spark, sf_dir, cfg: PlanConfig = DEFAULT):
 
 
 def q_weekly_demand_vs_forecast(spark, sf_dir, cfg: PlanConfig = DEFAULT):
-    return finish(views.weekly_demand_vs_forecast(*_rows(spark, sf_dir, cfg)), money=(
+    return finish(views.weekly_demand_vs_forecast(*load_inputs(spark, sf_dir), cfg), money=(
         "sum_demand", "sum_context_aware_forecast", "sum_traditional_forecast"))
 
 
@@ -248,8 +239,9 @@ def q_gbt_forecast(spark, sf_dir, cfg: PlanConfig = DEFAULT):
 def q_context_plan_gbt(spark, sf_dir, cfg: PlanConfig = DEFAULT):
     from ..operators.forecast import gbt_forecasts
 
-    demand, _, _, _, params = _params(spark, sf_dir, cfg)
-    return finish(policy.context_plan(gbt_forecasts(demand, cfg), params, cfg))
+    demand, items = load_inputs(spark, sf_dir)
+    rows = panel.planning_rows(demand, items, cfg, forecasts=gbt_forecasts(demand, cfg))
+    return finish(panel.context_from_rows(rows))
 
 
 def q_gbt_accuracy(spark, sf_dir, cfg: PlanConfig = DEFAULT):

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import compare
+from ..config import DEFAULT, PlanConfig
+from ..operators import compare, panel
 from ..sources.tables import week_start
 
 
@@ -23,27 +24,22 @@ def stockouts_inventory_over_time(settled: DataFrame) -> DataFrame:
     ).select("Stockouts", "Inventory", "date", "Simulation")
 
 
-def forecast_comparison(demand: DataFrame, planning_rows: DataFrame) -> DataFrame:
+def forecast_comparison(demand: DataFrame, items: DataFrame, cfg: PlanConfig = DEFAULT) -> DataFrame:
     """Every demand row with both forecasts, NULL outside the test window (V9).
 
-    The reference left-joins the demand table twice, once per plan; both
-    forecasts sit on the same planning row here, so one left join on
-    (date, product_id) does it. Both sides are keyed by product, so the
-    join partitions by product and never broadcasts a growing side.
+    The reference left-joins the demand table to each persisted plan. Both
+    forecasts come from the same window pass over the demand here, so the
+    source is read once and only the item keys are joined (see
+    ``panel.history_with_forecasts``).
     """
-    fc = planning_rows.select(
-        "date",
-        "product_id",
-        F.col("c_forecast").alias("Context_Aware_Forecast"),
-        F.col("t_forecast").alias("Traditional_Forecast"),
-    )
-    return demand.join(fc, ["date", "product_id"], "left").select(
+    rows = panel.history_with_forecasts(demand, items, cfg)
+    return rows.select(
         F.col("date").alias("Date"),
         F.col("product_id").alias("Product"),
         F.col("category").alias("Category"),
         F.col("demand").alias("Demand"),
-        "Context_Aware_Forecast",
-        "Traditional_Forecast",
+        F.col("c_forecast").alias("Context_Aware_Forecast"),
+        F.col("t_forecast").alias("Traditional_Forecast"),
     )
 
 
@@ -81,9 +77,9 @@ def weekly_stockouts(settled: DataFrame) -> DataFrame:
     )
 
 
-def weekly_demand_vs_forecast(demand: DataFrame, planning_rows: DataFrame) -> DataFrame:
+def weekly_demand_vs_forecast(demand: DataFrame, items: DataFrame, cfg: PlanConfig = DEFAULT) -> DataFrame:
     """Line chart data: weekly demand and both forecasts; NULL forecasts are skipped."""
-    v9 = forecast_comparison(demand, planning_rows)
+    v9 = forecast_comparison(demand, items, cfg)
     return v9.groupBy(week_start(F.col("Date")).alias("week")).agg(
         F.sum("Demand").alias("sum_demand"),
         F.sum("Context_Aware_Forecast").alias("sum_context_aware_forecast"),
