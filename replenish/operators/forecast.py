@@ -50,7 +50,7 @@ def train_context_aware_model(
     feature_cols: Iterable[str] | None = None,
     categories: Iterable[str] | None = None,
     cfg: PlanConfig = DEFAULT,
-    parallelism: int = 4,
+    parallelism: int = 8,
 ) -> dict[str, PipelineModel]:
     """Fit assembler + GBT per category; raise ``ValueError`` on missing feature columns."""
     feature_cols = list(feature_cols or cfg.features)
@@ -63,7 +63,7 @@ def train_context_aware_model(
 
     if parallelism <= 1 or len(cats) <= 1:
         return dict(fit(c) for c in cats)
-    with ThreadPoolExecutor(max_workers=min(parallelism, len(cats))) as pool:
+    with ThreadPoolExecutor(max_workers=min(parallelism, len(cats))) as pool:  # one job stream per category
         return dict(pool.map(fit, cats))
 
 

@@ -50,32 +50,28 @@ def q_demand_profile(spark, sf_dir):
 
 
 def q_split_profile(spark, sf_dir, cfg: PlanConfig = DEFAULT):
-    return split.split_profile(weekly_demand(spark, sf_dir), cfg)
+    return split.split_profile(weekly_demand(spark, sf_dir, cfg.test_cutoff), cfg)
 
 
 def q_training_set(spark, sf_dir, cfg: PlanConfig = DEFAULT):
-    return split.split_train_test(weekly_demand(spark, sf_dir), cfg)[0]
+    return split.split_train_test(weekly_demand(spark, sf_dir, cfg.train_cutoff), cfg)[0]
 
 
 def q_testing_set(spark, sf_dir, cfg: PlanConfig = DEFAULT):
-    return split.split_train_test(weekly_demand(spark, sf_dir), cfg)[1]
+    return split.split_train_test(weekly_demand(spark, sf_dir, cfg.test_cutoff), cfg)[1]
 
 
 # ---------------------------------------------------------------- policy
 
 
-def _params(spark, sf_dir, cfg):
-    demand, items = load_inputs(spark, sf_dir)
-    train, test = split.split_train_test(demand, cfg)
-    return demand, items, train, test, policy.product_params(train, items, cfg)
-
-
 def q_policy_params(spark, sf_dir, cfg: PlanConfig = DEFAULT):
-    return finish(_params(spark, sf_dir, cfg)[4])
+    demand, items = load_inputs(spark, sf_dir, cfg.train_cutoff)
+    train = split.split_train_test(demand, cfg)[0]
+    return finish(policy.product_params(train, items, cfg))
 
 
 def _planning_rows(spark, sf_dir, cfg):
-    demand, items = load_inputs(spark, sf_dir)
+    demand, items = load_inputs(spark, sf_dir, cfg.test_cutoff)
     return panel.planning_rows(demand, items, cfg)
 
 
@@ -121,27 +117,27 @@ def q_signals(spark, sf_dir):
 
 
 def q_lag_features(spark, sf_dir, cfg: PlanConfig = DEFAULT):
-    train = split.split_train_test(weekly_demand(spark, sf_dir), cfg)[0]
+    train = split.split_train_test(weekly_demand(spark, sf_dir, cfg.train_cutoff), cfg)[0]
     return features.with_history(train).select("product_id", "date", "demand", *features.LAG_COLUMNS)
 
 
 def q_moving_average(spark, sf_dir, cfg: PlanConfig = DEFAULT):
-    train = split.split_train_test(weekly_demand(spark, sf_dir), cfg)[0]
+    train = split.split_train_test(weekly_demand(spark, sf_dir, cfg.train_cutoff), cfg)[0]
     return finish(features.with_history(train).select("product_id", "date", "demand", features.MA_COLUMN))
 
 
 def q_training_matrix(spark, sf_dir, cfg: PlanConfig = DEFAULT):
-    train = split.split_train_test(weekly_demand(spark, sf_dir), cfg)[0]
+    train = split.split_train_test(weekly_demand(spark, sf_dir, cfg.train_cutoff), cfg)[0]
     return finish(features.training_matrix(train).select(*FEATURE_ORDER))
 
 
 def q_test_features_actuals(spark, sf_dir, cfg: PlanConfig = DEFAULT):
-    test = split.split_train_test(weekly_demand(spark, sf_dir), cfg)[1]
+    test = split.split_train_test(weekly_demand(spark, sf_dir, cfg.test_cutoff), cfg)[1]
     return finish(features.test_features_actuals(test).select(*FEATURE_ORDER))
 
 
 def q_test_features_carry(spark, sf_dir, cfg: PlanConfig = DEFAULT):
-    return finish(features.test_features_carry(weekly_demand(spark, sf_dir), cfg).select(*FEATURE_ORDER))
+    return finish(features.test_features_carry(weekly_demand(spark, sf_dir, cfg.test_cutoff), cfg).select(*FEATURE_ORDER))
 
 
 # ---------------------------------------------------------------- comparisons
@@ -153,7 +149,7 @@ MONEY = (
 
 
 def _panel(spark, sf_dir, cfg):
-    demand, items = load_inputs(spark, sf_dir)
+    demand, items = load_inputs(spark, sf_dir, cfg.test_cutoff)
     return panel.policy_panel(demand, items, cfg)
 
 
@@ -233,13 +229,13 @@ def q_weekly_demand_vs_forecast(spark, sf_dir, cfg: PlanConfig = DEFAULT):
 def q_gbt_forecast(spark, sf_dir, cfg: PlanConfig = DEFAULT):
     from ..operators.forecast import gbt_forecasts
 
-    return finish(gbt_forecasts(weekly_demand(spark, sf_dir), cfg))
+    return finish(gbt_forecasts(weekly_demand(spark, sf_dir, cfg.test_cutoff), cfg))
 
 
 def q_context_plan_gbt(spark, sf_dir, cfg: PlanConfig = DEFAULT):
     from ..operators.forecast import gbt_forecasts
 
-    demand, items = load_inputs(spark, sf_dir)
+    demand, items = load_inputs(spark, sf_dir, cfg.test_cutoff)
     rows = panel.planning_rows(demand, items, cfg, forecasts=gbt_forecasts(demand, cfg))
     return finish(panel.context_from_rows(rows))
 
@@ -247,7 +243,7 @@ def q_context_plan_gbt(spark, sf_dir, cfg: PlanConfig = DEFAULT):
 def q_gbt_accuracy(spark, sf_dir, cfg: PlanConfig = DEFAULT):
     from ..operators.forecast import gbt_forecasts
 
-    demand, items = load_inputs(spark, sf_dir)
+    demand, items = load_inputs(spark, sf_dir, cfg.test_cutoff)
     settled = panel.policy_panel(demand, items, cfg, forecasts=gbt_forecasts(demand, cfg))
     return finish(compare.forecast_accuracy(settled))
 

@@ -13,6 +13,8 @@ line-item and part tables; ``read_canonical`` accepts a user's own tables.
 
 from __future__ import annotations
 
+import datetime as _dt
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,8 +31,27 @@ MULTIPLIER_BASE = 1.5
 MULTIPLIER_MODULUS = 36
 
 
+# Columns the adapters read. Declaring them skips schema inference (a job
+# per read here, a footer scan over many files on a cluster) and reads only
+# these columns from the Parquet files.
+INPUT_SCHEMAS = {
+    "lineitem": "l_orderkey long, l_partkey long, l_quantity double, l_shipdate timestamp_ntz",
+    "orders": "o_orderkey long, o_orderdate timestamp_ntz",
+    "part": "p_partkey long, p_type string, p_retailprice double",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    schema = INPUT_SCHEMAS.get(name)
+    return spark.read.schema(schema).parquet(path) if schema else spark.read.parquet(path)
+
+
+def first_monday_on_or_after(day: str) -> _dt.datetime:
+    """Smallest week start ``m`` with week_start(t) < cutoff  <=>  t < m."""
+    t = _dt.datetime.fromisoformat(day)
+    monday = _dt.datetime.combine((t - _dt.timedelta(days=t.weekday())).date(), _dt.time())
+    return monday if monday == t else monday + _dt.timedelta(days=7)
 
 
 def week_start(ts: Column) -> Column:
@@ -42,9 +63,14 @@ def week_start(ts: Column) -> Column:
     return F.trunc(F.to_date(ts), "week").cast("timestamp_ntz")
 
 
-def weekly_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
+def weekly_demand(spark: SparkSession, sf_dir: str, before: str | None = None) -> DataFrame:
     """Weekly demand and lead time per part from the line items.
 
+    ``before`` (a date) keeps only weeks starting before it. The bound is
+    turned into an equivalent one on the raw ship date, which Catalyst pushes
+    into the Parquet scan (row groups past it are skipped); a filter on the
+    truncated week alone could not be pushed.
+
     Plan shape, chosen for skew: line items join orders on the order key
     (sort-merge; AQE splits a hot order), then the rows are combined map-side
     into (part, week) before the shuffle. Only after that is the part type
@@ -52,6 +78,9 @@ def weekly_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
     part holding a third of all lines cannot overload a task.
     """
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_shipdate")
+    if before is not None:
+        bound = first_monday_on_or_after(before).isoformat(sep=" ")
+        li = li.filter(F.col("l_shipdate") < F.lit(bound).cast("timestamp_ntz"))
     od = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     pt = table(spark, sf_dir, "part").select("p_partkey", "p_type")
 
@@ -124,6 +153,7 @@ def read_canonical(spark: SparkSession, demand_path: str, items_path: str, fmt:
     return demand, items
 
 
-def load_inputs(spark: SparkSession, sf_dir: str):
-    """(demand, items) built from the test tables at ``sf_dir``."""
-    return weekly_demand(spark, sf_dir), items_from_parts(spark, sf_dir)
+def load_inputs(spark: SparkSession, sf_dir: str, before: str | None = None):
+    """(demand, items) built from the test tables at ``sf_dir``; see
+    ``weekly_demand`` for ``before``."""
+    return weekly_demand(spark, sf_dir, before), items_from_parts(spark, sf_dir)
