@@ -21,6 +21,12 @@ def _ts(s: str) -> str:
     return f"TIMESTAMP '{s}'"
 
 
+def _scenario_sql() -> dict[str, str]:
+    from ..functions.scenario import sql_columns
+
+    return sql_columns("t", "n")
+
+
 def _buffer_case(cfg: PlanConfig, col: str = "category") -> str:
     if not cfg.buffers:
         return "CAST(NULL AS DOUBLE)"
@@ -31,7 +37,6 @@ def _buffer_case(cfg: PlanConfig, col: str = "category") -> str:
 def base_ctes(cfg: PlanConfig = DEFAULT) -> dict[str, str]:
     """Named CTE bodies; ``with_(names)`` assembles the ones a query needs."""
     train, test = _ts(cfg.train_cutoff), _ts(cfg.test_cutoff)
-    z = _d(0.95 if cfg.service_level == 0.95 else cfg.service_level)
     from statistics import NormalDist
 
     from ..config import Z_95
@@ -60,6 +65,21 @@ def base_ctes(cfg: PlanConfig = DEFAULT) -> dict[str, str]:
         "train": f"SELECT * FROM demand WHERE date < {train}",
         "test": f"SELECT * FROM demand WHERE date >= {train} AND date < {test}",
         "hist": f"SELECT * FROM demand WHERE date < {test}",
+        "scen_t": """
+  SELECT *,
+         CAST(date_diff('day', CAST((SELECT MIN(date) FROM demand) AS DATE), CAST(date AS DATE)) // 7 AS DOUBLE) AS t,
+         CAST(date_diff('day', CAST((SELECT MIN(date) FROM demand) AS DATE),
+                        CAST((SELECT MAX(date) FROM demand) AS DATE)) // 7 + 1 AS DOUBLE) AS n
+  FROM demand""",
+        "scen": f"""
+  SELECT *, GREATEST({_d(0)}, demand * ({_d(1)} + seasonal_effect + trend_effect + shock_effect)) AS scenario_demand,
+         GREATEST({_d(1)}, lead_time * ({_d(1)} + lead_time_disruption)) AS scenario_lead_time
+  FROM (SELECT *, {', '.join(f'{v} AS {k}' for k, v in _scenario_sql().items())} FROM scen_t)""",
+        "spine": """
+  SELECT product_id, category, CAST(d AS TIMESTAMP) AS date FROM (
+    SELECT product_id, category,
+           unnest(generate_series(first_week, (SELECT MAX(date) FROM demand), INTERVAL 7 DAY)) AS d
+    FROM (SELECT product_id, category, MIN(date) AS first_week FROM demand GROUP BY product_id, category))""",
         "stats": """
   SELECT product_id, AVG(demand) AS demand_avg, STDDEV_SAMP(demand) AS demand_std,
          AVG(lead_time) AS lead_time_avg, STDDEV_SAMP(lead_time) AS lead_time_std
@@ -158,6 +178,9 @@ _DEPS = {
     "train": ["demand"],
     "test": ["demand"],
     "hist": ["demand"],
+    "spine": ["demand"],
+    "scen_t": ["demand"],
+    "scen": ["scen_t"],
     "stats": ["train"],
     "params": ["stats", "items"],
     "hist_feat": ["hist"],
@@ -189,7 +212,8 @@ def with_(*names: str, cfg: PlanConfig = DEFAULT) -> str:
 
 
 def _r(col: str, digits: int = 6, alias: str | None = None) -> str:
-    return f"ROUND({col}, {digits}) AS {alias or col}"
+    # "+ 0.0" turns a rounded -0.0 into 0.0, as the Spark side does.
+    return f"(ROUND({col}, {digits}) + {_d(0)}) AS {alias or col}"
 
 
 SETTLE_SELECT = (
@@ -276,6 +300,19 @@ def oracle_sql(cfg: PlanConfig = DEFAULT) -> dict[str, str]:
     )
     return {
         "weekly_demand": w("demand") + "SELECT product_id, category, date, demand, lead_time FROM demand",
+        "calendar_spine": w("spine") + "SELECT product_id, category, date FROM spine",
+        "scenario_demand": w("scen")
+        + "SELECT product_id, category, date, demand, "
+        + ", ".join(_r(c) for c in ("seasonal_effect", "trend_effect", "shock_effect", "scenario_demand"))
+        + " FROM scen",
+        "scenario_lead_time": w("scen")
+        + "SELECT product_id, date, lead_time, "
+        + ", ".join(_r(c) for c in ("lead_time_disruption", "scenario_lead_time"))
+        + " FROM scen",
+        "densified_demand": w("spine")
+        + "SELECT s.product_id, s.category, s.date, COALESCE(d.demand, CAST(0 AS DOUBLE)) AS demand, d.lead_time, "
+        "d.demand IS NOT NULL AS observed FROM spine s LEFT JOIN demand d "
+        "ON s.product_id = d.product_id AND s.date = d.date",
         "item_info": w("items") + "SELECT * FROM items",
         "demand_profile": w("demand")
         + "SELECT COUNT(*) AS n_rows, MIN(date) AS min_date, MAX(date) AS max_date, "

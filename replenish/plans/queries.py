@@ -28,7 +28,8 @@ def finish(df: DataFrame, money=(), digits: int = 6) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, DoubleType):
-            cols.append(F.round(F.col(f.name), 2 if f.name in money else digits).alias(f.name))
+            # "+ 0.0" turns a rounded -0.0 into 0.0 so both engines print the same zero.
+            cols.append((F.round(F.col(f.name), 2 if f.name in money else digits) + F.lit(0.0)).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
@@ -223,6 +224,39 @@ def q_weekly_demand_vs_forecast(spark, sf_dir, cfg: PlanConfig = DEFAULT):
         "sum_demand", "sum_context_aware_forecast", "sum_traditional_forecast"))
 
 
+# ---------------------------------------------------------------- calendar
+
+
+def q_calendar_spine(spark, sf_dir):
+    from ..operators.calendar import calendar_spine
+
+    return calendar_spine(weekly_demand(spark, sf_dir))
+
+
+def q_densified_demand(spark, sf_dir):
+    from ..operators.calendar import densify
+
+    return densify(weekly_demand(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- scenario overlay
+
+
+def q_scenario_demand(spark, sf_dir):
+    from ..operators.scenario import apply_scenario
+
+    out = apply_scenario(weekly_demand(spark, sf_dir))
+    return finish(out.select("product_id", "category", "date", "demand", "seasonal_effect", "trend_effect",
+                             "shock_effect", "scenario_demand"))
+
+
+def q_scenario_lead_time(spark, sf_dir):
+    from ..operators.scenario import apply_scenario
+
+    out = apply_scenario(weekly_demand(spark, sf_dir))
+    return finish(out.select("product_id", "date", "lead_time", "lead_time_disruption", "scenario_lead_time"))
+
+
 # ---------------------------------------------------------------- model (rows-only check)
 
 
@@ -280,6 +314,10 @@ QUERIES: dict[str, Query] = {
     "weekly_inventory": q_weekly_inventory,
     "weekly_stockouts": q_weekly_stockouts,
     "weekly_demand_vs_forecast": q_weekly_demand_vs_forecast,
+    "calendar_spine": q_calendar_spine,
+    "densified_demand": q_densified_demand,
+    "scenario_demand": q_scenario_demand,
+    "scenario_lead_time": q_scenario_lead_time,
     "gbt_forecast": q_gbt_forecast,
     "context_plan_gbt": q_context_plan_gbt,
     "gbt_accuracy": q_gbt_accuracy,
