@@ -38,7 +38,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     file system). Only when it is unset (local tests) do we pick a scratch
     folder and register it, so later calls agree.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: the server's configured folder applies
+        return spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current:
         return current
