@@ -3,9 +3,12 @@
 Fitting is Spark ML's distributed GBT (per-iteration statistics are
 aggregated across partitions), so a category holding a third of all rows is
 spread over the cluster like any other. The training matrix and the test
-features are checkpointed once into the shared checkpoint folder: every
-category and every boosting round reads them many times, and a lost
-executor then re-reads the checkpoint instead of the line-item roll-up.
+features are written once as Parquet into the shared checkpoint folder
+(a lineage cut computed a single time; an unpersisted ``checkpoint()`` would
+compute its input twice): every category and every boosting round reads
+them, and a lost executor re-reads the table instead of the line-item
+roll-up. Measured at sf0.1, plain files beat a category-partitioned layout,
+whose writer sorts by category and fans out into many small files.
 Categories are fitted concurrently from a small driver thread pool (Spark
 schedules jobs from several threads side by side).
 """
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, PlanConfig
-from ..session import checkpoint_dir
+from ..session import materialize
 from . import features, split
 
 
@@ -87,11 +90,9 @@ def get_context_aware_forecast(test_ml: DataFrame, models: Mapping[str, Pipeline
 
 def gbt_forecasts(demand: DataFrame, cfg: PlanConfig = DEFAULT, categories=None) -> DataFrame:
     """Per test row (product_id, date, category, demand, lead_time, forecast_demand) from per-category GBTs."""
-    spark = demand.sparkSession
-    checkpoint_dir(spark)
     train = demand.filter(split.train_filter(cfg))
-    train_ml = features.training_matrix(train).checkpoint(eager=True)
-    test_ml = features.test_features(demand, cfg).checkpoint(eager=True)
+    train_ml = materialize(features.training_matrix(train), "training-matrix")
+    test_ml = materialize(features.test_features(demand, cfg), "test-features")
     models = train_context_aware_model(train_ml, cfg.features, categories, cfg)
     preds = get_context_aware_forecast(test_ml, models)
     return preds.select("product_id", "date", "category", "demand", "lead_time", "forecast_demand")

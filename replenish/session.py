@@ -51,3 +51,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return sc.getCheckpointDir() or conf
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="replenish-ckpt-"))
     return sc.getCheckpointDir()
+
+
+def materialize(df, name: str, partition_by=None):
+    """Write ``df`` once as Parquet under the shared checkpoint folder and
+    return a read of it: a lineage cut that is computed a single time (an
+    unpersisted ``checkpoint()`` computes its input twice), survives lost
+    executors, and lets later filters on ``partition_by`` prune folders."""
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    writer = df.write.mode("overwrite")
+    if partition_by:
+        writer = writer.partitionBy(*([partition_by] if isinstance(partition_by, str) else partition_by))
+    writer.parquet(path)
+    return spark.read.parquet(path)
