@@ -45,7 +45,23 @@ def _pipeline(feature_cols, cfg: PlanConfig) -> Pipeline:
 
 def categories_of(df: DataFrame) -> list[str]:
     """Distinct categories (a small dimension: one value per model)."""
-    return sorted(r[0] for r in df.select("category").distinct().collect() if r[0] is not None)
+    return sorted(category_sizes(df))
+
+
+def category_sizes(df: DataFrame, categories: Iterable[str] | None = None) -> dict[str, int]:
+    """Rows per category: one aggregate whose output has one row per category."""
+    if categories is not None:
+        df = df.filter(F.col("category").isin(list(categories)))
+    rows = df.groupBy("category").count().collect()
+    return {r["category"]: r["count"] for r in rows if r["category"] is not None}
+
+
+def fit_partitions(rows: int, rows_per_partition: int) -> int:
+    """Partitions for one category's fit: enough for ``rows_per_partition``
+    rows each. Used with ``coalesce``, which only ever lowers the count (no
+    shuffle): a large category keeps its file-based partitioning, a small
+    one stops paying per-task overhead on every boosting pass."""
+    return max(1, -(-rows // max(1, rows_per_partition)))
 
 
 def train_context_aware_model(
@@ -58,11 +74,13 @@ def train_context_aware_model(
     """Fit assembler + GBT per category; raise ``ValueError`` on missing feature columns."""
     feature_cols = list(feature_cols or cfg.features)
     features.check_features(train_ml, feature_cols)
-    cats = list(categories) if categories is not None else categories_of(train_ml)
+    sizes = category_sizes(train_ml, categories)
+    cats = list(categories) if categories is not None else sorted(sizes)
     pipeline = _pipeline(feature_cols, cfg)
 
     def fit(cat):
-        return cat, pipeline.fit(train_ml.filter(F.col("category") == cat))
+        n = fit_partitions(sizes.get(cat, 0), cfg.rows_per_fit_partition)
+        return cat, pipeline.fit(train_ml.filter(F.col("category") == cat).coalesce(n))
 
     if parallelism <= 1 or len(cats) <= 1:
         return dict(fit(c) for c in cats)
