@@ -47,15 +47,26 @@ TABLES = (
 
 @dataclass(frozen=True)
 class Output:
-    """Where tables go: a catalog database, or a folder of per-table paths."""
+    """Where tables go: a catalog database, or a folder of per-table paths.
+
+    In catalog mode with ``buckets``, the product-keyed tables
+    (``supply_chain``, ``product_info``, the plans and simulations) are
+    bucketed and sorted by ``product_id`` into the same number of buckets, so
+    every later per-product window, join and aggregate reads them already
+    co-partitioned — no shuffle of the demand rows after they are written.
+    ``location`` places a newly created schema (e.g. on shared storage).
+    """
 
     database: str | None = None
     path: str | None = None
     fmt: str = "parquet"
+    buckets: int | None = None
+    location: str | None = None
 
     def prepare(self, spark: SparkSession) -> None:
         if self.path is None and self.database:
-            spark.sql(f"CREATE SCHEMA IF NOT EXISTS `{self.database}`")
+            where = f" LOCATION '{self.location}'" if self.location else ""
+            spark.sql(f"CREATE SCHEMA IF NOT EXISTS `{self.database}`{where}")
 
     def name(self, table: str) -> str:
         return f"`{self.database}`.`{table}`" if self.database else f"`{table}`"
@@ -67,6 +78,8 @@ class Output:
             location = f"{self.path.rstrip('/')}/{table}"
             w.save(location)
             return spark.read.format(self.fmt).load(location)
+        if self.buckets and "product_id" in df.columns:
+            w = w.bucketBy(self.buckets, "product_id").sortBy("product_id")
         w.saveAsTable(self.name(table))
         return spark.table(self.name(table))
 
@@ -152,6 +165,7 @@ def main(argv=None) -> None:
     ap.add_argument("--database", default=None, help="catalog database for the output tables")
     ap.add_argument("--path", default=None, help="write tables as folders under this path instead")
     ap.add_argument("--format", default=DEFAULT.table_format)
+    ap.add_argument("--buckets", type=int, default=None, help="bucket product tables by product_id")
     ap.add_argument("--train-cutoff", default=DEFAULT.train_cutoff)
     ap.add_argument("--test-cutoff", default=DEFAULT.test_cutoff)
     ap.add_argument("--no-model", action="store_true", help="trailing-mean forecast instead of GBT")
@@ -160,7 +174,7 @@ def main(argv=None) -> None:
     spark = SparkSession.builder.appName("replenish-pipeline").getOrCreate()
     cfg = DEFAULT.with_(train_cutoff=args.train_cutoff, test_cutoff=args.test_cutoff, table_format=args.format)
     demand, items = load_inputs(spark, args.sf_dir)
-    tables = run(spark, demand, items, Output(args.database, args.path, args.format), cfg, not args.no_model)
+    tables = run(spark, demand, items, Output(args.database, args.path, args.format, args.buckets), cfg, not args.no_model)
     tables["plan_comparison"].show(truncate=False)
 
 

@@ -36,3 +36,29 @@ def test_pipeline_with_model(spark):
     tables = pipeline.run(spark, demand, items, out, use_model=True)
     assert tables["context_aware_plan"].count() == 418
     assert tables["forecast_accuracy"].count() == 3
+
+
+def test_bucketed_tables_plan_without_product_shuffle(spark):
+    import io
+    import uuid
+    from contextlib import redirect_stdout
+
+    from replenish.operators import compare, panel
+
+    db = f"replenish_{uuid.uuid4().hex[:8]}"
+    out = pipeline.Output(database=db, buckets=8, location=tempfile.mkdtemp(prefix="replenish-db-"))
+    demand, items = load_inputs(spark, SF0001)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tables = pipeline.run(spark, demand, items, out, use_model=False)
+        df = compare.plan_comparison(panel.policy_panel(tables["supply_chain"], tables["product_info"]))
+        buf = io.StringIO()
+        with redirect_stdout(buf):
+            df.explain()
+        assert "hashpartitioning(product_id" not in buf.getvalue()
+        got = {r.Metric: r.Traditional for r in df.collect()}
+        assert math.isclose(got["Service Level"], 0.9753809676701157, rel_tol=1e-12)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.sql(f"DROP SCHEMA IF EXISTS `{db}` CASCADE")
