@@ -26,7 +26,22 @@ from typing import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Seasonal terms per profile as
+# Fixed values, as formulas (t = week index, u = t - 60 for t >= 60):
+#   seasonal  Electronics 0.3*sin(2*pi*(t-45)/52)
+#             Clothing    0.2*sin(4*pi*t/52) + 0.1*sin(2*pi*t/52)
+#             Food        0.15*sin(2*pi*t/52) + 0.15*sin(2*pi*(t-26)/52)
+#             Home Goods  0.25*sin(2*pi*(t-13)/52)
+#             Health      0.3*cos(2*pi*t/52)
+#   shock     Electronics 0.5*exp(-0.05*(u-15)^2)
+#             Clothing    -0.4*exp(-0.05*u) + 0.2*exp(-0.05*(u-40)^2)
+#             Food        0.8*exp(-0.1*u) + 0.2
+#             Home Goods  0.6*exp(-0.03*(u-25)^2)
+#             Health      0.7*(1-exp(-0.1*u))
+#   lead-time disruption  0.5*(1-exp(-0.05*u))
+# The tables below hold the same numbers as parameters, so one source
+# drives both the Spark columns and the oracle's SQL text.
+#
+# Seasonal terms per profile as
 # (amplitude, cycles per 52 weeks, phase in weeks, "sin" | "cos"):
 #   term = amplitude * f(2*pi*cycles*(t - phase)/52)
 SEASONAL_TERMS = {

@@ -13,7 +13,7 @@ created if absent, SRC4) or, with ``path``, to one folder per table.
 
 Command line (SRC5 job parameters)::
 
-    python -m replenish.plans.pipeline --sf-dir /data/tpch --database supply_chain_forecast
+    python -m replenish.plans.pipeline --sf-dir /data/tpch --database planning
     python -m replenish.plans.pipeline --sf-dir ... --path /shared/out --format parquet --no-model
 """
 
