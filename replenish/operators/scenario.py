@@ -1,8 +1,12 @@
 """Apply a what-if scenario to a demand table.
 
-The week index is measured from the first week of the data; the first and
-last weeks are scalar subqueries (one global min/max aggregate each), so the
-overlay itself is a projection in the same stage as the demand rows.
+The week index is measured from the first week of the data. Unless the
+caller passes the calendar bounds (``origin``, ``last``), they are scalar
+subqueries — one global min/max aggregate, evaluated once before the main
+job. Over the persisted demand table that is a scan of one column; over a
+demand frame still tied to the raw line items it is one more pass of the
+roll-up, which passing the bounds avoids. The overlay itself is a projection
+in the same stage as the demand rows.
 """
 
 from __future__ import annotations
@@ -13,9 +17,19 @@ from pyspark.sql import functions as F
 from ..functions.scenario import Scenario, scenario_columns
 
 
-def apply_scenario(demand: DataFrame, scenario: Scenario = Scenario()) -> DataFrame:
-    first = demand.select(F.min("date")).scalar()
-    last = demand.select(F.max("date")).scalar()
+def apply_scenario(
+    demand: DataFrame,
+    scenario: Scenario = Scenario(),
+    origin: str | None = None,
+    last: str | None = None,
+) -> DataFrame:
+    """Scenario effects and the adjusted demand and lead time per row.
+
+    ``origin``/``last``: first and last week of the calendar (dates); taken
+    from ``demand`` when omitted.
+    """
+    first = F.lit(origin).cast("timestamp_ntz") if origin else demand.select(F.min("date")).scalar()
+    last = F.lit(last).cast("timestamp_ntz") if last else demand.select(F.max("date")).scalar()
     t = F.floor(F.datediff(F.to_date("date"), F.to_date(first)) / F.lit(7)).cast("double")
     n = (F.floor(F.datediff(F.to_date(last), F.to_date(first)) / F.lit(7)) + F.lit(1)).cast("double")
     effects = scenario_columns(t, n, scenario)
