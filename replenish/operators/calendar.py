@@ -2,11 +2,14 @@
 
 Observed cells are the default everywhere else (most product-weeks have no
 sale). When a dense panel is wanted — every product, every week from its
-first sale to the last week of the data, zero where nothing sold — the spine
-is generated per product with ``explode(sequence(...))``: each product
-yields at most one row per calendar week, whatever its sales volume, and
-no product is paired with another (no cross join). The global last week is a
-scalar subquery evaluated once, not a join.
+first sale to the last week of the data, zero where nothing sold — it is
+built in one pass over the demand rows: within each product (window ordered
+by date) every observed week expands into itself plus the empty weeks up to
+the product's next observed week, and the last one up to the calendar end.
+No spine is joined back to the demand, no product is paired with another
+(no cross join), and each product yields at most one row per calendar week
+whatever its sales volume. The calendar end is a scalar subquery evaluated
+once unless the caller passes it.
 """
 
 from __future__ import annotations
@@ -14,38 +17,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .features import product_window
+
 WEEK = F.expr("INTERVAL 7 DAYS")
 
 
-def calendar_spine(demand: DataFrame, end: Column | str | None = None) -> DataFrame:
-    """(product_id, category, date): one row per week from each product's first
-    observed week through ``end`` (default: the last week in ``demand``)."""
+def _end_column(demand: DataFrame, end: Column | str | None) -> Column:
     if end is None:
-        end_col = demand.select(F.max("date")).scalar()
-    elif isinstance(end, str):
-        end_col = F.lit(end).cast("timestamp_ntz")
-    else:
-        end_col = end
-    first = demand.groupBy("product_id", "category").agg(F.min("date").alias("first_week"))
-    weeks = F.sequence(F.to_date("first_week"), F.to_date(end_col), WEEK)
-    return first.select("product_id", "category", F.explode(weeks).alias("week")).select(
-        "product_id", "category", F.col("week").cast("timestamp_ntz").alias("date")
-    )
+        return demand.select(F.max("date")).scalar()
+    if isinstance(end, str):
+        return F.lit(end).cast("timestamp_ntz")
+    return end
 
 
-def densify(demand: DataFrame, spine: DataFrame | None = None) -> DataFrame:
-    """Dense panel: every spine week, demand 0 where nothing sold.
+def densify(demand: DataFrame, end: Column | str | None = None) -> DataFrame:
+    """Dense panel (product_id, category, date, demand, lead_time, observed).
 
-    Lead time stays NULL in weeks without a shipment (nothing was observed).
-    Both sides are keyed by product, so the left join partitions by product.
+    Demand is 0 in weeks without a sale; lead time stays NULL there (nothing
+    was observed). ``end`` (default: the last week in ``demand``) closes
+    every product's range.
     """
-    spine = spine if spine is not None else calendar_spine(demand)
-    obs = demand.select("product_id", "date", "demand", "lead_time")
-    return spine.join(obs, ["product_id", "date"], "left").select(
+    day = F.to_date("date")
+    with_next = demand.withColumn("_next_week", F.lead("date").over(product_window()))
+    stop = F.coalesce(F.date_sub(F.to_date("_next_week"), 7), F.to_date(_end_column(demand, end)))
+    weeks = F.sequence(day, F.greatest(stop, day), WEEK)
+    rows = with_next.select(
+        "product_id", "category", "demand", "lead_time", F.posexplode(weeks).alias("k", "week")
+    )
+    first = F.col("k") == 0
+    return rows.select(
         "product_id",
         "category",
-        "date",
-        F.coalesce(F.col("demand"), F.lit(0.0)).alias("demand"),
-        "lead_time",
-        F.col("demand").isNotNull().alias("observed"),
+        F.col("week").cast("timestamp_ntz").alias("date"),
+        F.when(first, F.col("demand")).otherwise(F.lit(0.0)).alias("demand"),
+        F.when(first, F.col("lead_time")).alias("lead_time"),
+        first.alias("observed"),
     )
+
+
+def calendar_spine(demand: DataFrame, end: Column | str | None = None) -> DataFrame:
+    """(product_id, category, date): one row per week from each product's first
+    observed week through ``end`` (default: the last week in ``demand``)."""
+    return densify(demand, end).select("product_id", "category", "date")
