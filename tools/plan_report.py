@@ -74,10 +74,10 @@ def main(argv) -> int:
         print(f"| `{name}` | {len(ex)} | {'; '.join(keys)} | {'; '.join(joins) or '—'} | {windows} | {subq} | {py} | {cart} |")
     print("\nNotes")
     print()
-    print("* `hash(product_id)` appears once per query although the roll-up output, the")
-    print("  window, the training statistics and the item join are all keyed by product:")
-    print("  the window and the join reuse the partitioning of the part join (only the")
-    print("  item side is shuffled for the join).")
+    print("* The key column lists distinct keys. The roll-up output, the window, the")
+    print("  training statistics and the item join are all keyed by product; the window")
+    print("  adds no exchange and the item join shuffles only the item side — both reuse")
+    print("  the partitioning left by the part join.")
     print("* `single` exchanges carry a handful of rows (per-policy KPIs pivoted to one")
     print("  row, a global min/max); `hash(policy)`, `hash(category)` and `hash(date, policy)`")
     print("  follow map-side partial aggregation, so a hot key sends one row per map task.")
