@@ -3,7 +3,8 @@
 Fitting is Spark ML's distributed GBT (per-iteration statistics are
 aggregated across partitions), so a category holding a third of all rows is
 spread over the cluster like any other. The training matrix and the test
-features are written once as Parquet into the shared checkpoint folder
+features (in the default lag mode, one featured history table read two ways)
+are written once as Parquet into the shared checkpoint folder
 (a lineage cut computed a single time; an unpersisted ``checkpoint()`` would
 compute its input twice): every category and every boosting round reads
 them, and a lost executor re-reads the table instead of the line-item
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, PlanConfig
+from ..functions.calendar import add_signals
 from ..session import materialize
 from . import features, split
 
@@ -108,9 +110,21 @@ def get_context_aware_forecast(test_ml: DataFrame, models: Mapping[str, Pipeline
 
 def gbt_forecasts(demand: DataFrame, cfg: PlanConfig = DEFAULT, categories=None) -> DataFrame:
     """Per test row (product_id, date, category, demand, lead_time, forecast_demand) from per-category GBTs."""
-    train = demand.filter(split.train_filter(cfg))
-    train_ml = materialize(features.training_matrix(train), "training-matrix")
-    test_ml = materialize(features.test_features(demand, cfg), "test-features")
+    if cfg.lag_mode == "carry":
+        # One window pass over the history serves both sides (a training
+        # row's lags only look back), so the roll-up upstream runs once:
+        # written once, then read as the training matrix (NULL-lag rows
+        # dropped, as in ``features.training_matrix``) and the test rows.
+        hist = demand.filter(split.history_filter(cfg))
+        featured = materialize(
+            add_signals(features.with_history(features.with_calendar(hist))), "history-features"
+        )
+        train_ml = featured.filter(split.train_filter(cfg)).na.drop(how="any")
+        test_ml = featured.filter(split.test_filter(cfg))
+    else:
+        train = demand.filter(split.train_filter(cfg))
+        train_ml = materialize(features.training_matrix(train), "training-matrix")
+        test_ml = materialize(features.test_features(demand, cfg), "test-features")
     models = train_context_aware_model(train_ml, cfg.features, categories, cfg)
     preds = get_context_aware_forecast(test_ml, models)
     return preds.select("product_id", "date", "category", "demand", "lead_time", "forecast_demand")
