@@ -266,10 +266,20 @@ def q_gbt_forecast(spark, sf_dir, cfg: PlanConfig = DEFAULT):
     return finish(gbt_forecasts(weekly_demand(spark, sf_dir, cfg.test_cutoff), cfg))
 
 
+def _model_inputs(spark, sf_dir, cfg):
+    """Demand history written once: the model and the plan both read it, so
+    the line-item roll-up is not computed a second time (the persisted job
+    gets the same from its written tables)."""
+    from ..session import materialize
+
+    demand, items = load_inputs(spark, sf_dir, cfg.test_cutoff)
+    return materialize(demand.filter(split.history_filter(cfg)), "demand-history"), items
+
+
 def q_context_plan_gbt(spark, sf_dir, cfg: PlanConfig = DEFAULT):
     from ..operators.forecast import gbt_forecasts
 
-    demand, items = load_inputs(spark, sf_dir, cfg.test_cutoff)
+    demand, items = _model_inputs(spark, sf_dir, cfg)
     rows = panel.planning_rows(demand, items, cfg, forecasts=gbt_forecasts(demand, cfg))
     return finish(panel.context_from_rows(rows))
 
@@ -277,7 +287,7 @@ def q_context_plan_gbt(spark, sf_dir, cfg: PlanConfig = DEFAULT):
 def q_gbt_accuracy(spark, sf_dir, cfg: PlanConfig = DEFAULT):
     from ..operators.forecast import gbt_forecasts
 
-    demand, items = load_inputs(spark, sf_dir, cfg.test_cutoff)
+    demand, items = _model_inputs(spark, sf_dir, cfg)
     settled = panel.policy_panel(demand, items, cfg, forecasts=gbt_forecasts(demand, cfg))
     return finish(compare.forecast_accuracy(settled))
 
