@@ -71,6 +71,8 @@ def planning_rows(
 
     A product without training rows, or missing from ``items``, gets no
     rows — the inner-join semantics of the reference's parameter table.
+    When ``demand`` already carries the item costs (attached from the same
+    item record, ``weekly_demand(with_costs=True)``) no item join is made.
     """
     hist = demand.filter(split.history_filter(cfg))
     cols = training_stats_columns(cfg)
@@ -83,7 +85,8 @@ def planning_rows(
             ["product_id", "date"],
             "left",
         )
-    rows = rows.join(items.select("product_id", *COST_COLUMNS), "product_id")
+    if not all(c in demand.columns for c in COST_COLUMNS):
+        rows = rows.join(items.select("product_id", *COST_COLUMNS), "product_id")
     rows = rows.withColumnRenamed("demand", "actual_demand").withColumns(
         {
             "eoq": pm.eoq("demand_avg", "unit_cost", cfg.holding_rate, cfg.order_cost, cfg.periods_per_year),
@@ -121,9 +124,12 @@ def history_with_forecasts(demand: DataFrame, items: DataFrame, cfg: PlanConfig
     """
     cols = training_stats_columns(cfg)
     cols["model_forecast"] = features.history_columns()[features.MA_COLUMN]
-    keys = items.select("product_id", F.lit(True).alias("_has_item"))
-    rows = demand.withColumns(cols).join(keys, "product_id", "left")
-    planned = split.test_filter(cfg) & (F.col("n_train") > 0) & F.col("_has_item").isNotNull()
+    rows = demand.withColumns(cols)
+    planned = split.test_filter(cfg) & (F.col("n_train") > 0)
+    if not all(c in demand.columns for c in COST_COLUMNS):
+        keys = items.select("product_id", F.lit(True).alias("_has_item"))
+        rows = rows.join(keys, "product_id", "left")
+        planned = planned & F.col("_has_item").isNotNull()
     return rows.withColumns(
         {
             "t_forecast": F.when(planned, F.col("demand_avg")),

@@ -72,7 +72,7 @@ def q_policy_params(spark, sf_dir, cfg: PlanConfig = DEFAULT):
 
 
 def _planning_rows(spark, sf_dir, cfg):
-    demand, items = load_inputs(spark, sf_dir, cfg.test_cutoff)
+    demand, items = load_inputs(spark, sf_dir, cfg.test_cutoff, costs_on_demand=True)
     return panel.planning_rows(demand, items, cfg)
 
 
@@ -150,7 +150,7 @@ MONEY = (
 
 
 def _panel(spark, sf_dir, cfg):
-    demand, items = load_inputs(spark, sf_dir, cfg.test_cutoff)
+    demand, items = load_inputs(spark, sf_dir, cfg.test_cutoff, costs_on_demand=True)
     return panel.policy_panel(demand, items, cfg)
 
 
@@ -200,7 +200,7 @@ def q_stockouts_inventory_over_time(spark, sf_dir, cfg: PlanConfig = DEFAULT):
 
 
 def q_forecast_comparison(spark, sf_dir, cfg: PlanConfig = DEFAULT):
-    return finish(views.forecast_comparison(*load_inputs(spark, sf_dir), cfg))
+    return finish(views.forecast_comparison(*load_inputs(spark, sf_dir, costs_on_demand=True), cfg))
 
 
 def q_service_level_by_category(spark, sf_dir, cfg: PlanConfig = DEFAULT):
@@ -220,7 +220,7 @@ def q_weekly_stockouts(spark, sf_dir, cfg: PlanConfig = DEFAULT):
 
 
 def q_weekly_demand_vs_forecast(spark, sf_dir, cfg: PlanConfig = DEFAULT):
-    return finish(views.weekly_demand_vs_forecast(*load_inputs(spark, sf_dir), cfg), money=(
+    return finish(views.weekly_demand_vs_forecast(*load_inputs(spark, sf_dir, costs_on_demand=True), cfg), money=(
         "sum_demand", "sum_context_aware_forecast", "sum_traditional_forecast"))
 
 
@@ -272,7 +272,7 @@ def _model_inputs(spark, sf_dir, cfg):
     gets the same from its written tables)."""
     from ..session import materialize
 
-    demand, items = load_inputs(spark, sf_dir, cfg.test_cutoff)
+    demand, items = load_inputs(spark, sf_dir, cfg.test_cutoff, costs_on_demand=True)
     return materialize(demand.filter(split.history_filter(cfg)), "demand-history"), items
 
 

@@ -63,7 +63,9 @@ def week_start(ts: Column) -> Column:
     return F.trunc(F.to_date(ts), "week").cast("timestamp_ntz")
 
 
-def weekly_demand(spark: SparkSession, sf_dir: str, before: str | None = None) -> DataFrame:
+def weekly_demand(
+    spark: SparkSession, sf_dir: str, before: str | None = None, with_costs: bool = False
+) -> DataFrame:
     """Weekly demand and lead time per part from the line items.
 
     ``before`` (a date) keeps only weeks starting before it. The bound is
@@ -71,6 +73,10 @@ def weekly_demand(spark: SparkSession, sf_dir: str, before: str | None = None) -
     into the Parquet scan (row groups past it are skipped); a filter on the
     truncated week alone could not be pushed.
 
+    ``with_costs`` also carries the item costs (``unit_cost``,
+    ``stockout_cost_multiplier``) from the same part row, so planning needs
+    no second scan and shuffle of the part table to attach them.
+
     Plan shape, chosen for skew: line items join orders on the order key
     (sort-merge; AQE splits a hot order), then the rows are combined map-side
     into (part, week) before the shuffle. Only after that is the part type
@@ -82,7 +88,7 @@ def weekly_demand(spark: SparkSession, sf_dir: str, before: str | None = None) -
         bound = first_monday_on_or_after(before).isoformat(sep=" ")
         li = li.filter(F.col("l_shipdate") < F.lit(bound).cast("timestamp_ntz"))
     od = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
-    pt = table(spark, sf_dir, "part").select("p_partkey", "p_type")
+    pt = table(spark, sf_dir, "part").select("p_partkey", "p_type", *(["p_retailprice"] if with_costs else []))
 
     gap_days = F.datediff(F.to_date("l_shipdate"), F.to_date("o_orderdate"))
     lines = li.join(od, li.l_orderkey == od.o_orderkey).select(
@@ -95,12 +101,24 @@ def weekly_demand(spark: SparkSession, sf_dir: str, before: str | None = None) -
         F.sum("l_quantity").alias("demand"),
         F.max("gap_weeks").alias("gap_weeks"),
     )
+    costs = [_unit_cost(), _multiplier()] if with_costs else []
     return weekly.join(pt, weekly.product_id == pt.p_partkey).select(
         "product_id",
         F.col("p_type").alias("category"),
         "date",
         "demand",
         F.greatest(F.lit(MIN_LEAD_TIME), F.col("gap_weeks")).alias("lead_time"),
+        *costs,
+    )
+
+
+def _unit_cost() -> Column:
+    return F.col("p_retailprice").cast("double").alias("unit_cost")
+
+
+def _multiplier() -> Column:
+    return (F.lit(MULTIPLIER_BASE) + F.pmod("p_partkey", F.lit(MULTIPLIER_MODULUS)) / F.lit(10.0)).alias(
+        "stockout_cost_multiplier"
     )
 
 
@@ -110,10 +128,8 @@ def items_from_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pt.select(
         F.col("p_partkey").alias("product_id"),
         F.col("p_type").alias("category"),
-        F.col("p_retailprice").cast("double").alias("unit_cost"),
-        (F.lit(MULTIPLIER_BASE) + F.pmod("p_partkey", F.lit(MULTIPLIER_MODULUS)) / F.lit(10.0)).alias(
-            "stockout_cost_multiplier"
-        ),
+        _unit_cost(),
+        _multiplier(),
     )
 
 
@@ -153,7 +169,7 @@ def read_canonical(spark: SparkSession, demand_path: str, items_path: str, fmt:
     return demand, items
 
 
-def load_inputs(spark: SparkSession, sf_dir: str, before: str | None = None):
+def load_inputs(spark: SparkSession, sf_dir: str, before: str | None = None, costs_on_demand: bool = False):
     """(demand, items) built from the test tables at ``sf_dir``; see
-    ``weekly_demand`` for ``before``."""
-    return weekly_demand(spark, sf_dir, before), items_from_parts(spark, sf_dir)
+    ``weekly_demand`` for ``before`` and ``costs_on_demand`` (``with_costs``)."""
+    return weekly_demand(spark, sf_dir, before, costs_on_demand), items_from_parts(spark, sf_dir)

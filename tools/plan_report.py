@@ -74,10 +74,11 @@ def main(argv) -> int:
         print(f"| `{name}` | {len(ex)} | {'; '.join(keys)} | {'; '.join(joins) or '—'} | {windows} | {subq} | {py} | {cart} |")
     print("\nNotes")
     print()
-    print("* The key column lists distinct keys. The roll-up output, the window, the")
-    print("  training statistics and the item join are all keyed by product; the window")
-    print("  adds no exchange and the item join shuffles only the item side — both reuse")
-    print("  the partitioning left by the part join.")
+    print("* The key column lists distinct keys. The roll-up output, the window and the")
+    print("  training statistics are all keyed by product; the window adds no exchange —")
+    print("  it reuses the partitioning left by the part join. The planning queries carry")
+    print("  the item costs through that same part join, so the part table is shuffled")
+    print("  once; for user demand without costs the item join shuffles only the item side.")
     print("* `single` exchanges carry a handful of rows (per-policy KPIs pivoted to one")
     print("  row, a global min/max); `hash(policy)`, `hash(category)` and `hash(date, policy)`")
     print("  follow map-side partial aggregation, so a hot key sends one row per map task.")
