@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lang_id, secrets
+from . import decontaminate, lang_id, near_dup, secrets
 from .common import table
 from .token_count import token_counts
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.cluster(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(table(spark, sf_dir, "documents"))
 
@@ -30,6 +34,7 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_minhash_dedup": op2_minhash_dedup,
     "op4_language_id": op4_language_id,
     "op8_secret_scan": op8_secret_scan,
     "op9_decontaminate": op9_decontaminate,
