@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lang_id, mix, near_dup, secrets
+from . import decontaminate, html_text, lang_id, mix, near_dup, secrets
 from .common import table
 from .token_count import token_counts
 
@@ -15,6 +15,10 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.cluster(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"), carry=["url"])
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_dedup": op2_minhash_dedup,
+    "op3_html_text": op3_html_text,
     "op4_language_id": op4_language_id,
     "op6_source_mix": op6_source_mix,
     "op8_secret_scan": op8_secret_scan,
