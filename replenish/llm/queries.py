@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, lang_id, mix, near_dup, secrets
+from . import decontaminate, html_text, lang_id, mix, near_dup, secrets, suffix_dedup
 from .common import table
 from .token_count import token_counts
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.find(table(spark, sf_dir, "documents"))
+
+
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.cluster(table(spark, sf_dir, "documents"), width=3, percent=85)
 
@@ -42,6 +46,7 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_minhash_dedup": op2_minhash_dedup,
     "op3_html_text": op3_html_text,
     "op4_language_id": op4_language_id,
