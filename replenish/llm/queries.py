@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, lang_id, mix, near_dup, secrets, suffix_dedup
+from . import decontaminate, html_text, lang_id, mix, near_dup, pii, secrets, suffix_dedup
 from .common import table
 from .token_count import token_counts
 
@@ -31,6 +31,10 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix_by_source(table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_html_text": op3_html_text,
     "op4_language_id": op4_language_id,
     "op6_source_mix": op6_source_mix,
+    "op7_pii": op7_pii,
     "op8_secret_scan": op8_secret_scan,
     "op9_decontaminate": op9_decontaminate,
     "op10_token_count": op10_token_count,
