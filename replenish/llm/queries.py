@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, lang_id, mix, near_dup, pii, secrets, suffix_dedup
+from . import ann, decontaminate, html_text, lang_id, mix, near_dup, pii, secrets, suffix_dedup
 from .common import table
 from .token_count import token_counts
 
@@ -27,6 +28,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix_by_source(table(spark, sf_dir, "documents"))
 
@@ -54,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_dedup": op2_minhash_dedup,
     "op3_html_text": op3_html_text,
     "op4_language_id": op4_language_id,
+    "op5_nearest": op5_nearest,
     "op6_source_mix": op6_source_mix,
     "op7_pii": op7_pii,
     "op8_secret_scan": op8_secret_scan,
