@@ -69,9 +69,10 @@ class PlanConfig:
     gbt_max_depth: int = 5
     gbt_max_iter: int = 10
     seed: int = 42
-    # Rows per partition when fitting one category's model (partitions are
-    # only ever coalesced down to this, never added).
-    rows_per_fit_partition: int = 1_000_000
+    # The planning calendar: first and last week (Mondays). Dense panels and
+    # scenarios run over it, and demand outside it is an error.
+    calendar_start: str = "1995-01-02"
+    calendar_end: str = "2001-10-29"
     # Output table format for persisted results ("parquet"; "delta" when the
     # Delta jars are on the classpath).
     table_format: str = "parquet"

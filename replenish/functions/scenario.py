@@ -38,8 +38,7 @@ from pyspark.sql import functions as F
 #             Home Goods  0.6*exp(-0.03*(u-25)^2)
 #             Health      0.7*(1-exp(-0.1*u))
 #   lead-time disruption  0.5*(1-exp(-0.05*u))
-# The tables below hold the same numbers as parameters, so one source
-# drives both the Spark columns and the oracle's SQL text.
+# The tables below hold the same numbers as parameters of the columns.
 #
 # Seasonal terms per profile as
 # (amplitude, cycles per 52 weeks, phase in weeks, "sin" | "cos"):
@@ -127,7 +126,7 @@ def _by_profile(category: Column, profiles: Mapping[str, str], build) -> Column:
     return F.lit(0.0) if expr is None else expr.otherwise(F.lit(0.0))
 
 
-def scenario_columns(t: Column, n: Column, scenario: Scenario = Scenario()) -> dict[str, Column]:
+def scenario_columns(t: Column, n: Column, scenario: Scenario = Scenario(), slope: Column | None = None) -> dict[str, Column]:
     """Effect columns for week index ``t`` (double) in a calendar of ``n`` weeks."""
     cat = F.col("category")
     u = t - F.lit(float(scenario.shock_start))
@@ -135,51 +134,10 @@ def scenario_columns(t: Column, n: Column, scenario: Scenario = Scenario()) -> d
     seasonal = _by_profile(cat, scenario.profiles, lambda p: _seasonal(t, SEASONAL_TERMS[p]))
     shock = F.when(after, _by_profile(cat, scenario.profiles, lambda p: _shock(u, SHOCK_TERMS[p]))).otherwise(0.0)
     disruption = F.when(after, _shock_term(u, DISRUPTION)).otherwise(0.0)
-    trend = F.lit(scenario.trend) * t / n
+    trend = (F.lit(scenario.trend) if slope is None else slope) * t / n
     return {
         "seasonal_effect": seasonal,
         "trend_effect": trend,
         "shock_effect": shock,
         "lead_time_disruption": disruption,
     }
-
-
-# ---------------------------------------------------------------- SQL text (oracle)
-
-
-def _sql_seasonal(t: str, terms) -> str:
-    parts = [
-        f"{amp!r} * {fn.upper()}({2 * math.pi * cycles!r} * ({t} - {float(phase)!r}) / {float(PERIOD_WEEKS)!r})"
-        for amp, cycles, phase, fn in terms
-    ]
-    return "(0.0 + " + " + ".join(parts) + ")"
-
-
-def _sql_shock_term(u: str, term) -> str:
-    kind, a = term[0], term[1]
-    if kind == "gauss":
-        c = float(term[3])
-        return f"({a!r} * EXP({-term[2]!r} * ({u} - {c!r}) * ({u} - {c!r})))"
-    if kind == "decay":
-        return f"({a!r} * EXP({-term[2]!r} * {u}))"
-    if kind == "rise":
-        return f"({a!r} * (1.0 - EXP({-term[2]!r} * {u})))"
-    return f"{float(a)!r}"
-
-
-def sql_columns(t: str, n: str, scenario: Scenario = Scenario()) -> dict[str, str]:
-    u = f"({t} - {float(scenario.shock_start)!r})"
-    after = f"{t} >= {float(scenario.shock_start)!r}"
-
-    def case(build):
-        whens = " ".join(f"WHEN '{c}' THEN {build(p)}" for c, p in scenario.profiles.items())
-        return f"CAST((CASE category {whens} ELSE 0.0 END) AS DOUBLE)"
-
-    seasonal = case(lambda p: _sql_seasonal(t, SEASONAL_TERMS[p]))
-    shock_in = case(lambda p: "(0.0 + " + " + ".join(_sql_shock_term(u, x) for x in SHOCK_TERMS[p]) + ")")
-    return {
-        "seasonal_effect": seasonal,
-        "trend_effect": f"({scenario.trend!r} * {t} / {n})",
-        "shock_effect": f"CAST((CASE WHEN {after} THEN {shock_in} ELSE 0.0 END) AS DOUBLE)",
-        "lead_time_disruption": f"CAST((CASE WHEN {after} THEN {_sql_shock_term(u, DISRUPTION)} ELSE 0.0 END) AS DOUBLE)",
-    }

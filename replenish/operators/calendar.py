@@ -1,15 +1,12 @@
-"""Weekly calendar spine and dense product-week panels.
+"""Weekly planning calendar and dense product-week panels.
 
 Observed cells are the default everywhere else (most product-weeks have no
-sale). When a dense panel is wanted — every product, every week from its
-first sale to the last week of the data, zero where nothing sold — it is
-built in one pass over the demand rows: within each product (window ordered
-by date) every observed week expands into itself plus the empty weeks up to
-the product's next observed week, and the last one up to the calendar end.
-No spine is joined back to the demand, no product is paired with another
-(no cross join), and each product yields at most one row per calendar week
-whatever its sales volume. The calendar end is a scalar subquery evaluated
-once unless the caller passes it.
+sale). The calendar is a parameter (``PlanConfig.calendar_start`` and
+``calendar_end``), not a min/max over the demand: every item expands into its
+own weeks with one ``sequence`` (no join with a calendar table, no cross
+join), also items that never sold. The dense panel then joins the demand
+once, on (product, week). A demand row outside the calendar is an error: a
+single bad date neither stretches the panel nor vanishes from it.
 """
 
 from __future__ import annotations
@@ -17,45 +14,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .features import product_window
+from ..config import DEFAULT, PlanConfig
 
-WEEK = F.expr("INTERVAL 7 DAYS")
 
+def _day(value: str) -> Column:
+    return F.lit(value).cast("date")
 
-def _end_column(demand: DataFrame, end: Column | str | None) -> Column:
-    if end is None:
-        return demand.select(F.max("date")).scalar()
-    if isinstance(end, str):
-        return F.lit(end).cast("timestamp_ntz")
-    return end
 
+def calendar_spine(items: DataFrame, cfg: PlanConfig = DEFAULT) -> DataFrame:
+    """(product_id, category, date): every item in every week of the calendar."""
+    weeks = F.sequence(_day(cfg.calendar_start), _day(cfg.calendar_end), F.expr("INTERVAL 7 DAYS"))
+    rows = items.select("product_id", "category", F.explode(weeks).alias("day"))
+    return rows.select("product_id", "category", F.col("day").cast("timestamp_ntz").alias("date"))
 
-def densify(demand: DataFrame, end: Column | str | None = None) -> DataFrame:
+
+def within_calendar(demand: DataFrame, cfg: PlanConfig = DEFAULT) -> DataFrame:
+    """``demand`` as it is; a row outside the calendar, or off its weekdays, raises when it is read."""
+    day = F.to_date("date")
+    off = F.datediff(day, _day(cfg.calendar_start))
+    fine = day.between(_day(cfg.calendar_start), _day(cfg.calendar_end)) & (F.pmod(off, F.lit(7)) == 0)
+    message = F.concat(F.lit("demand outside the calendar: "), F.coalesce(F.col("date").cast("string"), F.lit("NULL")))
+    return demand.withColumn("date", F.when(fine, F.col("date")).otherwise(F.raise_error(message).cast("timestamp_ntz")))
+
+
+def densify(demand: DataFrame, items: DataFrame, cfg: PlanConfig = DEFAULT, from_first_sale: bool = False) -> DataFrame:
     """Dense panel (product_id, category, date, demand, lead_time, observed).
 
     Demand is 0 in weeks without a sale; lead time stays NULL there (nothing
-    was observed). ``end`` (default: the last week in ``demand``) closes
-    every product's range.
+    was observed). ``from_first_sale`` starts each product at its first sale and
+    leaves out items that never sold.
     """
-    day = F.to_date("date")
-    with_next = demand.withColumn("_next_week", F.lead("date").over(product_window()))
-    stop = F.coalesce(F.date_sub(F.to_date("_next_week"), 7), F.to_date(_end_column(demand, end)))
-    weeks = F.sequence(day, F.greatest(stop, day), WEEK)
-    rows = with_next.select(
-        "product_id", "category", "demand", "lead_time", F.posexplode(weeks).alias("k", "week")
-    )
-    first = F.col("k") == 0
-    return rows.select(
+    seen = within_calendar(demand, cfg).select("product_id", "date", "demand", "lead_time", F.lit(True).alias("observed"))
+    rows = calendar_spine(items, cfg).join(seen, ["product_id", "date"], "left")
+    dense = rows.select(
         "product_id",
         "category",
-        F.col("week").cast("timestamp_ntz").alias("date"),
-        F.when(first, F.col("demand")).otherwise(F.lit(0.0)).alias("demand"),
-        F.when(first, F.col("lead_time")).alias("lead_time"),
-        first.alias("observed"),
+        "date",
+        F.when(F.col("observed"), F.col("demand")).otherwise(F.lit(0.0)).alias("demand"),
+        "lead_time",
+        F.coalesce("observed", F.lit(False)).alias("observed"),
     )
+    if not from_first_sale:
+        return dense
+    from .features import product_window
 
-
-def calendar_spine(demand: DataFrame, end: Column | str | None = None) -> DataFrame:
-    """(product_id, category, date): one row per week from each product's first
-    observed week through ``end`` (default: the last week in ``demand``)."""
-    return densify(demand, end).select("product_id", "category", "date")
+    sold = F.max("observed").over(product_window())  # this week or an earlier one
+    return dense.withColumn("_sold", sold).filter("_sold").drop("_sold")

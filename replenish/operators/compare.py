@@ -130,10 +130,11 @@ def forecast_accuracy(plans: DataFrame) -> DataFrame:
 
 
 def product_costs(settled: DataFrame) -> DataFrame:
-    """Total cost of each product under both policies, with the saving."""
+    """Total cost of each product under both policies, with the saving (A4, J7); one row a product."""
     is_t = F.col("policy") == TRADITIONAL
     is_c = F.col("policy") == CONTEXT_AWARE
-    agg = settled.groupBy("product_id", "category").agg(
+    agg = settled.groupBy("product_id").agg(
+        F.min("category").alias("category"),
         F.sum(F.when(is_t, F.col("total_cost"))).alias("traditional_cost"),
         F.sum(F.when(is_c, F.col("total_cost"))).alias("context_cost"),
         F.count_if(is_t).alias("_n_t"),
@@ -150,11 +151,20 @@ def product_costs(settled: DataFrame) -> DataFrame:
     )
 
 
-def product_comparison(settled: DataFrame, top_n: int = 10) -> DataFrame:
+def product_comparison(settled: DataFrame, top_n: int = 10, items: DataFrame | None = None) -> DataFrame:
     """The ``top_n`` products with the largest saving.
 
+    With ``items`` the category is the item master's, looked up for the
+    ``top_n`` rows only (J8); otherwise it is that of the settled rows.
+
     A top-k report: ``orderBy(...).limit`` plans as TakeOrderedAndProject,
     a per-partition top-k and one merge of ``top_n`` rows per partition.
     ``product_id`` breaks ties so the result is deterministic.
     """
-    return product_costs(settled).orderBy(F.desc("cost_saving"), F.asc("product_id")).limit(top_n)
+    order = (F.desc("cost_saving"), F.asc("product_id"))
+    top = product_costs(settled).orderBy(*order).limit(top_n)
+    if items is None:
+        return top
+    columns = top.columns
+    named = F.broadcast(top.drop("category")).join(items.select("product_id", "category"), "product_id")  # top_n rows
+    return named.select(*columns).orderBy(*order)

@@ -1,21 +1,23 @@
 """Context-aware demand forecast: one boosted-tree model per category.
 
-Fitting is Spark ML's distributed GBT (per-iteration statistics are
-aggregated across partitions), so a category holding a third of all rows is
-spread over the cluster like any other. The training matrix and the test
-features (in the default lag mode, one featured history table read two ways)
-are written once as Parquet into the shared checkpoint folder
-(a lineage cut computed a single time; an unpersisted ``checkpoint()`` would
-compute its input twice): every category and every boosting round reads
-them, and a lost executor re-reads the table instead of the line-item
-roll-up. Measured at sf0.1, plain files beat a category-partitioned layout,
-whose writer sorts by category and fans out into many small files.
+The history is written once, with statistics, costs and features on its
+rows, as one Parquet table split by category into folders; inside a category
+rows are spread over files by a hash of the product, so a category that holds a
+third of all rows spans as many files as the table has partitions. Each
+category then reads its own folder only: to fit (Spark ML's distributed
+GBT, one task a file split in every pass) and to score. The scored rows
+already carry what the plan needs, so nothing is joined back.
+
+A forecast depends on the written layout (split candidates and sums are
+taken per partition): two fits of one written table agree, a table written
+with another number of shuffle partitions may give slightly other trees.
 Categories are fitted concurrently from a small driver thread pool (Spark
 schedules jobs from several threads side by side).
 """
 
 from __future__ import annotations
 
+import functools
 from concurrent.futures import ThreadPoolExecutor
 from typing import Iterable, Mapping
 
@@ -30,11 +32,16 @@ from ..functions.calendar import add_signals
 from ..session import materialize
 from . import features, split
 
+KEYS = ("product_id", "date", "category")
 
-def _pipeline(feature_cols, cfg: PlanConfig) -> Pipeline:
+
+def assembler(feature_cols) -> VectorAssembler:
     # handleInvalid="keep": a test row whose lag is unknown (carry mode, a
     # product with too little history) gets NaN instead of failing the job.
-    assembler = VectorAssembler(inputCols=list(feature_cols), outputCol="features", handleInvalid="keep")
+    return VectorAssembler(inputCols=list(feature_cols), outputCol="features", handleInvalid="keep")
+
+
+def _pipeline(feature_cols, cfg: PlanConfig) -> Pipeline:
     gbt = GBTRegressor(
         featuresCol="features",
         labelCol="demand",
@@ -42,28 +49,31 @@ def _pipeline(feature_cols, cfg: PlanConfig) -> Pipeline:
         maxIter=cfg.gbt_max_iter,
         seed=cfg.seed,
     )
-    return Pipeline(stages=[assembler, gbt])
+    return Pipeline(stages=[assembler(feature_cols), gbt])
 
 
-def categories_of(df: DataFrame) -> list[str]:
-    """Distinct categories (a small dimension: one value per model)."""
-    return sorted(category_sizes(df))
+def written_by_category(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` as a table with a folder per category, each category spread over files by product."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = rows.repartition(n, "category", F.pmod(F.xxhash64("product_id"), F.lit(n)))
+    return materialize(spread, name, partition_by="category")
 
 
-def category_sizes(df: DataFrame, categories: Iterable[str] | None = None) -> dict[str, int]:
-    """Rows per category: one aggregate whose output has one row per category."""
-    if categories is not None:
-        df = df.filter(F.col("category").isin(list(categories)))
-    rows = df.groupBy("category").count().collect()
-    return {r["category"]: r["count"] for r in rows if r["category"] is not None}
+def featured(rows: DataFrame, cfg: PlanConfig = DEFAULT) -> DataFrame:
+    """History rows with all model features; test rows by the lag mode of ``cfg``."""
+    out = features.with_history(features.with_calendar(rows))
+    if cfg.lag_mode == "actuals":
+        own = F.col("demand")
+        swap = {c: F.when(split.test_filter(cfg), own).otherwise(F.col(c)) for c in (*features.LAG_COLUMNS, features.MA_COLUMN)}
+        out = out.withColumns(swap)
+    elif cfg.lag_mode != "carry":
+        raise ValueError(f"unknown lag_mode {cfg.lag_mode!r}; expected 'carry' or 'actuals'")
+    return add_signals(out)
 
 
-def fit_partitions(rows: int, rows_per_partition: int) -> int:
-    """Partitions for one category's fit: enough for ``rows_per_partition``
-    rows each. Used with ``coalesce``, which only ever lowers the count (no
-    shuffle): a large category keeps its file-based partitioning, a small
-    one stops paying per-task overhead on every boosting pass."""
-    return max(1, -(-rows // max(1, rows_per_partition)))
+def training_rows(table: DataFrame, cfg: PlanConfig = DEFAULT, feature_cols: Iterable[str] | None = None) -> DataFrame:
+    """Training rows without a NULL in key, label or feature (other columns do not matter, FL4)."""
+    return table.filter(split.train_filter(cfg)).na.drop(subset=[*KEYS, "demand", *(feature_cols or cfg.features)])
 
 
 def train_context_aware_model(
@@ -73,58 +83,47 @@ def train_context_aware_model(
     cfg: PlanConfig = DEFAULT,
     parallelism: int = 8,
 ) -> dict[str, PipelineModel]:
-    """Fit assembler + GBT per category; raise ``ValueError`` on missing feature columns."""
+    """Fit assembler + GBT per category; raise ``ValueError`` on missing feature columns.
+
+    ``categories`` limits the models; a category without training rows has none.
+    """
     feature_cols = list(feature_cols or cfg.features)
     features.check_features(train_ml, feature_cols)
-    sizes = category_sizes(train_ml, categories)
-    cats = list(categories) if categories is not None else sorted(sizes)
+    present = [r.category for r in train_ml.select("category").distinct().collect()]  # one name a model
+    wanted = set(present if categories is None else categories) & {c for c in present if c is not None}
     pipeline = _pipeline(feature_cols, cfg)
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(wanted)))) as pool:  # one job stream per category
+        fitted = {c: pool.submit(pipeline.fit, train_ml.filter(F.col("category") == c)) for c in sorted(wanted)}
+        return {c: f.result() for c, f in fitted.items()}
 
-    def fit(cat):
-        n = fit_partitions(sizes.get(cat, 0), cfg.rows_per_fit_partition)
-        return cat, pipeline.fit(train_ml.filter(F.col("category") == cat).coalesce(n))
 
-    if parallelism <= 1 or len(cats) <= 1:
-        return dict(fit(c) for c in cats)
-    with ThreadPoolExecutor(max_workers=min(parallelism, len(cats))) as pool:  # one job stream per category
-        return dict(pool.map(fit, cats))
+def scored(rows: DataFrame, models: Mapping[str, PipelineModel], column: str = "model_forecast") -> DataFrame:
+    """``rows`` with the forecast of their category's model; NULL where the category has none."""
+    prediction = F.col("prediction").alias(column)
+    unmodelled = rows.filter(~F.coalesce(F.col("category").isin(list(models)), F.lit(False)))
 
+    def add(done: DataFrame, category: str) -> DataFrame:
+        own = models[category].transform(rows.filter(F.col("category") == category))
+        return done.unionByName(own.select(*rows.columns, prediction))
 
-def get_context_aware_forecast(test_ml: DataFrame, models: Mapping[str, PipelineModel]) -> DataFrame:
-    """Score each category with its model and union the results.
+    return functools.reduce(add, sorted(models), unmodelled.withColumn(column, F.lit(None).cast("double")))
 
-    Test rows of a category without a model are left out, as in the
-    reference's per-category loop.
-    """
-    parts = [
-        m.transform(test_ml.filter(F.col("category") == cat)).drop("features")
-        for cat, m in sorted(models.items())
-    ]
-    if not parts:
+
+def get_context_aware_forecast(test_ml: DataFrame, models: Mapping[str, PipelineModel]) -> DataFrame:
+    """The test rows that a model scores, with ``forecast_demand``."""
+    if not models:
         raise ValueError("no models to score with")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumnRenamed("prediction", "forecast_demand")
+    return scored(test_ml, models, "forecast_demand").filter(F.col("forecast_demand").isNotNull())
+
+
+def model_rows(rows: DataFrame, cfg: PlanConfig = DEFAULT, categories=None) -> DataFrame:
+    """The test rows among the history ``rows``, all columns kept, with ``model_forecast``."""
+    table = written_by_category(featured(rows.filter(split.history_filter(cfg)), cfg), "featured-history")
+    models = train_context_aware_model(training_rows(table, cfg), cfg.features, categories, cfg)
+    return scored(table.filter(split.test_filter(cfg)), models)
 
 
 def gbt_forecasts(demand: DataFrame, cfg: PlanConfig = DEFAULT, categories=None) -> DataFrame:
     """Per test row (product_id, date, category, demand, lead_time, forecast_demand) from per-category GBTs."""
-    if cfg.lag_mode == "carry":
-        # One window pass over the history serves both sides (a training
-        # row's lags only look back), so the roll-up upstream runs once:
-        # written once, then read as the training matrix (NULL-lag rows
-        # dropped, as in ``features.training_matrix``) and the test rows.
-        hist = demand.filter(split.history_filter(cfg))
-        featured = materialize(
-            add_signals(features.with_history(features.with_calendar(hist))), "history-features"
-        )
-        train_ml = featured.filter(split.train_filter(cfg)).na.drop(how="any")
-        test_ml = featured.filter(split.test_filter(cfg))
-    else:
-        train = demand.filter(split.train_filter(cfg))
-        train_ml = materialize(features.training_matrix(train), "training-matrix")
-        test_ml = materialize(features.test_features(demand, cfg), "test-features")
-    models = train_context_aware_model(train_ml, cfg.features, categories, cfg)
-    preds = get_context_aware_forecast(test_ml, models)
-    return preds.select("product_id", "date", "category", "demand", "lead_time", "forecast_demand")
+    out = model_rows(demand, cfg, categories).filter(F.col("model_forecast").isNotNull())
+    return out.select("product_id", "date", "category", "demand", "lead_time", F.col("model_forecast").alias("forecast_demand"))

@@ -61,31 +61,39 @@ def planning_rows(
     items: DataFrame,
     cfg: PlanConfig = DEFAULT,
     forecasts: DataFrame | None = None,
+    scored: DataFrame | None = None,
 ) -> DataFrame:
     """One row per test product-week with both policies side by side.
 
-    ``forecasts`` (product_id, date, forecast_demand) is the context-aware
-    forecast, e.g. from the boosted-tree model. Without it the trailing
-    four-week mean over the whole history is used (deterministic), and a
-    product with no earlier week falls back to its training mean.
+    ``forecasts`` (product_id, date, forecast_demand) is a context-aware
+    forecast from elsewhere; ``scored`` are the rows of ``history_rows`` that
+    the boosted-tree model scored (``forecast.model_rows``), which need no
+    join. In both cases a row without a forecast has no context-aware plan
+    (``has_context`` is false); its baseline stays. Without either, the
+    trailing four-week mean over the whole history is used (deterministic), and
+    a product with no earlier week falls back to its training mean.
 
     A product without training rows, or missing from ``items``, gets no
     rows — the inner-join semantics of the reference's parameter table.
     When ``demand`` already carries the item costs (attached from the same
     item record, ``weekly_demand(with_costs=True)``) no item join is made.
     """
-    hist = demand.filter(split.history_filter(cfg))
-    cols = training_stats_columns(cfg)
-    if forecasts is None:
-        cols["model_forecast"] = features.history_columns()[features.MA_COLUMN]
-    rows = hist.withColumns(cols).filter(split.test_filter(cfg) & (F.col("n_train") > 0))
+    own = forecasts is None and scored is None
+    if scored is not None:
+        rows = scored.filter(split.test_filter(cfg) & (F.col("n_train") > 0))
+    else:
+        cols = training_stats_columns(cfg)
+        if own:
+            cols["model_forecast"] = features.history_columns()[features.MA_COLUMN]
+        hist = demand.filter(split.history_filter(cfg))
+        rows = hist.withColumns(cols).filter(split.test_filter(cfg) & (F.col("n_train") > 0))
     if forecasts is not None:
         rows = rows.join(
             forecasts.select("product_id", "date", F.col("forecast_demand").alias("model_forecast")),
             ["product_id", "date"],
             "left",
         )
-    if not all(c in demand.columns for c in COST_COLUMNS):
+    if not all(c in rows.columns for c in COST_COLUMNS):
         rows = rows.join(items.select("product_id", *COST_COLUMNS), "product_id")
     rows = rows.withColumnRenamed("demand", "actual_demand").withColumns(
         {
@@ -100,7 +108,8 @@ def planning_rows(
             "t_forecast": base["forecast_demand"],
             "t_required": base["required_inventory"],
             "t_order": base["order_quantity"],
-            "forecast_demand": F.coalesce(F.col("model_forecast"), F.col("demand_avg")),
+            "forecast_demand": F.coalesce(F.col("model_forecast"), F.col("demand_avg")) if own else F.col("model_forecast"),
+            "has_context": F.lit(True) if own else F.col("model_forecast").isNotNull(),
         }
     )
     ctx = context_columns(cfg)
@@ -114,9 +123,22 @@ def planning_rows(
     )
 
 
-def history_with_forecasts(demand: DataFrame, items: DataFrame, cfg: PlanConfig = DEFAULT) -> DataFrame:
+def history_rows(demand: DataFrame, items: DataFrame, cfg: PlanConfig = DEFAULT) -> DataFrame:
+    """The history with training statistics and item costs on every row: what the model path writes once."""
+    rows = demand.filter(split.history_filter(cfg)).withColumns(training_stats_columns(cfg))
+    if all(c in rows.columns for c in COST_COLUMNS):
+        return rows
+    return rows.join(items.select("product_id", *COST_COLUMNS), "product_id")
+
+
+def history_with_forecasts(
+    demand: DataFrame, items: DataFrame, cfg: PlanConfig = DEFAULT, forecasts: DataFrame | None = None
+) -> DataFrame:
     """Every demand row with both forecasts; NULL where no plan exists.
 
+    ``forecasts`` (product_id, date, forecast_demand), e.g. the model's,
+    replace the deterministic context-aware forecast.
+
     A row has a plan when it lies in the test window and its product has
     training rows and an item record. One window pass over the demand and a
     left join to the item keys — the source is read once, where joining the
@@ -130,10 +152,15 @@ def history_with_forecasts(demand: DataFrame, items: DataFrame, cfg: PlanConfig
         keys = items.select("product_id", F.lit(True).alias("_has_item"))
         rows = rows.join(keys, "product_id", "left")
         planned = planned & F.col("_has_item").isNotNull()
+    context = F.coalesce(F.col("model_forecast"), F.col("demand_avg"))
+    if forecasts is not None:
+        given = forecasts.select("product_id", "date", F.col("forecast_demand").alias("_given"))
+        rows = rows.join(given, ["product_id", "date"], "left")
+        context = F.col("_given")
     return rows.withColumns(
         {
             "t_forecast": F.when(planned, F.col("demand_avg")),
-            "c_forecast": F.when(planned, F.coalesce(F.col("model_forecast"), F.col("demand_avg"))),
+            "c_forecast": F.when(planned, context),
         }
     )
 
@@ -155,8 +182,8 @@ def baseline_from_rows(rows: DataFrame, keep_costs: bool = False) -> DataFrame:
 
 
 def context_from_rows(rows: DataFrame, keep_costs: bool = False) -> DataFrame:
-    """The context-aware plan (D14 columns) out of ``planning_rows``."""
-    return rows.select(
+    """The context-aware plan (D14 columns) out of ``planning_rows``; rows without a forecast have none."""
+    return rows.filter("has_context").select(
         *[
             {
                 "forecast_demand": F.col("c_forecast"),
@@ -175,18 +202,20 @@ def policy_panel(
     items: DataFrame,
     cfg: PlanConfig = DEFAULT,
     forecasts: DataFrame | None = None,
+    scored: DataFrame | None = None,
 ) -> DataFrame:
     """Long frame: one row per (policy, product, week), planned and settled."""
-    rows = planning_rows(demand, items, cfg, forecasts)
+    rows = planning_rows(demand, items, cfg, forecasts, scored)
     stacked = rows.select(
         *PANEL_KEYS,
         *COST_COLUMNS,
+        "has_context",
         F.stack(
             F.lit(2),
             F.lit(TRADITIONAL), "t_forecast", "safety_stock", "t_order", "t_required",
             F.lit(CONTEXT_AWARE), "c_forecast", "c_safety", "c_order", "c_required",
         ).alias("policy", *PLAN_VALUES),
-    )
+    ).filter((F.col("policy") == TRADITIONAL) | F.col("has_context")).drop("has_context")
     cols = settlement_columns(
         start=F.col("safety_stock"),
         holding_rate=cfg.holding_rate,

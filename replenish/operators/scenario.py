@@ -1,12 +1,9 @@
 """Apply a what-if scenario to a demand table.
 
-The week index is measured from the first week of the data. Unless the
-caller passes the calendar bounds (``origin``, ``last``), they are scalar
-subqueries — one global min/max aggregate, evaluated once before the main
-job. Over the persisted demand table that is a scan of one column; over a
-demand frame still tied to the raw line items it is one more pass of the
-roll-up, which passing the bounds avoids. The overlay itself is a projection
-in the same stage as the demand rows.
+The week index is measured from the first week of the planning calendar,
+which is a parameter: no second pass over the demand is needed to find its
+bounds. The overlay is a projection in the same stage as the demand rows; a
+trend slope per product comes in with one join.
 """
 
 from __future__ import annotations
@@ -14,29 +11,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import DEFAULT
 from ..functions.scenario import Scenario, scenario_columns
 
 
 def apply_scenario(
     demand: DataFrame,
     scenario: Scenario = Scenario(),
-    origin: str | None = None,
-    last: str | None = None,
+    origin: str = DEFAULT.calendar_start,
+    last: str = DEFAULT.calendar_end,
+    slopes: DataFrame | None = None,
 ) -> DataFrame:
     """Scenario effects and the adjusted demand and lead time per row.
 
-    ``origin``/``last``: first and last week of the calendar (dates); taken
-    from ``demand`` when omitted.
+    ``origin``/``last``: first and last week of the calendar. ``slopes``:
+    (product_id, slope), the trend of each product over the whole calendar;
+    products without one, and all products without the table, use ``scenario.trend``.
     """
-    first = F.lit(origin).cast("timestamp_ntz") if origin else demand.select(F.min("date")).scalar()
-    last = F.lit(last).cast("timestamp_ntz") if last else demand.select(F.max("date")).scalar()
-    t = F.floor(F.datediff(F.to_date("date"), F.to_date(first)) / F.lit(7)).cast("double")
-    n = (F.floor(F.datediff(F.to_date(last), F.to_date(first)) / F.lit(7)) + F.lit(1)).cast("double")
-    effects = scenario_columns(t, n, scenario)
-    out = demand.withColumns(effects)
-    factor = (
-        F.lit(1.0) + F.col("seasonal_effect") + F.col("trend_effect") + F.col("shock_effect")
-    )
+    t = F.floor(F.datediff(F.to_date("date"), F.lit(origin).cast("date")) / F.lit(7)).cast("double")
+    n = (F.floor(F.datediff(F.lit(last).cast("date"), F.lit(origin).cast("date")) / F.lit(7)) + F.lit(1)).cast("double")
+    out = demand
+    slope = F.lit(scenario.trend)
+    if slopes is not None:
+        out = out.join(slopes.select("product_id", F.col("slope").alias("_slope")), "product_id", "left")
+        slope = F.coalesce("_slope", slope)
+    out = out.withColumns(scenario_columns(t, n, scenario, slope)).drop("_slope")
+    factor = F.lit(1.0) + F.col("seasonal_effect") + F.col("trend_effect") + F.col("shock_effect")
     return out.withColumns(
         {
             "scenario_demand": F.greatest(F.lit(0.0), F.col("demand") * factor),

@@ -21,10 +21,28 @@ def _ts(s: str) -> str:
     return f"TIMESTAMP '{s}'"
 
 
-def _scenario_sql() -> dict[str, str]:
-    from ..functions.scenario import sql_columns
-
-    return sql_columns("t", "n")
+# The scenario formulas, written out by hand: t is the week index, u = t - 60 weeks
+# since the shock; the part types stand for the five profiles as the queries assign them.
+SCENARIO_SQL = {
+    "seasonal_effect": """CASE category
+    WHEN 'ECONOMY' THEN 0.3e0 * sin(2e0 * pi() * (t - 45e0) / 52e0)
+    WHEN 'STANDARD' THEN 0.3e0 * sin(2e0 * pi() * (t - 45e0) / 52e0)
+    WHEN 'LARGE' THEN 0.2e0 * sin(4e0 * pi() * t / 52e0) + 0.1e0 * sin(2e0 * pi() * t / 52e0)
+    WHEN 'MEDIUM' THEN 0.15e0 * sin(2e0 * pi() * t / 52e0) + 0.15e0 * sin(2e0 * pi() * (t - 26e0) / 52e0)
+    WHEN 'PROMO' THEN 0.25e0 * sin(2e0 * pi() * (t - 13e0) / 52e0)
+    WHEN 'SMALL' THEN 0.3e0 * cos(2e0 * pi() * t / 52e0)
+    ELSE 0e0 END""",
+    "trend_effect": "0.05e0 * t / n",
+    "shock_effect": """CASE WHEN t < 60e0 THEN 0e0 ELSE CASE category
+    WHEN 'ECONOMY' THEN 0.5e0 * exp(-0.05e0 * (t - 60e0 - 15e0) * (t - 60e0 - 15e0))
+    WHEN 'STANDARD' THEN 0.5e0 * exp(-0.05e0 * (t - 60e0 - 15e0) * (t - 60e0 - 15e0))
+    WHEN 'LARGE' THEN -0.4e0 * exp(-0.05e0 * (t - 60e0)) + 0.2e0 * exp(-0.05e0 * (t - 60e0 - 40e0) * (t - 60e0 - 40e0))
+    WHEN 'MEDIUM' THEN 0.8e0 * exp(-0.1e0 * (t - 60e0)) + 0.2e0
+    WHEN 'PROMO' THEN 0.6e0 * exp(-0.03e0 * (t - 60e0 - 25e0) * (t - 60e0 - 25e0))
+    WHEN 'SMALL' THEN 0.7e0 * (1e0 - exp(-0.1e0 * (t - 60e0)))
+    ELSE 0e0 END END""",
+    "lead_time_disruption": "CASE WHEN t < 60e0 THEN 0e0 ELSE 0.5e0 * (1e0 - exp(-0.05e0 * (t - 60e0))) END",
+}
 
 
 def _buffer_case(cfg: PlanConfig, col: str = "category") -> str:
@@ -65,21 +83,19 @@ def base_ctes(cfg: PlanConfig = DEFAULT) -> dict[str, str]:
         "train": f"SELECT * FROM demand WHERE date < {train}",
         "test": f"SELECT * FROM demand WHERE date >= {train} AND date < {test}",
         "hist": f"SELECT * FROM demand WHERE date < {test}",
-        "scen_t": """
-  SELECT *,
-         CAST(date_diff('day', CAST((SELECT MIN(date) FROM demand) AS DATE), CAST(date AS DATE)) // 7 AS DOUBLE) AS t,
-         CAST(date_diff('day', CAST((SELECT MIN(date) FROM demand) AS DATE),
-                        CAST((SELECT MAX(date) FROM demand) AS DATE)) // 7 + 1 AS DOUBLE) AS n
+        "scen_t": f"""
+  SELECT *, CAST(date_diff('day', DATE '{cfg.calendar_start}', CAST(date AS DATE)) // 7 AS DOUBLE) AS t,
+         CAST(date_diff('day', DATE '{cfg.calendar_start}', DATE '{cfg.calendar_end}') // 7 + 1 AS DOUBLE) AS n
   FROM demand""",
         "scen": f"""
   SELECT *, GREATEST({_d(0)}, demand * ({_d(1)} + seasonal_effect + trend_effect + shock_effect)) AS scenario_demand,
          GREATEST({_d(1)}, lead_time * ({_d(1)} + lead_time_disruption)) AS scenario_lead_time
-  FROM (SELECT *, {', '.join(f'{v} AS {k}' for k, v in _scenario_sql().items())} FROM scen_t)""",
-        "spine": """
+  FROM (SELECT *, {', '.join(f'{v} AS {k}' for k, v in SCENARIO_SQL.items())} FROM scen_t)""",
+        "spine": f"""
   SELECT product_id, category, CAST(d AS TIMESTAMP) AS date FROM (
-    SELECT product_id, category,
-           unnest(generate_series(first_week, (SELECT MAX(date) FROM demand), INTERVAL 7 DAY)) AS d
-    FROM (SELECT product_id, category, MIN(date) AS first_week FROM demand GROUP BY product_id, category))""",
+    SELECT p_partkey AS product_id, p_type AS category,
+           unnest(generate_series({_ts(cfg.calendar_start)}, {_ts(cfg.calendar_end)}, INTERVAL 7 DAY)) AS d
+    FROM part)""",
         "stats": """
   SELECT product_id, AVG(demand) AS demand_avg, STDDEV_SAMP(demand) AS demand_std,
          AVG(lead_time) AS lead_time_avg, STDDEV_SAMP(lead_time) AS lead_time_std
@@ -178,7 +194,6 @@ _DEPS = {
     "train": ["demand"],
     "test": ["demand"],
     "hist": ["demand"],
-    "spine": ["demand"],
     "scen_t": ["demand"],
     "scen": ["scen_t"],
     "stats": ["train"],
@@ -244,6 +259,12 @@ FEATURE_SELECT = (
 )
 
 
+_NOT_NULL = " AND ".join(
+    f"{c} IS NOT NULL"
+    for c in ("product_id", "date", "category", "demand", "lead_time", "lag_demand", "lag_demand_2", "lag_demand_3", "demand_ma_4")
+)
+
+
 def _metric_rows(src: str, rows, money=()) -> str:
     parts = []
     for label, m, kind in rows:
@@ -309,7 +330,7 @@ def oracle_sql(cfg: PlanConfig = DEFAULT) -> dict[str, str]:
         + "SELECT product_id, date, lead_time, "
         + ", ".join(_r(c) for c in ("lead_time_disruption", "scenario_lead_time"))
         + " FROM scen",
-        "densified_demand": w("spine")
+        "densified_demand": w("spine", "demand")
         + "SELECT s.product_id, s.category, s.date, COALESCE(d.demand, CAST(0 AS DOUBLE)) AS demand, d.lead_time, "
         "d.demand IS NOT NULL AS observed FROM spine s LEFT JOIN demand d "
         "ON s.product_id = d.product_id AND s.date = d.date",
@@ -354,9 +375,19 @@ def oracle_sql(cfg: PlanConfig = DEFAULT) -> dict[str, str]:
         + f"SELECT product_id, date, demand, ROUND(demand_ma_4, 6) AS demand_ma_4 FROM hist_feat WHERE date < {train}",
         "training_matrix": w("hist_feat")
         + f"SELECT {FEATURE_SELECT} FROM hist_feat WHERE date < {train} "
-        "AND lag_demand IS NOT NULL AND lag_demand_2 IS NOT NULL AND lag_demand_3 IS NOT NULL "
-        "AND demand_ma_4 IS NOT NULL AND demand IS NOT NULL AND lead_time IS NOT NULL "
-        "AND category IS NOT NULL AND product_id IS NOT NULL AND date IS NOT NULL",
+        f"AND {_NOT_NULL}",
+        "model_inputs": w("hist_feat")
+        + "SELECT category, COUNT(*) AS n_rows, " + _r("SUM(demand)", 6, "sum_demand") + ", "
+        + ", ".join(_r(f"{g.upper()}(CAST({c} AS DOUBLE))", 6, f"{g}_{c}") for c in cfg.features for g in ("min", "max"))
+        + f" FROM (SELECT {FEATURE_SELECT.replace('ROUND(demand_ma_4, 6) AS ', '')} FROM hist_feat WHERE date < {train}) "
+        + f"WHERE {_NOT_NULL} GROUP BY category",
+        "assembled_features": w("hist_feat")
+        + "SELECT product_id, date, " + ", ".join(_r(f"CAST({c} AS DOUBLE)", 6, f"x_{c}") for c in cfg.features)
+        + f" FROM (SELECT {FEATURE_SELECT.replace('ROUND(demand_ma_4, 6) AS ', '')} FROM hist_feat WHERE date < {train}) "
+        + f"WHERE {_NOT_NULL}",
+        "forecast_coverage": w("test", "train")
+        + "SELECT category, COUNT(*) AS n_test, COUNT(CASE WHEN category IN (SELECT category FROM train) THEN 1 END) "
+        "AS n_forecast FROM test GROUP BY category",
         "test_features_actuals": w("test")
         + "SELECT date, product_id, category, demand, lead_time, CAST(weekofyear(date) AS INTEGER) AS weekofyear, "
         "CAST(month(date) AS INTEGER) AS month, CAST(dayofweek(date) + 1 AS INTEGER) AS dayofweek, "
@@ -402,15 +433,15 @@ def oracle_sql(cfg: PlanConfig = DEFAULT) -> dict[str, str]:
         + " FROM a)\n"
         + _metric_rows("wd", (("MAE", "MAE", "percent"), ("RMSE", "RMSE", "percent"), ("MAPE", "MAPE", "percent"))),
         "product_comparison": w("settled")
-        + ", pc AS (SELECT product_id, category, "
+        + ", pc AS (SELECT product_id, "
         "SUM(CASE WHEN policy = 'Traditional' THEN total_cost END) AS traditional_cost, "
         "SUM(CASE WHEN policy = 'Context Aware' THEN total_cost END) AS context_cost FROM settled "
-        "GROUP BY product_id, category HAVING COUNT(CASE WHEN policy = 'Traditional' THEN 1 END) > 0 "
+        "GROUP BY product_id HAVING COUNT(CASE WHEN policy = 'Traditional' THEN 1 END) > 0 "
         "AND COUNT(CASE WHEN policy = 'Context Aware' THEN 1 END) > 0) "
         "SELECT product_id, ROUND(traditional_cost, 2) AS traditional_cost, ROUND(context_cost, 2) AS context_cost, "
         "category, ROUND(traditional_cost - context_cost, 2) AS cost_saving, "
         "ROUND((traditional_cost - context_cost) / NULLIF(traditional_cost, 0) * 100.0, 6) AS saving_percentage "
-        "FROM pc ORDER BY traditional_cost - context_cost DESC NULLS LAST, product_id ASC LIMIT 10",
+        "FROM pc JOIN (SELECT p_partkey AS product_id, p_type AS category FROM part) USING (product_id) ORDER BY traditional_cost - context_cost DESC NULLS LAST, product_id ASC LIMIT 10",
         "stockouts_inventory_over_time": w("settled")
         + f"SELECT ROUND(Stockouts, 6) AS Stockouts, ROUND(Inventory, 6) AS Inventory, date, Simulation FROM ({v8_raw})",
         "forecast_comparison": w("demand", "ctx_rows")

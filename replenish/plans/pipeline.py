@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..config import DEFAULT, PlanConfig
 from ..operators import compare, panel, split
+from ..session import materialize, scratch
 from ..sources.tables import load_inputs
 from . import views
 
@@ -62,14 +63,23 @@ class Output:
     fmt: str = "parquet"
     buckets: int | None = None
     location: str | None = None
+    catalog: str | None = None
 
     def prepare(self, spark: SparkSession) -> None:
-        if self.path is None and self.database:
+        if self.path is not None:
+            return
+        if self.catalog:
+            spark.catalog.setCurrentCatalog(self.catalog)
+        if self.database:
             where = f" LOCATION '{self.location}'" if self.location else ""
-            spark.sql(f"CREATE SCHEMA IF NOT EXISTS `{self.database}`{where}")
+            spark.sql(f"CREATE SCHEMA IF NOT EXISTS {self._quoted(self.catalog, self.database)}{where}")
+
+    @staticmethod
+    def _quoted(*parts: str | None) -> str:
+        return ".".join(f"`{p}`" for p in parts if p)
 
     def name(self, table: str) -> str:
-        return f"`{self.database}`.`{table}`" if self.database else f"`{table}`"
+        return self._quoted(self.catalog if self.database else None, self.database, table)
 
     def write(self, spark: SparkSession, df: DataFrame, table: str) -> DataFrame:
         """Overwrite ``table`` with ``df`` and return a fresh read of it."""
@@ -79,6 +89,8 @@ class Output:
             w.save(location)
             return spark.read.format(self.fmt).load(location)
         if self.buckets and "product_id" in df.columns:
+            # Dealt by bucket first: one file a bucket, not one a task and bucket.
+            w = df.repartition(self.buckets, "product_id").write.mode("overwrite").format(self.fmt)
             w = w.bucketBy(self.buckets, "product_id").sortBy("product_id")
         w.saveAsTable(self.name(table))
         return spark.table(self.name(table))
@@ -103,14 +115,16 @@ def run(
     t["training_set"] = out.write(spark, train, "training_set")
     t["testing_set"] = out.write(spark, test, "testing_set")
 
-    forecasts = None
-    if use_model:
-        from ..operators.forecast import gbt_forecasts
+    with scratch():
+        scored = None
+        if use_model:
+            from ..operators.forecast import model_rows
 
-        forecasts = gbt_forecasts(demand, cfg)
-    rows = panel.planning_rows(demand, items, cfg, forecasts)
-    t["traditional_plan"] = out.write(spark, panel.baseline_from_rows(rows, keep_costs=True), "traditional_plan")
-    t["context_aware_plan"] = out.write(spark, panel.context_from_rows(rows, keep_costs=True), "context_aware_plan")
+            scored = model_rows(panel.history_rows(demand, items, cfg), cfg)
+        # Window, join and scoring run once; both plans are selected from the written rows.
+        rows = materialize(panel.planning_rows(demand, items, cfg, scored=scored), "planning-rows")
+        t["traditional_plan"] = out.write(spark, panel.baseline_from_rows(rows, keep_costs=True), "traditional_plan")
+        t["context_aware_plan"] = out.write(spark, panel.context_from_rows(rows, keep_costs=True), "context_aware_plan")
 
     from ..operators.settle import settle
 
@@ -124,7 +138,7 @@ def run(
     t["plan_comparison"] = out.write(spark, compare.plan_comparison(settled), "plan_comparison")
     t["category_comparison"] = out.write(spark, compare.category_comparison(settled), "category_comparison")
     t["forecast_accuracy"] = out.write(spark, compare.forecast_accuracy(plans), "forecast_accuracy")
-    t["product_comparison"] = out.write(spark, compare.product_comparison(settled), "product_comparison")
+    t["product_comparison"] = out.write(spark, compare.product_comparison(settled, items=items), "product_comparison")
     return t
 
 
@@ -156,12 +170,14 @@ def dashboard(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     out["cost_by_category"] = views.cost_by_category(settled)
     out["weekly_inventory"] = views.weekly_inventory(settled)
     out["weekly_stockouts"] = views.weekly_stockouts(settled)
+    out["weekly_demand_vs_forecast"] = views.weekly_forecasts(forecast_comparison)
     return out
 
 
 def main(argv=None) -> None:
     ap = argparse.ArgumentParser(description="Run the replenishment planning job.")
     ap.add_argument("--sf-dir", required=True, help="folder with lineitem/orders/part parquet")
+    ap.add_argument("--catalog", default=None, help="catalog that holds the database")
     ap.add_argument("--database", default=None, help="catalog database for the output tables")
     ap.add_argument("--path", default=None, help="write tables as folders under this path instead")
     ap.add_argument("--format", default=DEFAULT.table_format)
@@ -174,7 +190,7 @@ def main(argv=None) -> None:
     spark = SparkSession.builder.appName("replenish-pipeline").getOrCreate()
     cfg = DEFAULT.with_(train_cutoff=args.train_cutoff, test_cutoff=args.test_cutoff, table_format=args.format)
     demand, items = load_inputs(spark, args.sf_dir)
-    tables = run(spark, demand, items, Output(args.database, args.path, args.format, args.buckets), cfg, not args.no_model)
+    tables = run(spark, demand, items, Output(args.database, args.path, args.format, args.buckets, catalog=args.catalog), cfg, not args.no_model)
     tables["plan_comparison"].show(truncate=False)
 
 

@@ -59,7 +59,7 @@ def q_training_set(spark, sf_dir, cfg: PlanConfig = DEFAULT):
 
 
 def q_testing_set(spark, sf_dir, cfg: PlanConfig = DEFAULT):
-    return split.split_train_test(weekly_demand(spark, sf_dir, cfg.test_cutoff), cfg)[1]
+    return split.split_train_test(weekly_demand(spark, sf_dir, cfg.test_cutoff, since=cfg.train_cutoff), cfg)[1]
 
 
 # ---------------------------------------------------------------- policy
@@ -133,7 +133,7 @@ def q_training_matrix(spark, sf_dir, cfg: PlanConfig = DEFAULT):
 
 
 def q_test_features_actuals(spark, sf_dir, cfg: PlanConfig = DEFAULT):
-    test = split.split_train_test(weekly_demand(spark, sf_dir, cfg.test_cutoff), cfg)[1]
+    test = split.split_train_test(weekly_demand(spark, sf_dir, cfg.test_cutoff, since=cfg.train_cutoff), cfg)[1]
     return finish(features.test_features_actuals(test).select(*FEATURE_ORDER))
 
 
@@ -189,7 +189,7 @@ def q_forecast_accuracy(spark, sf_dir, cfg: PlanConfig = DEFAULT):
 
 
 def q_product_comparison(spark, sf_dir, cfg: PlanConfig = DEFAULT):
-    return finish(compare.product_comparison(_panel(spark, sf_dir, cfg)), money=("traditional_cost", "context_cost", "cost_saving"))
+    return finish(compare.product_comparison(_panel(spark, sf_dir, cfg), items=items_from_parts(spark, sf_dir)), money=("traditional_cost", "context_cost", "cost_saving"))
 
 
 # ---------------------------------------------------------------- dashboard
@@ -227,16 +227,16 @@ def q_weekly_demand_vs_forecast(spark, sf_dir, cfg: PlanConfig = DEFAULT):
 # ---------------------------------------------------------------- calendar
 
 
-def q_calendar_spine(spark, sf_dir):
+def q_calendar_spine(spark, sf_dir, cfg: PlanConfig = DEFAULT):
     from ..operators.calendar import calendar_spine
 
-    return calendar_spine(weekly_demand(spark, sf_dir))
+    return calendar_spine(items_from_parts(spark, sf_dir), cfg)
 
 
-def q_densified_demand(spark, sf_dir):
+def q_densified_demand(spark, sf_dir, cfg: PlanConfig = DEFAULT):
     from ..operators.calendar import densify
 
-    return densify(weekly_demand(spark, sf_dir))
+    return densify(*load_inputs(spark, sf_dir), cfg)
 
 
 # ---------------------------------------------------------------- scenario overlay
@@ -266,30 +266,57 @@ def q_gbt_forecast(spark, sf_dir, cfg: PlanConfig = DEFAULT):
     return finish(gbt_forecasts(weekly_demand(spark, sf_dir, cfg.test_cutoff), cfg))
 
 
-def _model_inputs(spark, sf_dir, cfg):
-    """Demand history written once: the model and the plan both read it, so
-    the line-item roll-up is not computed a second time (the persisted job
-    gets the same from its written tables)."""
-    from ..session import materialize
+def _scored(spark, sf_dir, cfg):
+    """Inputs and the history rows that the models scored; the roll-up runs once, into the model's table."""
+    from ..operators.forecast import model_rows
 
     demand, items = load_inputs(spark, sf_dir, cfg.test_cutoff, costs_on_demand=True)
-    return materialize(demand.filter(split.history_filter(cfg)), "demand-history"), items
+    return demand, items, model_rows(panel.history_rows(demand, items, cfg), cfg)
 
 
 def q_context_plan_gbt(spark, sf_dir, cfg: PlanConfig = DEFAULT):
-    from ..operators.forecast import gbt_forecasts
-
-    demand, items = _model_inputs(spark, sf_dir, cfg)
-    rows = panel.planning_rows(demand, items, cfg, forecasts=gbt_forecasts(demand, cfg))
-    return finish(panel.context_from_rows(rows))
+    demand, items, scored = _scored(spark, sf_dir, cfg)
+    return finish(panel.context_from_rows(panel.planning_rows(demand, items, cfg, scored=scored)))
 
 
 def q_gbt_accuracy(spark, sf_dir, cfg: PlanConfig = DEFAULT):
-    from ..operators.forecast import gbt_forecasts
+    demand, items, scored = _scored(spark, sf_dir, cfg)
+    return finish(compare.forecast_accuracy(panel.policy_panel(demand, items, cfg, scored=scored)))
+
+
+def _featured(spark, sf_dir, cfg):
+    from ..operators.forecast import featured
+
+    return featured(weekly_demand(spark, sf_dir, cfg.test_cutoff), cfg)
+
+
+def q_model_inputs(spark, sf_dir, cfg: PlanConfig = DEFAULT):
+    """What each category's model is fitted on: rows, label sum, range of each feature."""
+    from ..operators.forecast import training_rows
+
+    rows = training_rows(_featured(spark, sf_dir, cfg), cfg)
+    ranges = [g(F.col(c).cast("double")).alias(f"{n}_{c}") for c in cfg.features for n, g in (("min", F.min), ("max", F.max))]
+    return finish(rows.groupBy("category").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("demand").alias("sum_demand"), *ranges))
+
+
+def q_assembled_features(spark, sf_dir, cfg: PlanConfig = DEFAULT):
+    """The assembler's vector of every training row, taken apart again."""
+    from pyspark.ml.functions import vector_to_array
+
+    from ..operators.forecast import assembler, training_rows
+
+    rows = assembler(cfg.features).transform(training_rows(_featured(spark, sf_dir, cfg), cfg))
+    parts = vector_to_array("features")
+    return finish(rows.select("product_id", "date", *(parts[i].alias(f"x_{c}") for i, c in enumerate(cfg.features))))
+
+
+def q_forecast_coverage(spark, sf_dir, cfg: PlanConfig = DEFAULT):
+    """Test rows per category, and those with a finite model forecast."""
+    from ..operators.forecast import model_rows
 
-    demand, items = _model_inputs(spark, sf_dir, cfg)
-    settled = panel.policy_panel(demand, items, cfg, forecasts=gbt_forecasts(demand, cfg))
-    return finish(compare.forecast_accuracy(settled))
+    rows = model_rows(weekly_demand(spark, sf_dir, cfg.test_cutoff), cfg)
+    finite = F.col("model_forecast").isNotNull() & ~F.isnan("model_forecast") & (F.abs("model_forecast") < float("inf"))
+    return rows.groupBy("category").agg(F.count(F.lit(1)).alias("n_test"), F.count_if(finite).alias("n_forecast"))
 
 
 QUERIES: dict[str, Query] = {
@@ -331,4 +358,7 @@ QUERIES: dict[str, Query] = {
     "gbt_forecast": q_gbt_forecast,
     "context_plan_gbt": q_context_plan_gbt,
     "gbt_accuracy": q_gbt_accuracy,
+    "model_inputs": q_model_inputs,
+    "assembled_features": q_assembled_features,
+    "forecast_coverage": q_forecast_coverage,
 }

@@ -24,7 +24,9 @@ def stockouts_inventory_over_time(settled: DataFrame) -> DataFrame:
     ).select("Stockouts", "Inventory", "date", "Simulation")
 
 
-def forecast_comparison(demand: DataFrame, items: DataFrame, cfg: PlanConfig = DEFAULT) -> DataFrame:
+def forecast_comparison(
+    demand: DataFrame, items: DataFrame, cfg: PlanConfig = DEFAULT, forecasts: DataFrame | None = None
+) -> DataFrame:
     """Every demand row with both forecasts, NULL outside the test window (V9).
 
     The reference left-joins the demand table to each persisted plan. Both
@@ -32,7 +34,7 @@ def forecast_comparison(demand: DataFrame, items: DataFrame, cfg: PlanConfig = D
     source is read once and only the item keys are joined (see
     ``panel.history_with_forecasts``).
     """
-    rows = panel.history_with_forecasts(demand, items, cfg)
+    rows = panel.history_with_forecasts(demand, items, cfg, forecasts)
     return rows.select(
         F.col("date").alias("Date"),
         F.col("product_id").alias("Product"),
@@ -77,9 +79,15 @@ def weekly_stockouts(settled: DataFrame) -> DataFrame:
     )
 
 
-def weekly_demand_vs_forecast(demand: DataFrame, items: DataFrame, cfg: PlanConfig = DEFAULT) -> DataFrame:
+def weekly_demand_vs_forecast(
+    demand: DataFrame, items: DataFrame, cfg: PlanConfig = DEFAULT, forecasts: DataFrame | None = None
+) -> DataFrame:
     """Line chart data: weekly demand and both forecasts; NULL forecasts are skipped."""
-    v9 = forecast_comparison(demand, items, cfg)
+    return weekly_forecasts(forecast_comparison(demand, items, cfg, forecasts))
+
+
+def weekly_forecasts(v9: DataFrame) -> DataFrame:
+    """The weekly sums of ``forecast_comparison`` rows."""
     return v9.groupBy(week_start(F.col("Date")).alias("week")).agg(
         F.sum("Demand").alias("sum_demand"),
         F.sum("Context_Aware_Forecast").alias("sum_context_aware_forecast"),

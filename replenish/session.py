@@ -2,13 +2,15 @@
 
 ``get_session`` is for tests, the bench and local runs only. Library code
 never builds a session; it takes the caller's and only reads settings from
-it (``checkpoint_dir``).
+it (``shared_dir``).
 """
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
-import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -31,39 +33,60 @@ def get_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for lineage cuts and intermediate tables.
+#: Where a session that runs in one process keeps intermediates if it names no folder.
+LOCAL_DIR = "/tmp/checkpoints"
+_written: list[tuple[SparkSession, str]] = []
 
-    On a cluster this is whatever ``spark.checkpoint.dir`` names (a shared
-    file system). Only when it is unset (local tests) do we pick a scratch
-    folder and register it, so later calls agree.
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder for intermediate tables: ``spark.checkpoint.dir``.
+
+    Executors write there and others read it back, so on a cluster (and under
+    Spark Connect) it must be named; only a ``local[...]`` session may do without.
     """
-    try:
-        sc = spark.sparkContext
-    except Exception:  # Spark Connect: the server's configured folder applies
-        return spark.conf.get("spark.checkpoint.dir", None)
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    conf = sc.getConf().get("spark.checkpoint.dir", None)
-    if conf:
-        sc.setCheckpointDir(conf)
-        return sc.getCheckpointDir() or conf
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="replenish-ckpt-"))
-    return sc.getCheckpointDir()
-
-
-def materialize(df, name: str, partition_by=None):
-    """Write ``df`` once as Parquet under the shared checkpoint folder and
-    return a read of it: a lineage cut that is computed a single time (an
-    unpersisted ``checkpoint()`` computes its input twice), survives lost
-    executors, and lets later filters on ``partition_by`` prune folders."""
-    import uuid
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if master == "local" or master.startswith("local["):
+        return LOCAL_DIR
+    raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+
 
+def materialize(df, name: str, partition_by: str | None = None):
+    """Write ``df`` once as Parquet under the shared folder and read it back.
+
+    A lineage cut that is computed a single time (an unpersisted
+    ``checkpoint()`` computes its input twice) and survives lost executors.
+    Filters on ``partition_by`` prune folders. The files go when the enclosing
+    ``scratch`` block or the program ends.
+    """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*([partition_by] if isinstance(partition_by, str) else partition_by))
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
-    return spark.read.parquet(path)
+    _written.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(entries: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in entries:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        _written.remove((spark, path))
+
+
+@contextlib.contextmanager
+def scratch():
+    """Delete on leaving what ``materialize`` wrote inside; frames that read it are dead then."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        _remove(_written[before:])
+
+
+@atexit.register
+def _remove_all() -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        _remove(list(_written))

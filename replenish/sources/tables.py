@@ -42,9 +42,14 @@ INPUT_SCHEMAS = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """An input table; a missing column raises (a declared schema alone would read it as NULL)."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     schema = INPUT_SCHEMAS.get(name)
-    return spark.read.schema(schema).parquet(path) if schema else spark.read.parquet(path)
+    if not schema:
+        return spark.read.parquet(path)
+    declared = spark.read.schema(schema).parquet(path)
+    require_columns(spark.read.parquet(path), declared.columns, path)  # reads one footer
+    return declared
 
 
 def first_monday_on_or_after(day: str) -> _dt.datetime:
@@ -64,11 +69,12 @@ def week_start(ts: Column) -> Column:
 
 
 def weekly_demand(
-    spark: SparkSession, sf_dir: str, before: str | None = None, with_costs: bool = False
+    spark: SparkSession, sf_dir: str, before: str | None = None, with_costs: bool = False, since: str | None = None
 ) -> DataFrame:
     """Weekly demand and lead time per part from the line items.
 
-    ``before`` (a date) keeps only weeks starting before it. The bound is
+    ``before`` (a date) keeps only weeks starting before it, ``since`` only
+    weeks starting on or after it. Each bound is
     turned into an equivalent one on the raw ship date, which Catalyst pushes
     into the Parquet scan (row groups past it are skipped); a filter on the
     truncated week alone could not be pushed.
@@ -87,6 +93,9 @@ def weekly_demand(
     if before is not None:
         bound = first_monday_on_or_after(before).isoformat(sep=" ")
         li = li.filter(F.col("l_shipdate") < F.lit(bound).cast("timestamp_ntz"))
+    if since is not None:
+        bound = first_monday_on_or_after(since).isoformat(sep=" ")
+        li = li.filter(F.col("l_shipdate") >= F.lit(bound).cast("timestamp_ntz"))
     od = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     pt = table(spark, sf_dir, "part").select("p_partkey", "p_type", *(["p_retailprice"] if with_costs else []))
 
@@ -162,10 +171,33 @@ def canonical_items(df: DataFrame) -> DataFrame:
     )
 
 
-def read_canonical(spark: SparkSession, demand_path: str, items_path: str, fmt: str = "parquet"):
-    """Bring-your-own data (X6): read canonical demand and item tables."""
+def check_contract(demand: DataFrame, items: DataFrame) -> None:
+    """Raise ``ValueError`` unless a product has one row per week, one category, and one item row.
+
+    One aggregate per rule; lags, statistics and joins rely on them.
+    """
+    per_week = demand.groupBy("product_id", "date").agg(F.count("*").alias("n"))
+    per_product = demand.groupBy("product_id").agg(F.min("category").alias("a"), F.max("category").alias("b"))
+    per_item = items.groupBy("product_id").agg(F.count("*").alias("n"))
+    rules = (
+        ("demand has several rows for a product and week", per_week.filter("n > 1")),
+        ("demand has several categories for a product", per_product.filter("a <> b")),
+        ("items has several rows for a product", per_item.filter("n > 1")),
+    )
+    for what, broken in rules:
+        if found := broken.select("product_id").head(1):
+            raise ValueError(f"{what}, e.g. product_id {found[0].product_id}")
+
+
+def read_canonical(spark: SparkSession, demand_path: str, items_path: str, fmt: str = "parquet", check: bool = True):
+    """Bring-your-own data (X6): read canonical demand and item tables.
+
+    ``check=False`` skips the contract check, for tables that were checked before.
+    """
     demand = canonical_demand(spark.read.format(fmt).load(demand_path))
     items = canonical_items(spark.read.format(fmt).load(items_path))
+    if check:
+        check_contract(demand, items)
     return demand, items
 
 

@@ -1,12 +1,14 @@
-"""Model tests: the boosted-tree path cannot be checked by SQL."""
+"""Model tests: the boosted-tree values cannot be checked by SQL."""
 
 import math
 
 import pytest
 from pyspark.sql import functions as F
 
+from replenish import session
 from replenish.config import DEFAULT
-from replenish.operators import features, forecast, split
+from replenish.operators import features, forecast, panel, split
+from replenish.sources.tables import load_inputs
 
 
 @pytest.fixture(scope="module")
@@ -24,12 +26,48 @@ def test_one_finite_prediction_per_test_row(inputs_small, preds):
     assert all(v is not None and math.isfinite(v) for v in vals)
 
 
-def test_two_fits_agree(inputs_small, preds):
+def test_two_fits_of_one_written_table_agree(spark):
+    """Over 10,000 training rows in the category, so split candidates are sampled."""
+    demand, _ = load_inputs(spark, "/root/testdata/sf0.1", DEFAULT.test_cutoff)
+    one = demand.filter("category = 'ECONOMY'")
+    table = forecast.written_by_category(forecast.featured(one), "test-featured")
+    train = forecast.training_rows(table)
+    assert train.count() > 10_000
+    test = table.filter(split.test_filter(DEFAULT))
+    a, b = (forecast.scored(test, forecast.train_context_aware_model(train)) for _ in range(2))
+    both = a.select("product_id", "date", F.col("model_forecast").alias("a")).join(b, ["product_id", "date"])
+    assert both.filter("a <> model_forecast").count() == 0 and both.count() == test.count()
+
+
+def test_every_fit_reads_its_own_folder_in_several_tasks(spark, inputs_small):
     demand, _ = inputs_small
-    again = forecast.gbt_forecasts(demand)
-    a = preds.agg(F.sum("forecast_demand")).first()[0]
-    b = again.agg(F.sum("forecast_demand")).first()[0]
-    assert math.isclose(a, b, rel_tol=1e-12)
+    table = forecast.written_by_category(forecast.featured(demand), "test-featured")
+    own = table.filter("category = 'PROMO'")
+    plan = own._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(category" in plan
+    files = own.select(F.input_file_name().alias("f")).distinct().count()
+    assert files > 1 and own.rdd.getNumPartitions() > 1
+
+
+def test_withheld_category_has_no_context_plan(spark, inputs_small):
+    demand, items = inputs_small
+    scored = forecast.model_rows(panel.history_rows(demand, items), categories=["ECONOMY", "no such category"])
+    rows = panel.planning_rows(demand, items, scored=scored)
+    n = scored.filter("model_forecast is not null").count()
+    assert 0 < n < scored.count()
+    assert panel.context_from_rows(rows).count() == n
+    assert panel.baseline_from_rows(rows).count() == 418
+    by = {r.policy: r["count"] for r in panel.policy_panel(demand, items, scored=scored).groupBy("policy").count().collect()}
+    assert by == {"Traditional": 418, "Context Aware": n}
+
+
+def test_null_costs_leave_the_training_rows(spark, inputs_small):
+    demand, items = inputs_small
+    bare = items.withColumn("unit_cost", F.when(F.col("product_id") % 10 != 0, F.col("unit_cost")))
+    rows = panel.history_rows(demand, bare)
+    assert rows.filter("unit_cost is null").count() > 0
+    n = [forecast.training_rows(forecast.featured(x)).count() for x in (rows, panel.history_rows(demand, items))]
+    assert n[0] == n[1] == features.training_matrix(demand.filter(split.train_filter(DEFAULT))).count()
 
 
 def test_missing_feature_raises(inputs_small):
@@ -44,3 +82,23 @@ def test_actuals_mode_runs(inputs_small):
     cfg = DEFAULT.with_(lag_mode="actuals")
     out = forecast.gbt_forecasts(demand, cfg, categories=["ECONOMY"])
     assert out.count() == demand.filter(split.test_filter(cfg) & (F.col("category") == "ECONOMY")).count()
+    with pytest.raises(ValueError, match="lag_mode"):
+        forecast.featured(demand, DEFAULT.with_(lag_mode="other"))
+
+
+def test_intermediates_need_a_shared_folder_and_go(spark, monkeypatch):
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "spark://host:7077"}.get(key, default)
+
+    class Remote:
+        conf = Conf()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(Remote())
+    with session.scratch():
+        df = session.materialize(spark.range(5), "test")
+        path = df.inputFiles()[0]
+        assert df.count() == 5
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    assert not jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)

@@ -14,7 +14,10 @@ sys.path.insert(0, os.path.join(ROOT, "tools"))
 import __spark_entry__ as entry  # noqa: E402
 from check_oracle import frame_hash  # noqa: E402
 
-SQL = entry.oracle_sql()
+from replenish.plans.oracle import oracle_sql  # noqa: E402
+from replenish.plans.queries import QUERIES  # noqa: E402
+
+SQL = oracle_sql()
 ORACLE_KEYS = sorted(SQL)
 
 
@@ -28,7 +31,7 @@ def duck():
 
 @pytest.mark.parametrize("name", ORACLE_KEYS)
 def test_query_matches_oracle(spark, duck, name):
-    got = entry.queries()[name](spark, SF0001).toPandas()
+    got = QUERIES[name](spark, SF0001).toPandas()
     want = duck.sql(SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert len(got) == len(want)
@@ -36,7 +39,8 @@ def test_query_matches_oracle(spark, duck, name):
 
 
 def test_every_query_has_oracle_or_is_model_based():
-    missing = set(entry.queries()) - set(SQL)
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
+    missing = set(QUERIES) - set(SQL)
     assert missing == {"gbt_forecast", "context_plan_gbt", "gbt_accuracy"}
 
 

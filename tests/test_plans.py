@@ -3,7 +3,10 @@
 import io
 from contextlib import redirect_stdout
 
-from replenish.operators import compare, panel, split
+import pytest
+
+from replenish.operators import compare, panel
+from replenish.plans.queries import QUERIES
 from replenish.sources.tables import load_inputs
 
 from conftest import SF0001
@@ -16,11 +19,30 @@ def _plan(df, mode="formatted"):
     return buf.getvalue()
 
 
-def test_date_bound_reaches_the_scan(spark):
-    demand, _ = load_inputs(spark, SF0001)
-    train, _ = split.split_train_test(demand)
-    text = _plan(train)
-    assert "PushedFilters: [IsNotNull(l_shipdate)" in text or "l_shipdate" in text.split("PushedFilters")[1]
+@pytest.mark.parametrize(
+    ("name", "bounds"),
+    [
+        ("training_set", ["LessThan(l_shipdate"]),
+        ("policy_params", ["LessThan(l_shipdate"]),
+        ("testing_set", ["GreaterThanOrEqual(l_shipdate", "LessThan(l_shipdate"]),
+        ("test_features_actuals", ["GreaterThanOrEqual(l_shipdate", "LessThan(l_shipdate"]),
+    ],
+)
+def test_date_bounds_reach_the_scan(spark, name, bounds):
+    text = _plan(QUERIES[name](spark, SF0001))
+    pushed = [line for line in text.splitlines() if "PushedFilters" in line and "l_orderkey" in line]
+    assert pushed and all(all(b in line for b in bounds) for line in pushed)
+
+
+def test_profile_has_no_expand(spark):
+    assert "Expand" not in _plan(QUERIES["demand_profile"](spark, SF0001))
+
+
+def test_panel_and_scenario_read_the_line_items_once(spark):
+    for name in ("densified_demand", "scenario_demand", "scenario_lead_time"):
+        text = _plan(QUERIES[name](spark, SF0001), "simple")
+        assert text.count("l_shipdate") and text.count("lineitem.parquet") == 1, name
+    assert "lineitem" not in _plan(QUERIES["calendar_spine"](spark, SF0001), "simple")
 
 
 def test_scans_read_only_needed_columns(spark):
@@ -48,10 +70,8 @@ def test_product_top_k_is_take_ordered(spark):
 
 
 def test_no_cartesian_product_anywhere(spark):
-    import __spark_entry__ as entry
-
-    for name, q in entry.queries().items():
-        if name.startswith("gbt") or name.endswith("_gbt"):
+    for name, q in QUERIES.items():
+        if name.startswith("gbt") or name.endswith("_gbt") or name == "forecast_coverage":
             continue
         text = _plan(q(spark, SF0001), "simple")
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name

@@ -2,9 +2,12 @@
 
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
+from replenish.config import DEFAULT
 from replenish.functions.scenario import Scenario
+from replenish.operators.calendar import calendar_spine, densify
 from replenish.operators.scenario import apply_scenario
 
 
@@ -21,7 +24,7 @@ def _rows(spark):
 
 def test_hand_values(spark):
     sc = Scenario(profiles={"H": "Health"}, trend=0.0)
-    got = {(r.product_id, r.date.year): r for r in apply_scenario(_rows(spark), sc).collect()}
+    got = {(r.product_id, r.date.year): r for r in apply_scenario(_rows(spark), sc, "2000-01-03", "2001-03-05").collect()}
     r0, r61, rx = got[(1, 2000)], got[(1, 2001)], got[(2, 2001)]
     assert math.isclose(r0.seasonal_effect, 0.3)                       # 0.3*cos(0)
     assert r0.shock_effect == 0.0 and r0.lead_time_disruption == 0.0   # before week 60
@@ -33,8 +36,28 @@ def test_hand_values(spark):
     assert rx.seasonal_effect == 0.0 and rx.shock_effect == 0.0 and rx.scenario_demand == 10.0
 
 
-def test_explicit_bounds_equal_derived(spark):
+def test_slope_per_product(spark):
     df = _rows(spark)
-    a = apply_scenario(df).select("product_id", "date", "scenario_demand")
-    b = apply_scenario(df, origin="2000-01-03", last="2001-03-05").select("product_id", "date", "scenario_demand")
-    assert sorted(a.collect()) == sorted(b.collect())
+    slopes = spark.createDataFrame([(1, 0.15)], "product_id long, slope double")
+    got = {(r.product_id, r.date.year): r.trend_effect for r in apply_scenario(df, slopes=slopes, origin="2000-01-03", last="2001-03-05").collect()}
+    assert math.isclose(got[(1, 2001)], 0.15 * 61 / 62)
+    assert math.isclose(got[(2, 2001)], 0.05 * 61 / 62)  # no slope of its own
+
+
+def test_calendar_holds_every_item_and_week(spark):
+    items = spark.createDataFrame([(1, "H", 1.0, 2.0), (2, "X", 1.0, 2.0), (3, "X", 1.0, 2.0)], "product_id long, category string, unit_cost double, stockout_cost_multiplier double")
+    cfg = DEFAULT.with_(calendar_start="2000-01-03", calendar_end="2001-03-05")
+    assert calendar_spine(items, cfg).count() == 3 * 62
+    dense = densify(_rows(spark), items, cfg)
+    assert dense.count() == 3 * 62 and dense.agg(F.sum("demand")).first()[0] == 30.0
+    assert dense.filter("observed").count() == 3
+    late = densify(_rows(spark), items, cfg, from_first_sale=True)
+    assert {r.product_id: r["count"] for r in late.groupBy("product_id").count().collect()} == {1: 62, 2: 1}
+
+
+def test_demand_outside_the_calendar_is_an_error(spark):
+    items = spark.createDataFrame([(1, "H", 1.0, 2.0)], "product_id long, category string, unit_cost double, stockout_cost_multiplier double")
+    for start, end in (("2000-01-10", "2001-03-05"), ("2000-01-03", "2001-02-26"), ("2000-01-04", "2001-03-06")):
+        cfg = DEFAULT.with_(calendar_start=start, calendar_end=end)
+        with pytest.raises(Exception, match="outside the calendar"):
+            densify(_rows(spark), items, cfg).collect()

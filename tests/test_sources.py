@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from replenish.operators import compare, panel
-from replenish.sources.tables import canonical_demand, load_inputs, read_canonical
+from replenish.sources.tables import canonical_demand, check_contract, load_inputs, read_canonical, weekly_demand
 
 from conftest import SF0001
 
@@ -31,3 +31,33 @@ def test_missing_columns_are_named(spark):
     df = spark.createDataFrame([(1, "A")], "product_id long, category string")
     with pytest.raises(ValueError, match=r"\['date', 'demand', 'lead_time'\]"):
         canonical_demand(df)
+
+
+def test_contract_breaks_are_named(spark):
+    demand = spark.createDataFrame([(1, "A", "2000-01-03"), (2, "B", "2000-01-03"), (2, "B", "2000-01-10")], "product_id long, category string, date string")
+    items = spark.createDataFrame([(1, "A"), (2, "B")], "product_id long, category string")
+    check_contract(demand, items)
+    with pytest.raises(ValueError, match="several rows for a product and week.*product_id 1"):
+        check_contract(demand.union(demand.filter("product_id = 1")), items)
+    with pytest.raises(ValueError, match="several categories.*product_id 2"):
+        check_contract(demand.union(spark.createDataFrame([(2, "C", "2000-01-17")], demand.schema)), items)
+    with pytest.raises(ValueError, match="items has several rows.*product_id 2"):
+        check_contract(demand, items.union(items.filter("product_id = 2")))
+
+
+def test_missing_input_column_raises(spark):
+    root = tempfile.mkdtemp(prefix="replenish-gap-")
+    for t in ("orders", "part"):
+        spark.read.parquet(f"{SF0001}/{t}.parquet").write.parquet(f"{root}/{t}.parquet")
+    spark.read.parquet(f"{SF0001}/lineitem.parquet").drop("l_quantity").write.parquet(f"{root}/lineitem.parquet")
+    with pytest.raises(ValueError, match="l_quantity"):
+        weekly_demand(spark, root)
+
+
+def test_a_product_has_one_row_and_the_items_category(spark, inputs_small):
+    demand, items = inputs_small
+    turned = demand.withColumn("category", F.when(F.month("date") > 3, F.lit("LARGE")).otherwise(F.col("category")))
+    rows = compare.product_comparison(panel.policy_panel(turned, items), items=items).collect()
+    assert len({r.product_id for r in rows}) == len(rows) == 10
+    named = {r.product_id: r.category for r in items.collect()}
+    assert all(r.category == named[r.product_id] for r in rows)
