@@ -42,7 +42,7 @@ def _keys(line: str) -> str:
 
 def main(argv) -> int:
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
-    import __spark_entry__ as entry
+    from replenish.plans.queries import QUERIES
     from replenish.session import get_session
 
     spark = get_session()
@@ -58,8 +58,8 @@ def main(argv) -> int:
     print("where the planner can.\n")
     print("| query | exchanges | exchange keys | joins | windows | subqueries | python | cartesian |")
     print("| --- | --- | --- | --- | --- | --- | --- | --- |")
-    for name, q in entry.queries().items():
-        if "gbt" in name:
+    for name, q in QUERIES.items():
+        if "gbt" in name or name == "forecast_coverage":
             continue
         text = _plan_text(q(spark, sf_dir))
         lines = text.splitlines()
@@ -82,16 +82,13 @@ def main(argv) -> int:
     print("* `single` exchanges carry a handful of rows (per-policy KPIs pivoted to one")
     print("  row, a global min/max); `hash(policy)`, `hash(category)` and `hash(date, policy)`")
     print("  follow map-side partial aggregation, so a hot key sends one row per map task.")
-    print("* `demand_profile` shows `hash(product_id, category, gid)`: the Expand of two")
-    print("  exact distinct counts.")
-    print("* `calendar_spine`, `densified_demand` and the scenario queries take the")
-    print("  calendar bounds from a scalar subquery over the demand; over a demand frame")
-    print("  still tied to the raw line items that subquery re-derives the roll-up (the")
-    print("  extra exchanges counted above). Pass the bounds (`end=`, `origin=`/`last=`)")
-    print("  or run them on the persisted demand table, where it is a one-column scan.")
-    print("* The three model queries (`gbt_forecast`, `context_plan_gbt`, `gbt_accuracy`)")
-    print("  run Spark ML fits on the materialised training matrix; their scoring plan is")
-    print("  a read of the materialised test features, a per-category projection and a union.")
+    print("* `demand_profile` aggregates per product (the roll-up's own partitioning), then")
+    print("  merges one row per map task; no Expand.")
+    print("* `calendar_spine` reads the items only; `densified_demand` joins its weeks with")
+    print("  the roll-up once; the scenario queries take the calendar as a parameter.")
+    print("* The model queries (`gbt_*`, `*_gbt`, `forecast_coverage`) write one table of")
+    print("  featured history rows, split by category; each category reads its own folder")
+    print("  to fit and to score, and nothing is joined back.")
     spark.stop()
     return 0
 
