@@ -9,16 +9,21 @@ Two texts are linked if 100 * |A and B| >= percent * |A or B|.
    drawn by a hash of (bin, attempt), the same for all texts.
 2. Bands of ROWS bins are bucket keys. Equal sets are one vertex from here on.
 3. In a bucket, all members meet one centre (the member that shares most
-   bucket places), so edges grow with the members, not with their pairs. Edges are
-   sifted by set sizes and signatures, then confirmed on full sets.
-4. What the stars may have missed: members of a bucket that are still in different
-   components meet as pairs. A bucket with many outsiders is first split by
-   its members' other bands, so a large bucket of unlike texts is not paired up.
-5. Components of the confirmed links, in DataFrame rounds.
-
-Nothing is capped: a group of any size gives as many edges as members. With
-BINS = 128 and ROWS = 4 a pair at similarity 0.85 (0.8) shares no bucket
-with probability below 1e-9 (1e-7).
+   bucket places), so edges grow with the members, not with their pairs. Edges
+   between like signatures are confirmed on full sets.
+4. Links between two members x and y of one centre c. If x is not linked to c, a link
+   needs a shared difference: with D(x) the shingles that only one of x and c
+   has and t = (1-s)/(1+s), J(x,c) < s <= J(x,y) gives |D(x) and D(y)| >
+   (1-t)/2 * |D(y)| > 0. So members still apart meet only where they share one
+   of their rarest differences, as few of them as the needed overlap allows.
+5. Members unlike their centre meet as pairs in small buckets; a larger bucket of
+   them is first split by its members' other bands (two texts at the
+   threshold share many), again with a centre each.
+6. Components of the confirmed links, in DataFrame rounds.
+
+Nothing is capped. With 42 bands of 6 rows, a pair at similarity 0.85 (0.8)
+shares no bucket with probability below 1e-8 (3e-6). Signatures are off by
+less than 0.09 (four standard deviations) where steps 4 and 5 part.
 
 Defined results: a null, empty or white text has no shingle and is linked
 with nothing; a row without id keeps its place, with no component, and counts as kept;
@@ -30,22 +35,23 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, components, keep_ids, map_batches, written
 from .textops import grams, mix, text_slices, words
 
-BINS, ROWS = 128, 4
-BANDS = BINS // ROWS
+BINS, ROWS, BANDS = 256, 6, 42
 #: Attempts drawn for an empty bin before the next filled bin above is taken.
 ATTEMPTS = 2048
-#: Signature agreement below the threshold by more than this (six standard deviations) is no candidate.
-SLACK = 0.2
-#: A bucket with more outsiders is split by other bands, at most SPLITS times.
-OUTSIDERS, SPLITS = 64, 2
+#: Bound of a signature's error; agreement below threshold by more than twice this is no candidate.
+ERROR = 0.09
+#: Members whose signature agrees less with their centre's are unlike it.
+LIKE = 0.4
+#: Unlike members of a bucket that meet as pairs; larger buckets are split first, at most SPLITS times.
+PAIRED, SPLITS = 64, 3
 U = np.uint64
-_borrow = (mix(np.arange(BINS * ATTEMPTS, dtype=np.uint64) + U(0x5EED)) >> U(57)).astype(np.int64).reshape(BINS, ATTEMPTS)
+_borrow = (mix(np.arange(BINS * ATTEMPTS, dtype=np.uint64) + U(0x5EED)) >> U(56)).astype(np.int64).reshape(BINS, ATTEMPTS)
 
 
 def shingle_sets(raw: np.ndarray, at: np.ndarray, width: int) -> list[np.ndarray]:
@@ -70,7 +76,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     size = np.array([len(s) for s in sets], np.int64)
     flat = np.concatenate(sets) if n else np.zeros(0, np.uint64)
     row = np.repeat(np.arange(n), size)
-    place = row * BINS + (flat >> U(57)).astype(np.int64)
+    place = row * BINS + (flat >> U(56)).astype(np.int64)
     lead = np.ones(len(flat), bool)
     lead[1:] = place[1:] != place[:-1]  # sets are sorted: the first of a bin is its smallest
     sig = np.zeros(n * BINS, np.uint64)
@@ -96,7 +102,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 def band_keys(sig: np.ndarray) -> np.ndarray:
     key = np.zeros((len(sig), BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
     for j in range(ROWS):
-        key = mix(key * U(0x9E3779B97F4A7C15) ^ sig[:, j::ROWS])
+        key = mix(key * U(0x9E3779B97F4A7C15) ^ sig[:, j : BANDS * ROWS : ROWS])
     return key
 
 
@@ -139,55 +145,106 @@ def full_sets(docs: DataFrame, id_col: str, text_col: str, width: int, ids: Data
     return map_batches(chosen, run, "id long, set array<long>").dropDuplicates(["id"])
 
 
-def agreeing(edges: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) whose set sizes and signatures do not rule out a link."""
+def agreement(edges: DataFrame, reps: DataFrame, least: float, percent: int | None = None) -> DataFrame:
+    """(a, b, na, nb, agree): edges whose signatures agree in at least ``least``; percent: and whose sizes allow a link."""
     one = reps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
     two = reps.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
-    joined = edges.join(one, "a").join(two, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    joined = edges.join(one, "a").join(two, "b")
+    if percent is not None:
+        joined = joined.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("sa", "sb"))
-        ok = np.flatnonzero((x == y).mean(axis=1) >= percent / 100 - SLACK)
-        return pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(ok)) for c in ("a", "b", "na", "nb")], names=["a", "b", "na", "nb"])
+        agree = (x == y).mean(axis=1)
+        ok = np.flatnonzero(agree >= least)
+        return pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(ok)) for c in ("a", "b", "na", "nb")), pa.array(agree[ok])], names=["a", "b", "na", "nb", "agree"])
 
-    return map_batches(joined.select("a", "b", "na", "nb", "sa", "sb"), run, "a long, b long, na long, nb long")
+    return map_batches(joined.select("a", "b", "na", "nb", "sa", "sb"), run, "a long, b long, na long, nb long, agree double")
 
 
-def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Edges that hold on full sets."""
+def on_sets(edges: DataFrame, sets: DataFrame) -> DataFrame:
+    """``edges`` with both sets x and y and the number of shingles they share."""
     both = edges.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.withColumn("s", shared).where(F.col("s") * 100 >= (F.col("na") + F.col("nb") - F.col("s")) * percent).select("a", "b")
+    return both.withColumn("shared", F.size(F.array_intersect("x", "y")).cast("long"))
+
+
+def union_size() -> Column:
+    return F.col("na") + F.col("nb") - F.col("shared")
+
 
+def linked_by(percent: int) -> Column:
+    return F.col("shared") * 100 >= union_size() * percent
 
-def star_edges(members: DataFrame) -> DataFrame:
-    """(a, b): each member of a bucket with the bucket's centre; ``members``: (key, id, n_key)."""
+
+def centred(members: DataFrame) -> DataFrame:
+    """(key, id, path, centre) of the members of each bucket; ``members``: (key, id, path, n_key)."""
     weight = members.groupBy("id").agg(F.sum("n_key").alias("w"))
     weighted = members.join(weight, "id")
     centre = weighted.groupBy("key").agg(F.max(F.struct("w", (-F.col("id")).alias("m"))).alias("c")).select("key", (-F.col("c.m")).alias("centre"))
-    return members.join(centre, "key").where("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+    return members.select("key", "id", "path").join(centre, "key").where("id <> centre")
+
 
+def counted(places: DataFrame) -> DataFrame:
+    """The places (key, id, ...) in buckets of at least two members, with their number n_key."""
+    return places.join(places.groupBy("key").agg(F.count("*").alias("n_key")).where("n_key > 1"), "key")
 
-def outsider_edges(spark, members: DataFrame, reps: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b): bucket mates that are in different components so far."""
-    m = members.select("key", "id").join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    out = None
+
+def candidates(spark: SparkSession, members: DataFrame, near: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(star edges between like texts, pairs of texts unlike their centres), each (a, b, na, nb)."""
+    stars = pairs = None
     for split in range(SPLITS + 1):
-        groups = m.groupBy("key", "root").agg(F.count("*").alias("k"))
-        keys = groups.groupBy("key").agg(F.sum("k").alias("n"), F.max(F.struct("k", "root")).alias("top")).where("n > top.k").select("key", (F.col("n") - F.col("top.k")).alias("outside"), F.col("top.root").alias("main"))
-        m = written(spark, m.join(keys, "key"), "mixed")
-        now = m if split == SPLITS else m.where(F.col("outside") <= OUTSIDERS)
-        x = now.where("root <> main").select("key", F.col("id").alias("x"), F.col("root").alias("rx"))
-        y = now.select("key", F.col("id").alias("y"), F.col("root").alias("ry"), (F.col("root") == F.col("main")).alias("in_main"))
-        pairs = x.join(y, "key").where("rx <> ry and (in_main or x < y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        out = pairs if out is None else out.unionByName(pairs)
+        stars_of = written(spark, centred(members), "centred")
+        edges = stars_of.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+        agree = written(spark, agreement(edges, near, 0.0), "agree")
+        like = agree.where(F.col("agree") >= LIKE).select("a", "b", "na", "nb")
+        stars = like if stars is None else stars.unionByName(like)
+        # A link of an unlike member ends at a member that is this unlike the centre too.
+        unlike = agree.where(F.col("agree") < LIKE + 2 * ERROR + 1 - percent / 100).select(F.col("a").alias("centre"), F.col("b").alias("id"))
+        rest = written(spark, counted(stars_of.join(unlike, ["centre", "id"]).select("key", "id", "path")), "unlike")
+        now = rest if split == SPLITS else rest.where(F.col("n_key") <= PAIRED)
+        two = now.select("key", F.col("id").alias("a")).join(now.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b").distinct()
+        found = written(spark, agreement(two, near, percent / 100 - 2 * ERROR, percent), "pairs").drop("agree")
+        pairs = found if pairs is None else pairs.unionByName(found)
         if split == SPLITS:
             break
-        rest = m.where(F.col("outside") > OUTSIDERS).select("key", "id", "root")
-        if rest.isEmpty():
+        large = rest.where(F.col("n_key") > PAIRED).select("id", "path")
+        if large.isEmpty():
             break
-        m = rest.join(reps.select("id", "bands"), "id").select(F.explode("bands").alias("band"), "key", "id", "root").select(F.xxhash64("key", "band").alias("key"), "id", "root")
-    return out.distinct()
+        other = F.array_except("bands", "path")  # the bands that do not name the bucket already
+        finer = large.join(near.select("id", "bands"), "id").select("id", "path", F.explode(other).alias("band"))
+        finer = finer.select("id", F.array_sort(F.array_append("path", F.col("band"))).alias("path")).distinct()
+        members = written(spark, counted(finer.withColumn("key", F.xxhash64("path"))), "members")
+    return stars.distinct(), pairs.distinct()
+
+
+def apart(stars: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """(a, b): members of one centre that are in different components and may be linked by their differences.
+
+    ``stars``: (a: centre, b: member, na, nb, shared, d: the differences). A
+    pair x, y is linked if D(x) and D(y) share at least o = (|D(x)| + |D(y)| -
+    t(|x| + |y|)) / 2 elements; then, rarest first, they share one among the
+    first |D| - o + 1 of either.
+    """
+    s = percent / 100
+    t = (1 - s) / (1 + s)
+    root_a = roots.select(F.col("id").alias("a"), F.col("root").alias("ra"))
+    root_b = roots.select(F.col("id").alias("b"), F.col("root").alias("rb"))
+    x = stars.join(root_a, "a", "left").join(root_b, "b", "left").withColumn("root", F.coalesce("rb", "b")).withColumn("out", F.coalesce("ra", "a") != F.col("root"))
+    x = x.where(F.col("shared") >= union_size() * LIKE)
+    mixed = x.groupBy("a").agg(F.max("out").alias("o"), F.count("*").alias("k")).where("o and k > 1").select("a")
+    each = x.join(mixed, "a").select("a", "b", "root", "out", F.col("nb").alias("n"), F.size("d").alias("size"), F.explode("d").alias("e"))
+    common = each.groupBy("a", "e").agg(F.count("*").alias("f"), F.max("out").alias("met")).where("f > 1 and met").select("a", "e", "f")
+    rank = F.row_number().over(Window.partitionBy("a", "b").orderBy(F.coalesce("f", F.lit(1)), "e"))
+    ranked = each.join(common, ["a", "e"], "left").withColumn("r", rank).where("f is not null")
+    side = lambda rows, k: rows.select("a", "e", *(F.col(c).alias(c + k) for c in ("b", "root", "n", "size", "r")))
+    need = F.greatest(F.lit(1), F.ceil((F.col("size_x") + F.col("size_y") - t * (F.col("n_x") + F.col("n_y"))) / 2 - 1e-9))
+    # Bounds of either side alone: x is not linked to the centre, and sizes of linked texts differ by at most s.
+    rare_x = F.col("r") <= F.floor(t * (1 + 1 / s) * F.col("n") + 1e-9) + 1
+    rare_y = F.col("r") <= F.col("size") - F.floor((1 - t) / 2 * F.col("size"))
+    both = side(ranked.where(F.col("out") & rare_x), "_x").join(side(ranked.where(rare_y), "_y"), ["a", "e"])
+    early = (F.col("r_x") <= F.col("size_x") - need + 1) & (F.col("r_y") <= F.col("size_y") - need + 1)
+    met = both.where((F.col("root_x") != F.col("root_y")) & early)
+    return met.select(F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b")).distinct()
 
 
 def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -200,26 +257,23 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     classes = linked.groupBy("n", "h1", "h2").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     classes = written(spark, classes, "classes")
     reps = classes.select("id", "n", "bands", "sig")
-    places = reps.select("id", F.explode("bands").alias("key"))
-    shared = places.groupBy("key").agg(F.count("*").alias("n_key")).where("n_key > 1")
-    members = written(spark, places.join(shared, "key"), "members")
-    near = reps.select("id", "n", "sig", "bands").join(members.select("id").distinct(), "id", "left_semi")
-    near = written(spark, near, "near")
-
-    star = written(spark, agreeing(star_edges(members), near, percent), "star")
-    ids = star.select(F.col("a").alias("id")).union(star.select("b")).distinct()
-    sets = written(spark, full_sets(docs, id_col, text_col, width, ids), "sets")
-    links = written(spark, confirmed(star, sets, percent), "links")
+    members = written(spark, counted(reps.select("id", F.explode("bands").alias("key")).withColumn("path", F.array("key"))), "members")
+    near = written(spark, reps.join(members.select("id").distinct(), "id", "left_semi"), "near")
+    stars, pairs = candidates(spark, members, near, percent)
+
+    ids = stars.select(F.col("a").alias("id")).union(stars.select("b")).union(pairs.select("a")).union(pairs.select("b")).distinct()
+    sets = written(spark, full_sets(docs, id_col, text_col, width, written(spark, ids, "ids")), "sets")
+    differences = F.array_union(F.array_except("x", "y"), F.array_except("y", "x"))
+    stars = written(spark, on_sets(stars, sets).select("a", "b", "na", "nb", "shared", differences.alias("d")), "stars")
+    links = stars.where(linked_by(percent)).select("a", "b").unionByName(on_sets(pairs, sets).where(linked_by(percent)).select("a", "b"))
+    links = written(spark, links, "links")
     roots = components(spark, links)
-
-    rest = outsider_edges(spark, members, near, roots)
-    rest = written(spark, agreeing(rest, near, percent).join(star.select("a", "b"), ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        ids = rest.select(F.col("a").alias("id")).union(rest.select("b")).distinct().join(sets.select("id"), "id", "left_anti")
-        more = written(spark, full_sets(docs, id_col, text_col, width, ids), "sets")
-        extra = written(spark, confirmed(rest, sets.unionByName(more), percent), "links")
-        if not extra.isEmpty():
-            roots = components(spark, links.unionByName(extra))
+    met = written(spark, apart(stars, roots, percent), "apart")
+    if not met.isEmpty():
+        met = agreement(met, near, percent / 100 - 2 * ERROR, percent)
+        more = written(spark, on_sets(met, sets).where(linked_by(percent)).select("a", "b"), "links")
+        if not more.isEmpty():
+            roots = components(spark, links.unionByName(more))
 
     # Only sets with copies or links change a document's component.
     named = classes.select("n", "h1", "h2", "id", "copies").join(roots, "id", "left").where("copies > 1 or root is not null")

@@ -70,7 +70,7 @@ def test_chains_and_large_groups(spark, monkeypatch):
                         base[rng.randrange(size)] = rng.choice(vocabulary)
     rows += [(5000 + i, t) for i, t in enumerate(["", "  \n", None, "a", "A", "a b", "b a", "a b c", "a  b\tC"])]
     check(spark, rows, 3, 85)
-    monkeypatch.setattr(near_dup, "OUTSIDERS", 1)  # splits every mixed bucket
+    monkeypatch.setattr(near_dup, "PAIRED", 2)  # splits every larger bucket of unlike texts
     check(spark, rows, 3, 85)
 
 
@@ -80,9 +80,12 @@ def test_hot_group_of_near_copies(spark):
     rows = []
     for i in range(300):
         w = list(base)
-        for _ in range(rng.randrange(4)):
+        for _ in range(rng.randrange(9)):  # some far from the base, some of those near to each other
             w[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
         rows.append((i, " ".join(w)))
+        if i % 9 == 0:
+            w[rng.randrange(120)] = "twin"
+            rows.append((1000 + i, " ".join(w)))
     check(spark, rows, 3, 85)
 
 
