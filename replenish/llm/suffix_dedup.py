@@ -8,7 +8,7 @@ document.
    smallest hashed GRAM-word run (minimiser) is retained, so equal windows
    in two documents retain the same place: about one suffix in eighteen words, and
    no passage of MIN_WORDS words without one.
-2. Suffixes whose first GRAM words occur once are dropped by a count; the rest
+2. Suffixes whose first GRAM words occur in one text are dropped by a count; the rest
    carry the words right and left of the run, as far as a window reaches.
 3. The suffixes are sorted over the cluster by what follows (range partitions,
    so a passage in very many documents spreads over tasks) and each is compared with its
@@ -75,23 +75,31 @@ def _row_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def suffixes(docs: DataFrame) -> DataFrame:
-    """(row, place, run) of the retained suffixes of (row, body)."""
+    """(row, run, places) of the retained suffixes of (row, body); a run that a text repeats is one row."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        rows, places, runs = [], [], []
+        rows, runs, places, sizes = [], [], [], []
         for lo, _, raw, at in text_slices(batch.column(1)):
             w = words(raw, at)
             p, g = retained(w.hash, w.first)
+            if not len(p):
+                continue
             of = np.searchsorted(w.first, p, "right") - 1
-            rows.append(of + lo)
+            order = np.lexsort((p, g, of))
+            p, g, of = p[order], g[order], of[order]
+            new = np.append(True, (g[1:] != g[:-1]) | (of[1:] != of[:-1]))
+            lead = np.flatnonzero(new)
+            rows.append(of[lead] + lo)
+            runs.append(g[lead])
             places.append(p - w.first[of])
-            runs.append(g)
-        rows = np.concatenate(rows)
-        if not len(rows):
+            sizes.append(np.diff(np.append(lead, len(p))))
+        if not rows:
             return None
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(runs).astype(np.int64))], names=["row", "place", "run"])
+        ends = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32))
+        lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(places).astype(np.int32)))
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(runs).astype(np.int64)), lists], names=["row", "run", "places"])
 
-    return map_batches(docs.select("row", "body"), run, "row long, place int, run long")
+    return map_batches(docs.select("row", "body"), run, "row long, run long, places array<int>")
 
 
 def _around(h: np.ndarray, first: np.ndarray, row: np.ndarray, place: np.ndarray, side: int, right: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -121,14 +129,15 @@ def contexts(docs: DataFrame, places: DataFrame, side: int) -> DataFrame:
         for lo, hi, raw, at in text_slices(batch.column(2)):
             w = words(raw, at)
             lists = batch.column(3).slice(lo, hi - lo)
-            size = np.diff(lists.offsets.to_numpy())
             hits = lists.flatten()
-            place = hits.field("place").to_numpy(zero_copy_only=False).astype(np.int64)
-            of = np.repeat(np.arange(hi - lo), size)
+            each = hits.field("places")
+            times = np.diff(each.offsets.to_numpy())
+            place = each.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            of = np.repeat(np.repeat(np.arange(hi - lo), np.diff(lists.offsets.to_numpy())), times)
+            run_ = np.repeat(hits.field("run").to_numpy(zero_copy_only=False), times)
             ahead, na = _around(w.hash, w.first, of, place, side, True)
             behind, nb = _around(w.hash, w.first, of, place, side, False)
             # A document that repeats itself: one row for its like suffixes.
-            run_ = hits.field("run").to_numpy(zero_copy_only=False)
             like: dict[tuple, list[int]] = {}
             for i in _twins(of, run_):
                 like.setdefault((int(of[i]), int(run_[i]), ahead[i].tobytes(), behind[i].tobytes()), []).append(i)
@@ -285,7 +294,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     sampled = written(spark, suffixes(keyed), "suffixes")
     often = sampled.groupBy("run").agg(F.count("*").alias("n")).where("n > 1").select("run")
     hits = sampled.join(often, "run")
-    places = hits.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("place", "run"))).alias("hits"))
+    places = hits.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("run", "places"))).alias("hits"))
     places = written(spark, places, "places")
     chosen = keep_ids(keyed, places.select("row"), "row")
     rows = written(spark, contexts(chosen, places, side), "contexts")

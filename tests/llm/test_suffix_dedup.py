@@ -89,3 +89,18 @@ def test_edges(spark):
     lone = spark.createDataFrame([(1, p), (1, p)], "doc_id long, text string")
     assert sd.find(lone).count() == 0
     assert sd.find(df.limit(0)).count() == 0
+
+
+def test_batches_of_many_slices_equal_small_ones(spark):
+    """Texts of over SLICE_BYTES in one batch give the same spans as the same texts apart."""
+    rng = random.Random(8)
+    shared = [[f"p{k}x{i}" for i in range(60)] for k in range(40)]
+    rows = []
+    for i in range(300):
+        w = [f"w{rng.randrange(10**7)}" for _ in range(900)]
+        for k in rng.sample(range(40), 2):
+            at = rng.randrange(900)
+            w[at:at] = shared[k]
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(df.coalesce(1)) == brute(rows) == found(df.repartition(40))
