@@ -37,7 +37,7 @@ WEIGHTS = (5, 2, 1)
 SHARE, PASSES = 1.5, 2
 SEED = 17
 #: Documents in one range of the hash, about.
-RANGE_ROWS = 4_000
+RANGE_ROWS = 500
 ROUNDS = 4
 
 
