@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep_ids, map_batches
+from .common import keep_ids, map_batches, written
 from .textops import text_slices
 
 UNKNOWN = "und"
@@ -188,10 +188,13 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, label_col: str,
     texts of the chosen ids then.
     """
     labelled = docs.where(may_learn & F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    n_langs = max(1, labelled.select(label_col).distinct().count())
-    each = max(2, rows // n_langs)
-    order = Window.partitionBy(label_col).orderBy(F.xxhash64(id_col), id_col)
-    ids = labelled.select(id_col, label_col).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= each).select(id_col).distinct()
+    sizes = written(docs.sparkSession, labelled.groupBy(label_col).agg(F.count("*").alias("_n")), "languages")
+    each = max(2, rows // max(1, sizes.count()))
+    # Thinned to a few times the wanted rows before they meet by language; one row a language is broadcast.
+    place = F.pmod(F.xxhash64(id_col), F.lit(1 << 20))
+    thinned = labelled.select(id_col, label_col).join(F.broadcast(sizes), label_col).withColumn("_p", place).where(F.col("_p") * F.col("_n") < F.lit(4 * each * (1 << 20)))
+    order = Window.partitionBy(label_col).orderBy("_p", id_col)
+    ids = thinned.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= each).select(id_col).distinct()
     chosen = keep_ids(labelled.select(id_col, label_col, text_col), ids, id_col)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
