@@ -44,11 +44,9 @@ def _row_key(docs: DataFrame, names: dict[str, str]) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = lang_id.fit(docs)
     plain, names = _neutral(docs)
-    others = [n for c, n in names.items() if c not in ("doc_id", "text")]
-    # The text travels twice: read as the input, carried as the output.
-    plain = plain.withColumn("body", F.col(names["text"]))
-    out = lang_id.predict(plain, model, names["doc_id"], names["text"], [*others, "body"]).where("not rejected")
-    return out.select(*(F.col("body" if c == "text" else n).alias(c) for c, n in names.items()))
+    others = [n for c, n in names.items() if c != "doc_id"]
+    out = lang_id.predict(plain, model, names["doc_id"], names["text"], others).where("not rejected")
+    return out.select(*(F.col(n).alias(c) for c, n in names.items()))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

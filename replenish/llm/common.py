@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Used only where the session runs in one process and names no folder.
 LOCAL_DIR = "/tmp/checkpoints"
+#: Rows in an Arrow batch at most: texts are long, and a batch is held several times over.
+BATCH_ROWS = 1_000
 #: Rows of a two-long-column table that may be broadcast (about 32 MB); counted first.
 BROADCAST_ROWS = 2_000_000
 
@@ -41,11 +43,15 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
 
 def importable(spark: SparkSession) -> None:
-    """Let Python workers of this session import this package from the driver's path.
+    """Let Python workers of this session import this package from the driver's path, and bound their batches.
 
     On a cluster the package is installed or shipped with ``--py-files``; this
-    covers sessions whose workers share the driver's file system.
+    covers sessions whose workers share the driver's file system. The session's
+    Arrow batch size is lowered to BATCH_ROWS if it is larger.
     """
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(batch)) <= BATCH_ROWS:
+        spark.conf.set(batch, str(BATCH_ROWS))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):

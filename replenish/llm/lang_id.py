@@ -228,6 +228,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """(id, lang_pred, score, rejected, *carry); only the text is read for a prediction."""
     carry = carry or []
+    others = [c for c in carry if c != text_col]  # the text itself travels once
     shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages floats
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -249,14 +250,15 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
             lang = np.where(plain, np.array(model.langs, object)[best], UNKNOWN)
             score = np.where(plain, p[np.arange(n), best], 0.0)
             reject = ~plain | (score < model.threshold)
+        kept = [text if c == text_col else batch.column(2 + others.index(c)) for c in carry]
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(lang.tolist(), pa.string()), pa.array(score), pa.array(reject), *batch.columns[2:]],
+            [batch.column(0), pa.array(lang.tolist(), pa.string()), pa.array(score), pa.array(reject), *kept],
             names=[id_col, "lang_pred", "score", "rejected", *carry],
         )
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     extra = "".join(f", `{c}` {kinds[c]}" for c in carry)
-    return map_batches(docs.select(id_col, text_col, *carry), run, f"{id_col} {kinds[id_col]}, lang_pred string, score double, rejected boolean{extra}")
+    return map_batches(docs.select(id_col, text_col, *others), run, f"{id_col} {kinds[id_col]}, lang_pred string, score double, rejected boolean{extra}")
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
