@@ -15,13 +15,15 @@ document.
    nearest neighbours from other documents, the match extended left and right; then
    the same in the order of what precedes. Rows at the ends of the sorted
    partitions are compared once more among themselves, which joins the partitions.
-4. Matches of MIN_WORDS or more are merged into spans per document; longer
+4. The two sorts give each suffix its longest match to the right and to the left. Where
+   no single neighbour has both, a third document may share some of each: the windows
+   that those two lengths allow are hashed, and a window that two documents of
+   the run have is a match.
+5. Matches of MIN_WORDS or more are merged into spans per document; longer
    passages come out whole, as their suffixes' matches overlap.
 
 A word beside the run is held in 24 bits: with probability 2^-24 a match is
-a word too long. Neighbours are the longest matches to the right or to the left;
-a passage whose best partner is neither may be found shorter (the tests compare with
-all windows).
+a word too long.
 
 Defined results: null and empty texts, and texts of under MIN_WORDS words, have
 no span; repeats inside one document alone do not count; rows that repeat an id and text are
@@ -38,8 +40,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import importable, keep_ids, map_batches, written
-from .textops import grams, text_slices, words
+from .common import BROADCAST_ROWS, importable, keep_ids, map_batches, written
+from .textops import grams, mix, powers, text_slices, words
 
 MIN_WORDS, GRAM = 50, 16
 U = np.uint64
@@ -179,10 +181,10 @@ def _shared(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.
     return np.minimum(same, np.minimum(na, nb))
 
 
-def neighbours(sorted_rows: DataFrame, side: int, least: int) -> DataFrame:
-    """Matches of each suffix with the nearest suffixes of other documents in its partition.
+def neighbours(sorted_rows: DataFrame, side: int) -> DataFrame:
+    """Matches, of any length, of each suffix with the nearest suffixes of other documents in its partition.
 
-    (row, doc, places, left, right, other, edge): ``edge`` holds the context again, for the
+    (run, row, doc, places, left, right, other, edge): ``edge`` holds the context again, for the
     outermost suffixes of a partition, with ``row`` of the match null.
     """
     importable(sorted_rows.sparkSession)
@@ -211,76 +213,129 @@ def neighbours(sorted_rows: DataFrame, side: int, least: int) -> DataFrame:
             j = other[i]
             right = _shared(bytes_of["ahead"][i], bytes_of["ahead"][j], na[i], na[j])
             left = _shared(bytes_of["behind"][i], bytes_of["behind"][j], nb[i], nb[j])
-            ok = right + left + GRAM >= least
+            ok = right + left > 0
             i, j, right, left = i[ok], j[ok], right[ok], left[ok]
             if len(i):
                 me = pa.array(i)
-                out.append(match_rows(t["row"].take(me), t["doc"].take(me), t["places"].take(me), left, right, t["doc"].take(pa.array(j))))
+                out.append(match_rows(t["run"].take(me), t["row"].take(me), t["doc"].take(me), t["places"].take(me), left, right, t["doc"].take(pa.array(j))))
         return out
 
-    names = ["row", "doc", "places", "left", "right", "other", "edge"]
+    names = ["run", "row", "doc", "places", "left", "right", "other", "edge"]
 
-    def match_rows(row, doc, places, left, right, other) -> pa.RecordBatch:
+    def match_rows(run, row, doc, places, left, right, other) -> pa.RecordBatch:
         flat = lambda x: x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x
-        return pa.RecordBatch.from_arrays([flat(row), flat(doc), flat(places), pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32)), flat(other), pa.nulls(len(left), edge_type)], names=names)
+        return pa.RecordBatch.from_arrays([flat(run), flat(row), flat(doc), flat(places), pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32)), flat(other), pa.nulls(len(left), edge_type)], names=names)
 
     def edges(t: pa.Table, last: bool) -> list[int]:
-        """The outermost two turns' nearest suffixes: enough for a neighbour from another document."""
-        n = len(t)
-        order = range(n - 1, -1, -1) if last else range(n)
-        row, got, seen = t["row"], [], []
-        for i in order:
-            r = row[i].as_py()
-            if r not in seen:
-                seen.append(r)
-                got.append(i)
-                if len(seen) == 2:
-                    break
-        return got
+        """The outermost turn and the next one's nearest suffix: each finds its neighbour from another document."""
+        run, row = t["run"].to_numpy(), t["row"].to_numpy()
+        turns = np.flatnonzero(np.append(True, (run[1:] != run[:-1]) | (row[1:] != row[:-1])))
+        if last:
+            return list(range(max(int(turns[-1]) - 1, 0), len(t)))
+        return list(range(int(turns[1]) + 1 if len(turns) > 1 else len(t)))
 
     def edge_rows(t: pa.Table, at: list[int]) -> pa.RecordBatch:
         part = t.select(columns).take(pa.array(at)).combine_chunks()
         edge = pa.StructArray.from_arrays([part[c].combine_chunks() for c in columns], fields=list(edge_type))
         none = pa.nulls(len(at), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.nulls(len(at), arrow_doc), pa.nulls(len(at), pa.list_(pa.int32())), none, none, pa.nulls(len(at), arrow_doc), edge], names=names)
+        return pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), arrow_doc), pa.nulls(len(at), pa.list_(pa.int32())), none, none, pa.nulls(len(at), arrow_doc), edge], names=names)
 
     def partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         fresh = 0  # rows of ``held`` before it were compared already
+        begun = False
         for batch in batches:
             if not batch.num_rows:
                 continue
             new = pa.Table.from_batches([batch])
-            if held is None:
-                held = new
-                yield edge_rows(held, edges(held, False))
-            else:
-                held = pa.concat_tables([held, new])
+            held = new if held is None else pa.concat_tables([held, new])
             run, row = held["run"].to_numpy(), held["row"].to_numpy()
             turns = np.flatnonzero(np.append(True, (run[1:] != run[:-1]) | (row[1:] != row[:-1])))
+            if not begun and len(turns) > 1:
+                yield edge_rows(held, edges(held, False))
+                begun = True
             until = int(turns[-1])  # the last turn may go on in the next batch
             yield from compare(held, fresh, until)
             keep = int(turns[-2]) if len(turns) > 1 else 0
             fresh = until - keep
             held = held.slice(keep)
         if held is not None:
+            if not begun:
+                yield edge_rows(held, edges(held, False))
             yield from compare(held, fresh, len(held))
             yield edge_rows(held, edges(held, True))
 
-    return sorted_rows.select(*columns).mapInArrow(partition, f"row long, doc {kind}, places array<int>, left int, right int, other {kind}, edge struct<run:bigint,ahead:binary,behind:binary,n_ahead:int,n_behind:int,row:bigint,places:array<int>,doc:{kind}>")
+    return sorted_rows.select(*columns).mapInArrow(partition, f"run long, row long, doc {kind}, places array<int>, left int, right int, other {kind}, edge struct<run:bigint,ahead:binary,behind:binary,n_ahead:int,n_behind:int,row:bigint,places:array<int>,doc:{kind}>")
 
 
-def matches(rows: DataFrame, side: int, least: int, order: list[str], partitions: int) -> DataFrame:
-    """(row, doc, start, end, other) of all suffixes in one sort order."""
+def matches(rows: DataFrame, side: int, order: list[str], partitions: int) -> DataFrame:
+    """(run, row, doc, places, left, right, other) of all suffixes in one sort order."""
     spark = rows.sparkSession
     ranged = rows.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
-    found = written(spark, neighbours(ranged, side, least), "matches")
+    found = written(spark, neighbours(ranged, side), "matches")
     ends = found.where("edge is not null").select("edge.*")
-    # Four suffixes a partition: they fit one task and close the gaps between partitions.
-    across = neighbours(ends.repartition(1).sortWithinPartitions(*order), side, least)
-    both = found.where("edge is null").drop("edge").unionByName(across.where("edge is null").drop("edge"))
-    spread = both.select("row", "doc", "left", "right", "other", F.explode("places").alias("place"))
-    return spread.select("row", "doc", (F.col("place") - F.col("left")).alias("start"), (F.col("place") + GRAM + F.col("right")).alias("end"), "other")
+    # Two turns at each end of a partition: they fit one task and close the gaps between partitions.
+    across = neighbours(ends.repartition(1).sortWithinPartitions(*order), side)
+    return found.where("edge is null").drop("edge").unionByName(across.where("edge is null").drop("edge"))
+
+
+def windows(pool: DataFrame, side: int, placed: bool) -> DataFrame:
+    """(window, row, doc) of the windows with ``low`` to ``high`` words left of the run of each suffix; if ``placed`` with their starts."""
+    kind = pool.schema["doc"].dataType.simpleString()
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        n = batch.num_rows
+        power, _ = powers(2 * side + 1)
+
+        def prefixes(c: int, shift: int) -> np.ndarray:
+            b = np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(n, side, 3).astype(np.uint64)
+            v = (b[:, :, 0] << U(16) | b[:, :, 1] << U(8) | b[:, :, 2]) + U(1)
+            return np.concatenate([np.zeros((n, 1), np.uint64), np.cumsum(mix(v) * power[shift : shift + side], axis=1)], axis=1)
+
+        left = np.arange(side + 1)
+        outer = mix(prefixes(1, 0)[:, side - left] + prefixes(2, side)[:, left] + left.astype(np.uint64))
+        window = mix(outer ^ mix(batch.column(0).to_numpy().astype(np.uint64))[:, None])
+        low, high = (batch.column(c).to_numpy(zero_copy_only=False) for c in (3, 4))
+        at, words_left = np.nonzero((left >= low[:, None]) & (left <= high[:, None]))
+        if not len(at):
+            return None
+        take = pa.array(at)
+        cols = [pa.array(window[at, words_left].view(np.int64)), batch.column(5).take(take), batch.column(6).take(take)]
+        if placed:
+            cols += [batch.column(7).take(take), pa.array(words_left.astype(np.int32))]
+        return pa.RecordBatch.from_arrays(cols, names=["window", "row", "doc", "places", "left"][: len(cols)])
+
+    return map_batches(pool.select("run", "ahead", "behind", "low", "high", "row", "doc", "places"), run, f"window long, row long, doc {kind}" + (", places array<int>, left int" if placed else ""))
+
+
+def between(rows: DataFrame, found: DataFrame, side: int) -> DataFrame | None:
+    """(row, doc, start, end, other): windows shared with a document that is no neighbour in either sort; None if there can be none.
+
+    A window with l words left of the run and side - l right of it needs matches of those
+    lengths on both sides. The neighbour with the longest match to the right has it up to some
+    l, the one with the longest to the left from some l on; those between (``first`` to
+    ``last``) are looked up by hash among all suffixes of their run.
+    """
+    spark = rows.sparkSession
+    wide = 256
+    bounds = found.groupBy("run", "row", F.element_at("places", 1).alias("place")).agg(F.max(F.col("right") * wide + F.col("left")).alias("r"), F.max(F.col("left") * wide + F.col("right")).alias("l"))
+    bounds = bounds.select("run", "row", "place", (side - F.floor(F.col("r") / wide)).cast("int").alias("low"), F.floor(F.col("l") / wide).cast("int").alias("high"), (F.col("r") % wide).alias("had"), (side - F.col("l") % wide).alias("from"))
+    bounds = bounds.where("low <= high").select("run", "row", "place", "low", "high", F.greatest("low", F.col("had") + 1).alias("first"), F.least("high", F.col("from") - 1).alias("last"))
+    bounds = written(spark, bounds, "bounds")
+    runs = written(spark, bounds.where("first <= last").groupBy("run").agg(F.min("first").alias("run_first"), F.max("last").alias("run_last")), "open-runs")
+    n_runs = runs.count()
+    if not n_runs:
+        return None
+    small = F.broadcast(runs) if n_runs <= BROADCAST_ROWS else runs
+    asked = bounds.join(small, "run").withColumns({"low": F.greatest("low", "run_first"), "high": F.least("high", "run_last")}).where("low <= high").drop("run", "run_first", "run_last")
+    pool = keep_ids(rows, runs.select("run"), "run", n_runs).withColumn("place", F.element_at("places", 1)).join(asked, ["row", "place"])
+    pool = written(spark, pool.select("run", "ahead", "behind", "low", "high", "row", "doc", "places", "first", "last"), "open")
+    shared = windows(pool, side, False).groupBy("window").agg(F.min("row").alias("a"), F.max("row").alias("b"), F.min_by("doc", "row").alias("doc_a"), F.max_by("doc", "row").alias("doc_b")).where("a <> b")
+    shared = written(spark, shared, "shared")
+    few = F.broadcast(shared) if shared.count() <= BROADCAST_ROWS // 2 else shared
+    hits = windows(pool.where("first <= last").withColumns({"low": F.col("first"), "high": F.col("last")}), side, True).join(few, "window")
+    other = F.when(F.col("a") == F.col("row"), F.col("doc_b")).otherwise(F.col("doc_a"))
+    return hits.select("row", "doc", F.explode("places").alias("place"), "left", other.alias("other")).select("row", "doc", (F.col("place") - F.col("left")).alias("start"), (F.col("place") - F.col("left") + side + GRAM).alias("end"), "other")
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -299,8 +354,12 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     chosen = keep_ids(keyed, places.select("row"), "row")
     rows = written(spark, contexts(chosen, places, side), "contexts")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = matches(rows, side, MIN_WORDS, ["run", "ahead", "row", "behind"], partitions)
-    found = found.unionByName(matches(rows, side, MIN_WORDS, ["run", "behind", "row", "ahead"], partitions))
+    near = matches(rows, side, ["run", "ahead", "behind", "row"], partitions)
+    near = near.unionByName(matches(rows, side, ["run", "behind", "ahead", "row"], partitions))
+    found = near.where(F.col("left") + F.col("right") + GRAM >= MIN_WORDS).select("row", "doc", "left", "right", "other", F.explode("places").alias("place"))
+    found = found.select("row", "doc", (F.col("place") - F.col("left")).alias("start"), (F.col("place") + GRAM + F.col("right")).alias("end"), "other")
+    if (more := between(rows, near, side)) is not None:
+        found = found.unionByName(more)
     # Spans of one document that touch become one; a document's matches are bounded by its words.
     spans = found.groupBy("row", "start", "end").agg(F.min("doc").alias("doc"), F.min("other").alias("other"))
     by_start = Window.partitionBy("row").orderBy("start", "end")

@@ -104,3 +104,22 @@ def test_batches_of_many_slices_equal_small_ones(spark):
         rows.append((i, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert found(df.coalesce(1)) == brute(rows) == found(df.repartition(40))
+
+
+def test_partners_that_are_no_neighbours_in_a_large_templated_group(spark):
+    """One clause in all texts; pairs share five words on each side, others eight words on one side alone."""
+    rng = random.Random(5)
+    new = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    clause, texts = new(40), []
+    for _ in range(100):
+        left, right = new(5), new(5)
+        for _ in range(2):
+            x, y = new(3), new(3)
+            texts.append(new(20) + x + left + clause + right + y + new(20))
+            texts += [new(28) + clause + right + y + new(20) for _ in range(3)]
+            texts += [new(20) + x + left + clause + new(28) for _ in range(3)]
+    rng.shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    want = brute(rows)
+    assert len(want) == 200
+    assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)) == want
