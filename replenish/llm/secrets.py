@@ -1,7 +1,11 @@
 """Secret scan: candidates from whole texts, false positives removed by a random forest.
 
 A candidate is a run of at least 12 characters of ``[A-Za-z0-9+/_-]`` with a
-digit in it (up to two ``=`` may end it) or the head line of a private key.
+digit in it (up to two ``=`` may end it), a published format inside such a run, a
+whole private key (head line to end line; without an end line, the key lines after the
+head), any value that a secret word is assigned or that stands quoted after one,
+whatever its length and signs, or the password of a connection string. A run
+inside a longer candidate is not one of its own.
 Features of a candidate: its length and character mix, how often its
 characters change class, its entropy, the share of it that words of its own
 document cover, path signs, and the words and signs next to it. The forest is trained on
@@ -19,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 
 import pyarrow as pa
@@ -31,11 +36,25 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, written
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_\-]{12,}={0,2}|-----BEGIN [A-Z ]*PRIVATE KEY-----")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_\-]{12,}={0,2}")
+HEAD = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
+END = re.compile(r"-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
+#: Lines of a key whose end line is missing: headers, base64 lines (the last may be short), a blank line.
+KEY_LINES = re.compile(r"(?:(?:\\r)?(?:\\n)|[ \t]*\r?\n[ \t]*|[ \t]+)(?:(?:[A-Za-z0-9-]+: [^\n]*\n\s*)*)(?:[A-Za-z0-9+/]{40,}={0,2}(?:(?:\\r)?\\n|\s+|$))*(?:[A-Za-z0-9+/]+={1,2}|[A-Za-z0-9+/]{16,})?")
+#: A value after a secret word; group "q" is quoted, "v" is not, its closing punctuation left out.
+VALUE = re.compile(
+    r"""(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_ .-]?key|access[_ .-]?key|private[_ .-]?key|auth|credentials?)[A-Za-z0-9_]{0,20}["']?\s{0,3}"""
+    r"""(?:(?:=>|:=|[=:]|\bis\b)\s{0,3})?(?:(?P<s>["'`])(?P<q>(?:\\.|(?!(?P=s))[^\\\n])+)(?P=s)|(?<=[=:>\s])(?<![^=:>]\s)(?P<v>[^\s"'`<>,;]+))"""
+)
+URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s/:@\"'<>]*:(?P<v>[^\s/\"'<>]+)@")
+LOGIN = re.compile(r"://[^\s/:@\"'<>]*:$")
+BEARER = re.compile(r"(?i)\bbearer\s+(?P<v>[A-Za-z0-9._~+/=-]{6,})")
+#: Values that say where a secret would stand.
+EMPTY = re.compile(r"(?i)none|null|nil|true|false|undefined|required|optional|changeme|your[_ -].*|\$\{.*|\{\{.*|%\(.*|<.*|\*+|x+|\.+|[A-Za-z_.]+\(.*")
 DIGIT = re.compile(r"[0-9]")
 WORD = re.compile(r"[^\W\d_]{3,}")
 #: Formats that providers publish; fixed values.
-KNOWN = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abpr]-[A-Za-z0-9\-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_\-]{35}|-----BEGIN .*")
+KNOWN = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abpr]-[A-Za-z0-9\-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_\-]{35}|-----BEGIN (?s:.*)")
 SECRET_WORDS = re.compile(r"(?i)pass(?:word|wd|phrase)?\b|pwd|secret|token|api.?key|access.?key|private.?key|auth|bearer|credential")
 OTHER_WORDS = re.compile(r"(?i)commit|sha-?\d*\b|md5|checksum|hash|digest|uuid|guid|revision|build|isbn|order|invoice|https?:|www\.")
 ASSIGN = re.compile(r"""[=:]\s*["']?$""")
@@ -43,7 +62,7 @@ ASSIGN = re.compile(r"""[=:]\s*["']?$""")
 SAMPLE_ROWS = 4_000
 TREES, DEPTH = 24, 7
 THRESHOLD = 0.5
-FEATURES = ["f_length", "f_digits", "f_upper", "f_lower", "f_hex", "f_entropy", "f_changes", "f_letter_run", "f_digit_run", "f_covered", "f_path", "f_known", "f_secret_word", "f_other_word", "f_assigned", "f_quoted", "f_at"]
+FEATURES = ["f_length", "f_digits", "f_upper", "f_lower", "f_hex", "f_entropy", "f_changes", "f_letter_run", "f_digit_run", "f_covered", "f_path", "f_known", "f_secret_word", "f_other_word", "f_assigned", "f_quoted", "f_at", "f_signs", "f_empty"]
 SPAN = "id {id}, `start` long, `end` long, kind string, "
 
 
@@ -56,6 +75,7 @@ def features(text: str, start: int, end: int, own_words: set[str]) -> list[float
     n = len(s)
     before, after = text[max(0, start - 48) : start], text[end : end + 16]
     near = " ".join(before.split()[-3:])
+    login = after[:1] == "@" and LOGIN.search(before) is not None
     classes = "".join("d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "o" for c in s)
     covered = sum(len(w) for w in WORD.findall(s) if w.lower() in own_words)
     return [
@@ -71,37 +91,71 @@ def features(text: str, start: int, end: int, own_words: set[str]) -> list[float
         covered / n,
         float(s.count("/") + before.endswith(("/", "\\", "./")) + bool(re.match(r"\.[a-z]{2,4}\b", after))),
         float(KNOWN.fullmatch(s) is not None),
-        float(SECRET_WORDS.search(near) is not None),
-        float(OTHER_WORDS.search(near) is not None),
+        float(login or SECRET_WORDS.search(near) is not None),
+        float(not login and OTHER_WORDS.search(near) is not None),
         float(ASSIGN.search(before) is not None),
         float(before[-1:] in "\"'" and before[-1:] == after[:1] != ""),
         float("@" in before[-1:] + after[:1]),
+        sum(not c.isalnum() and c not in "+/_-=" for c in s) / n,
+        float(EMPTY.fullmatch(s) is not None),
     ]
 
 
+def spans(text: str) -> list[tuple[int, int]]:
+    """Candidates of a text in order; those that overlap are a run and a published format inside it."""
+    wide = []
+    at = 0
+    while m := HEAD.search(text, at):
+        following = HEAD.search(text, m.end())
+        end = END.search(text, m.end(), following.start() if following else len(text))
+        lines = None if end else KEY_LINES.match(text, m.end())
+        at = end.end() if end else m.end() + len(lines[0].rstrip()) if lines else m.end()
+        wide.append((m.start(), at))
+    for pattern in (URL, VALUE, BEARER):
+        for m in pattern.finditer(text):
+            name = "q" if m.groupdict().get("q") else "v"
+            a, b = m.span(name)
+            if name == "v" and pattern is VALUE:
+                b = a + len(text[a:b].rstrip(".,;:!?)]}"))
+            if b > a:
+                wide.append((a, b))
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(set(wide), key=lambda x: (x[0], -x[1])):
+        if not out or a >= out[-1][1]:
+            out.append((a, b))
+    starts = [a for a, _ in out]
+    more = []
+    for m in CANDIDATE.finditer(text):
+        k = bisect_right(starts, m.start()) - 1
+        if DIGIT.search(m[0]) and not (k >= 0 and m.end() <= out[k][1]):
+            more.append(m.span())
+        for f in KNOWN.finditer(text, m.start(), m.end()):
+            if not (k >= 0 and f.end() <= out[k][1]):
+                more.append(f.span())
+    return sorted(set(out + more))
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start, end, kind, features) of every candidate of the whole texts."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        rows, spans, kinds, feats = [], [], [], []
+        rows, where, kinds, feats = [], [], [], []
         for i, text in enumerate(batch.column(1)):
             text = text.as_py()
             if not text:
                 continue
             own_words = None
-            for m in CANDIDATE.finditer(text):
-                s = m[0]
-                if not DIGIT.search(s) and s[:11] != "-----BEGIN ":
-                    continue
+            for a, b in spans(text):
+                s = text[a:b]
                 if own_words is None:
                     own_words = {x.lower() for x in WORD.findall(CANDIDATE.sub(" ", text))}
                 rows.append(i)
-                spans.append(m.span())
+                where.append((a, b))
                 kinds.append("known_format" if KNOWN.fullmatch(s) else "hex" if re.fullmatch(r"[0-9a-fA-F]+", s) else "mixed")
-                feats.append(features(text, *m.span(), own_words))
+                feats.append(features(text, a, b, own_words))
         if not rows:
             return None
-        cols = [batch.column(0).take(pa.array(rows)), pa.array([s[0] for s in spans], pa.int64()), pa.array([s[1] for s in spans], pa.int64()), pa.array(kinds)]
+        cols = [batch.column(0).take(pa.array(rows)), pa.array([x[0] for x in where], pa.int64()), pa.array([x[1] for x in where], pa.int64()), pa.array(kinds)]
         cols += [pa.array([f[k] for f in feats], pa.float64()) for k in range(len(FEATURES))]
         return pa.RecordBatch.from_arrays(cols, names=["id", "start", "end", "kind", *FEATURES])
 
@@ -112,7 +166,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def label_rules(found: DataFrame) -> DataFrame:
     """Candidates whose label is beyond doubt: 1.0 a secret, 0.0 none."""
     random_like = (F.col("f_hex") >= 0.95) & (F.col("f_digits") < 1) | (F.col("f_entropy") >= 3.3)
-    secret = (F.col("f_known") == 1) | ((F.col("f_secret_word") == 1) & (F.col("f_assigned") == 1) & random_like & (F.col("f_covered") < 0.3))
+    secret = (F.col("f_known") == 1) | ((F.col("f_secret_word") == 1) & (F.col("f_assigned") == 1) & random_like & (F.col("f_covered") < 0.3) & (F.col("f_empty") == 0))
     other = (F.col("f_known") == 0) & (F.col("f_secret_word") == 0) & ((F.col("f_digits") == 1) | (F.col("f_other_word") == 1) | (F.col("f_path") >= 2) | (F.col("f_covered") >= 0.5))
     return found.withColumn("label", F.when(secret, 1.0).when(other, 0.0)).where("label is not null")
 
@@ -125,8 +179,15 @@ def contrasts(labelled: DataFrame) -> DataFrame:
     path = secrets.withColumns(plain | {"f_path": F.lit(3.0)})
     named = secrets.withColumns(plain | {"f_covered": F.lit(0.8), "f_letter_run": F.lit(8.0), "f_entropy": F.col("f_entropy") * 0.8, "f_hex": F.lit(0.4), "f_digits": F.lit(0.15)})
     unquoted = secrets.withColumn("f_quoted", F.lit(0.0))
+    # Values that people choose: short, of words and signs, with or without quotes; the same place may hold none.
+    chosen = {"f_known": F.lit(0.0), "f_secret_word": F.lit(1.0), "f_assigned": F.lit(1.0), "f_other_word": F.lit(0.0), "f_path": F.lit(0.0), "f_hex": F.lit(0.3), "f_empty": F.lit(0.0), "label": F.lit(1.0)}
+    short = secrets.withColumns(chosen | {"f_length": F.lit(7.0), "f_digits": F.lit(0.15), "f_upper": F.lit(0.0), "f_lower": F.lit(0.85), "f_entropy": F.lit(2.8), "f_changes": F.lit(0.15), "f_letter_run": F.lit(6.0), "f_digit_run": F.lit(1.0)})
+    phrase = secrets.withColumns(chosen | {"f_length": F.lit(24.0), "f_digits": F.lit(0.0), "f_upper": F.lit(0.15), "f_lower": F.lit(0.85), "f_entropy": F.lit(3.7), "f_changes": F.lit(0.3), "f_letter_run": F.lit(24.0), "f_digit_run": F.lit(0.0), "f_quoted": F.lit(1.0)})
+    signed = short.withColumns({"f_signs": F.lit(0.15), "f_lower": F.lit(0.6), "f_upper": F.lit(0.1), "f_changes": F.lit(0.5)})
+    empty = short.unionByName(phrase).withColumns({"f_empty": F.lit(1.0), "f_quoted": F.lit(0.0), "f_digits": F.lit(0.0), "f_digit_run": F.lit(0.0), "f_signs": F.lit(0.0), "label": F.lit(0.0)})
+    prose = short.withColumns({"f_assigned": F.lit(0.0), "f_quoted": F.lit(0.0), "f_digits": F.lit(0.0), "f_digit_run": F.lit(0.0), "f_lower": F.lit(1.0), "f_covered": F.lit(1.0), "label": F.lit(0.0)})
     out = labelled
-    for x in (digest, path, named, unquoted):
+    for x in (digest, path, named, unquoted, short, phrase, signed, empty, prose):
         out = out.unionByName(x)
     return out
 
@@ -165,7 +226,11 @@ def redact(docs: DataFrame, findings: DataFrame, id_col: str = "doc_id", text_co
     cut = F.aggregate(
         "_spans",
         F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark)).alias("out")),
+        # A span that starts inside the one before lengthens it.
+        lambda acc, s: F.struct(
+            F.greatest(acc["at"], s["end"]).alias("at"),
+            F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark))).alias("out"),
+        ),
         lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))),
     )
     return joined.withColumn(text_col, F.when(F.col("_spans").isNull(), text).otherwise(cut)).select(*docs.columns)
