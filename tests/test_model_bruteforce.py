@@ -15,7 +15,7 @@ import pytest
 import __spark_entry__ as entry
 from replenish.config import DEFAULT, Z_95
 
-from conftest import SF0001
+from paths import SF0001
 
 
 @pytest.fixture(scope="module")

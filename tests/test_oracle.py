@@ -8,7 +8,7 @@ import sys
 import duckdb
 import pytest
 
-from conftest import ROOT, SF0001
+from paths import ROOT, SF0001
 
 sys.path.insert(0, os.path.join(ROOT, "tools"))
 import __spark_entry__ as entry  # noqa: E402

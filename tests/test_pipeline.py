@@ -10,7 +10,7 @@ from replenish.plans import pipeline
 from replenish.plans.queries import QUERIES
 from replenish.sources.tables import load_inputs
 
-from conftest import SF0001
+from paths import SF0001
 
 
 def test_pipeline_writes_all_tables_and_matches_panel(spark):

@@ -9,7 +9,7 @@ from replenish.operators import compare, panel
 from replenish.plans.queries import QUERIES
 from replenish.sources.tables import load_inputs
 
-from conftest import SF0001
+from paths import SF0001
 
 
 def _plan(df, mode="formatted"):

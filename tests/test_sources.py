@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from replenish.operators import compare, panel
 from replenish.sources.tables import canonical_demand, check_contract, load_inputs, read_canonical, weekly_demand
 
-from conftest import SF0001
+from paths import SF0001
 
 
 def test_read_canonical_gives_same_comparison(spark):
