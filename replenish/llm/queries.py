@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, html_text, lang_id, mix, near_dup, pii, secrets, suffix_dedup
+from . import ann, decontaminate, html_text, lang_id, mix, near_dup, periodic, pii, secrets, suffix_dedup
 from .common import table
 from .token_count import token_counts
 
@@ -54,6 +54,10 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.find(periodic.planted(table(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_minhash_dedup": op2_minhash_dedup,
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_decontaminate": op9_decontaminate,
     "op10_token_count": op10_token_count,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 #: DuckDB SQL, where SQL can express the whole result.
