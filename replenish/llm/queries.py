@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, filter_audit, html_text, lang_id, mix, near_dup, periodic, pii, secrets, suffix_dedup
+from . import ann, decontaminate, filter_audit, html_text, lang_id, mix, near_dup, periodic, pii, secrets, suffix_dedup, warc
 from .common import table
 from .token_count import token_counts
 
@@ -62,6 +62,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(filter_audit.cells(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(warc.read(warc.write(table(spark, sf_dir, "pages"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_minhash_dedup": op2_minhash_dedup,
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_count": op10_token_count,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_filter_audit": op12_filter_audit,
+    "op13_warc": op13_warc,
 }
 
 #: DuckDB SQL, where SQL can express the whole result.
@@ -126,4 +131,11 @@ SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) A
   CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
   CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
 FROM r""",
+    "op13_warc": r"""
+WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY d) ELSE page_id END AS least FROM p)
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+  CASE WHEN page_id > least THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id > least THEN least END AS refers_to
+FROM f""",
 }

@@ -122,7 +122,7 @@ def write(
                     if out is None:
                         store.create_dir(base, recursive=True)
                         name, size, n = f"part-{uuid.uuid4().hex}.warc.gz", 0, 0
-                        out = stack.enter_context(store.open_output_stream(f"{base}/{name}"))
+                        out = stack.enter_context(store.open_output_stream(f"{base}/{name}", compression=None))
                     out.write(data)
                     size, n = size + len(data), n + 1
         if out is not None:  # closed here, so whole

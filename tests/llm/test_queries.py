@@ -18,6 +18,7 @@ COLUMNS = {
     "op10_token_count": ["doc_id", "n_bytes", "n_tokens", "over_limit"],
     "op11_periodic_runs": ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"],
     "op12_filter_audit": ["part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"],
+    "op13_warc": ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"],
 }
 
 
