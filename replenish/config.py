@@ -68,6 +68,7 @@ class PlanConfig:
     lag_mode: str = "carry"
     gbt_max_depth: int = 5
     gbt_max_iter: int = 10
+    gbt_max_bins: int = 32
     seed: int = 42
     # The planning calendar: first and last week (Mondays). Dense panels and
     # scenarios run over it, and demand outside it is an error.

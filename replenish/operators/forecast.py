@@ -1,23 +1,17 @@
-"""Context-aware demand forecast: one boosted-tree model per category.
+"""Context-aware demand forecast: boosted trees for each category.
 
 The history is written once, with statistics, costs and features on its
-rows, as one Parquet table split by category into folders; inside a category
-rows are spread over files by a hash of the product, so a category that holds a
-third of all rows spans as many files as the table has partitions. Each
-category then reads its own folder only: to fit (Spark ML's distributed
-GBT, one task a file split in every pass) and to score. The scored rows
-already carry what the plan needs, so nothing is joined back.
-
-A forecast depends on the written layout (split candidates and sums are
-taken per partition): two fits of one written table agree, a table written
-with another number of shuffle partitions may give slightly other trees.
-Categories are fitted concurrently from a small driver thread pool (Spark
-schedules jobs from several threads side by side).
+rows. ``boosting`` grows the trees of all categories together from that table,
+and one scan scores the test rows with the trees of their category; the
+scored rows already carry what the plan needs, so nothing is joined back.
+Forecasts do not depend on how the table is laid out.
+
+``train_context_aware_model`` fits Spark ML's regressor per category instead;
+its models score in the same single scan.
 """
 
 from __future__ import annotations
 
-import functools
 from concurrent.futures import ThreadPoolExecutor
 from typing import Iterable, Mapping
 
@@ -30,7 +24,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, PlanConfig
 from ..functions.calendar import add_signals
 from ..session import materialize
-from . import features, split
+from . import boosting, features, split
 
 KEYS = ("product_id", "date", "category")
 
@@ -52,13 +46,6 @@ def _pipeline(feature_cols, cfg: PlanConfig) -> Pipeline:
     return Pipeline(stages=[assembler(feature_cols), gbt])
 
 
-def written_by_category(rows: DataFrame, name: str) -> DataFrame:
-    """``rows`` as a table with a folder per category, each category spread over files by product."""
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = rows.repartition(n, "category", F.pmod(F.xxhash64("product_id"), F.lit(n)))
-    return materialize(spread, name, partition_by="category")
-
-
 def featured(rows: DataFrame, cfg: PlanConfig = DEFAULT) -> DataFrame:
     """History rows with all model features; test rows by the lag mode of ``cfg``."""
     out = features.with_history(features.with_calendar(rows))
@@ -97,33 +84,42 @@ def train_context_aware_model(
         return {c: f.result() for c, f in fitted.items()}
 
 
-def scored(rows: DataFrame, models: Mapping[str, PipelineModel], column: str = "model_forecast") -> DataFrame:
-    """``rows`` with the forecast of their category's model; NULL where the category has none."""
-    prediction = F.col("prediction").alias(column)
-    unmodelled = rows.filter(~F.coalesce(F.col("category").isin(list(models)), F.lit(False)))
+def train_forest(
+    train_ml: DataFrame,
+    feature_cols: Iterable[str] | None = None,
+    categories: Iterable[str] | None = None,
+    cfg: PlanConfig = DEFAULT,
+) -> boosting.Forest:
+    """The trees of all categories in one training; raise ``ValueError`` on missing feature columns."""
+    feature_cols = list(feature_cols or cfg.features)
+    features.check_features(train_ml, feature_cols)
+    return boosting.fit(train_ml, feature_cols, "demand", categories, cfg.gbt_max_iter, cfg.gbt_max_depth, cfg.gbt_max_bins)
 
-    def add(done: DataFrame, category: str) -> DataFrame:
-        own = models[category].transform(rows.filter(F.col("category") == category))
-        return done.unionByName(own.select(*rows.columns, prediction))
 
-    return functools.reduce(add, sorted(models), unmodelled.withColumn(column, F.lit(None).cast("double")))
+def scored(rows: DataFrame, models: boosting.Forest | Mapping[str, PipelineModel], column: str = "model_forecast") -> DataFrame:
+    """``rows`` with the forecast of their category's trees in one scan; NULL where the category has none."""
+    if not isinstance(models, boosting.Forest):
+        if not models:
+            return rows.withColumn(column, F.lit(None).cast("double"))
+        names = next(iter(models.values())).stages[0].getInputCols()
+        models = boosting.from_pipelines(dict(models), names)
+    return boosting.score(rows, models, column)
 
 
-def get_context_aware_forecast(test_ml: DataFrame, models: Mapping[str, PipelineModel]) -> DataFrame:
+def get_context_aware_forecast(test_ml: DataFrame, models: boosting.Forest | Mapping[str, PipelineModel]) -> DataFrame:
     """The test rows that a model scores, with ``forecast_demand``."""
-    if not models:
+    if not (models.categories if isinstance(models, boosting.Forest) else models):
         raise ValueError("no models to score with")
     return scored(test_ml, models, "forecast_demand").filter(F.col("forecast_demand").isNotNull())
 
 
 def model_rows(rows: DataFrame, cfg: PlanConfig = DEFAULT, categories=None) -> DataFrame:
     """The test rows among the history ``rows``, all columns kept, with ``model_forecast``."""
-    table = written_by_category(featured(rows.filter(split.history_filter(cfg)), cfg), "featured-history")
-    models = train_context_aware_model(training_rows(table, cfg), cfg.features, categories, cfg)
-    return scored(table.filter(split.test_filter(cfg)), models)
+    table = materialize(featured(rows.filter(split.history_filter(cfg)), cfg), "featured-history")
+    return scored(table.filter(split.test_filter(cfg)), train_forest(training_rows(table, cfg), cfg.features, categories, cfg))
 
 
 def gbt_forecasts(demand: DataFrame, cfg: PlanConfig = DEFAULT, categories=None) -> DataFrame:
-    """Per test row (product_id, date, category, demand, lead_time, forecast_demand) from per-category GBTs."""
+    """Per test row (product_id, date, category, demand, lead_time, forecast_demand) from the trees of its category."""
     out = model_rows(demand, cfg, categories).filter(F.col("model_forecast").isNotNull())
     return out.select("product_id", "date", "category", "demand", "lead_time", F.col("model_forecast").alias("forecast_demand"))

@@ -33,6 +33,18 @@ def get_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "
     return spark
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers of this session import this package from the driver's path.
+
+    On a cluster the package is installed or shipped with ``--py-files``; this
+    covers sessions whose workers share the driver's file system.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+
+
 #: Where a session that runs in one process keeps intermediates if it names no folder.
 LOCAL_DIR = "/tmp/checkpoints"
 _written: list[tuple[SparkSession, str]] = []

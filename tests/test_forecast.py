@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from replenish import session
 from replenish.config import DEFAULT
 from replenish.operators import features, forecast, panel, split
-from replenish.sources.tables import load_inputs
 
 
 @pytest.fixture(scope="module")
@@ -26,29 +25,15 @@ def test_one_finite_prediction_per_test_row(inputs_small, preds):
     assert all(v is not None and math.isfinite(v) for v in vals)
 
 
-def test_two_fits_of_one_written_table_agree(spark):
-    """Over 10,000 training rows in the category, so split candidates are sampled."""
-    demand, _ = load_inputs(spark, "/root/testdata/sf0.1", DEFAULT.test_cutoff)
-    one = demand.filter("category = 'ECONOMY'")
-    table = forecast.written_by_category(forecast.featured(one), "test-featured")
-    train = forecast.training_rows(table)
-    assert train.count() > 10_000
+def test_forecasts_do_not_depend_on_the_layout(spark, inputs_small):
+    demand, _ = inputs_small
+    table = forecast.featured(demand).cache()
     test = table.filter(split.test_filter(DEFAULT))
-    a, b = (forecast.scored(test, forecast.train_context_aware_model(train)) for _ in range(2))
+    a, b = (forecast.scored(test, forecast.train_forest(forecast.training_rows(table).repartition(n))) for n in (3, 29))
     both = a.select("product_id", "date", F.col("model_forecast").alias("a")).join(b, ["product_id", "date"])
     assert both.filter("a <> model_forecast").count() == 0 and both.count() == test.count()
 
 
-def test_every_fit_reads_its_own_folder_in_several_tasks(spark, inputs_small):
-    demand, _ = inputs_small
-    table = forecast.written_by_category(forecast.featured(demand), "test-featured")
-    own = table.filter("category = 'PROMO'")
-    plan = own._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(category" in plan
-    files = own.select(F.input_file_name().alias("f")).distinct().count()
-    assert files > 1 and own.rdd.getNumPartitions() > 1
-
-
 def test_withheld_category_has_no_context_plan(spark, inputs_small):
     demand, items = inputs_small
     scored = forecast.model_rows(panel.history_rows(demand, items), categories=["ECONOMY", "no such category"])
@@ -73,8 +58,9 @@ def test_null_costs_leave_the_training_rows(spark, inputs_small):
 def test_missing_feature_raises(inputs_small):
     demand, _ = inputs_small
     train_ml = features.training_matrix(demand.filter(split.train_filter(DEFAULT)))
-    with pytest.raises(ValueError, match="no_such_feature"):
-        forecast.train_context_aware_model(train_ml, ["month", "no_such_feature"], ["ECONOMY"])
+    for train in (forecast.train_context_aware_model, forecast.train_forest):
+        with pytest.raises(ValueError, match="no_such_feature"):
+            train(train_ml, ["month", "no_such_feature"], ["ECONOMY"])
 
 
 def test_actuals_mode_runs(inputs_small):
