@@ -74,13 +74,19 @@ def materialize(df, name: str, partition_by: str | None = None):
     ``scratch`` block or the program ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, name)
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name under the shared folder; it goes when the enclosing ``scratch`` block or the program ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def _remove(entries: list[tuple[SparkSession, str]]) -> None:
     for spark, path in entries:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
