@@ -23,7 +23,7 @@ from dataclasses import dataclass, field
 from types import MappingProxyType
 from typing import Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed values, as formulas (t = week index, u = t - 60 for t >= 60):
@@ -141,3 +141,49 @@ def scenario_columns(t: Column, n: Column, scenario: Scenario = Scenario(), slop
         "shock_effect": shock,
         "lead_time_disruption": disruption,
     }
+
+
+# Scenarios as data: one row a scenario, and one a scenario and category with its terms.
+
+SCENARIO_SCHEMA = "scenario string, shock_start double, trend double"
+TERM_SCHEMA = (
+    "scenario string, category string, "
+    "seasonal array<struct<amplitude: double, angle: double, phase: double, fn: string>>, "
+    "shock array<struct<kind: string, a: double, r: double, c: double>>"
+)
+
+
+def scenario_tables(spark: SparkSession, scenarios: Mapping[str, Scenario]) -> tuple[DataFrame, DataFrame]:
+    """(scenarios, terms): the given scenarios as the two parameter tables that ``apply_scenarios`` reads."""
+    heads = [(name, float(s.shock_start), float(s.trend)) for name, s in scenarios.items()]
+    terms = []
+    for name, s in scenarios.items():
+        for category, profile in s.profiles.items():
+            seasonal = [(float(a), 2 * math.pi * cycles, float(phase), fn) for a, cycles, phase, fn in SEASONAL_TERMS[profile]]
+            shock = [(x[0], *(float(v) for v in x[1:]), *(None,) * (4 - len(x))) for x in SHOCK_TERMS[profile]]
+            terms.append((name, category, seasonal, shock))
+    return spark.createDataFrame(heads, SCENARIO_SCHEMA), spark.createDataFrame(terms, TERM_SCHEMA)
+
+
+def term_columns(t: Column, n: Column) -> dict[str, Column]:
+    """The effect columns folded from the terms on the row; no terms, no effect."""
+    start = F.col("shock_start")
+    u, after = t - start, t >= start
+
+    def wave(total: Column, s: Column) -> Column:
+        arg = s["angle"] * (t - s["phase"]) / F.lit(float(PERIOD_WEEKS))
+        return total + s["amplitude"] * F.when(s["fn"] == "sin", F.sin(arg)).otherwise(F.cos(arg))
+
+    def bump(total: Column, s: Column) -> Column:
+        gone = u - s["c"]
+        return total + F.when(s["kind"] == "gauss", s["a"] * F.exp(-s["r"] * gone * gone)).when(
+            s["kind"] == "decay", s["a"] * F.exp(-s["r"] * u)
+        ).when(s["kind"] == "rise", s["a"] * (F.lit(1.0) - F.exp(-s["r"] * u))).otherwise(s["a"])
+
+    fold = lambda c, f: F.coalesce(F.aggregate(c, F.lit(0.0), f), F.lit(0.0))
+    return {
+        "seasonal_effect": fold("seasonal", wave),
+        "trend_effect": F.col("trend") * t / n,
+        "shock_effect": F.when(after, fold("shock", bump)).otherwise(0.0),
+        "lead_time_disruption": F.when(after, _shock_term(u, DISRUPTION)).otherwise(0.0),
+    }

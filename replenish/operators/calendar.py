@@ -2,11 +2,12 @@
 
 Observed cells are the default everywhere else (most product-weeks have no
 sale). The calendar is a parameter (``PlanConfig.calendar_start`` and
-``calendar_end``), not a min/max over the demand: every item expands into its
-own weeks with one ``sequence`` (no join with a calendar table, no cross
-join), also items that never sold. The dense panel then joins the demand
-once, on (product, week). A demand row outside the calendar is an error: a
-single bad date neither stretches the panel nor vanishes from it.
+``calendar_end``), not a min/max over the demand. The dense panel meets items
+and demand on the product alone; in the order of a product's weeks every
+observed row expands into itself and the weeks up to the next one, so the
+spine is never shuffled and no (product, date) join is needed. A demand row
+outside the calendar is an error: a single bad date neither stretches the panel
+nor vanishes from it.
 """
 
 from __future__ import annotations
@@ -28,11 +29,21 @@ def calendar_spine(items: DataFrame, cfg: PlanConfig = DEFAULT) -> DataFrame:
     return rows.select("product_id", "category", F.col("day").cast("timestamp_ntz").alias("date"))
 
 
-def within_calendar(demand: DataFrame, cfg: PlanConfig = DEFAULT) -> DataFrame:
-    """``demand`` as it is; a row outside the calendar, or off its weekdays, raises when it is read."""
+def on_calendar(cfg: PlanConfig = DEFAULT) -> Column:
+    """Whether ``date`` is a week of the calendar."""
     day = F.to_date("date")
     off = F.datediff(day, _day(cfg.calendar_start))
-    fine = day.between(_day(cfg.calendar_start), _day(cfg.calendar_end)) & (F.pmod(off, F.lit(7)) == 0)
+    return day.between(_day(cfg.calendar_start), _day(cfg.calendar_end)) & (F.pmod(off, F.lit(7)) == 0)
+
+
+def within_calendar(demand: DataFrame, cfg: PlanConfig = DEFAULT, unsold: bool = False) -> DataFrame:
+    """``demand`` as it is; a row outside the calendar, or off its weekdays, raises when it is read.
+
+    ``unsold`` lets rows without date and demand pass (items that never sold).
+    """
+    fine = on_calendar(cfg)
+    if unsold:
+        fine = fine | (F.col("date").isNull() & F.col("demand").isNull())
     message = F.concat(F.lit("demand outside the calendar: "), F.coalesce(F.col("date").cast("string"), F.lit("NULL")))
     return demand.withColumn("date", F.when(fine, F.col("date")).otherwise(F.raise_error(message).cast("timestamp_ntz")))
 
@@ -44,19 +55,35 @@ def densify(demand: DataFrame, items: DataFrame, cfg: PlanConfig = DEFAULT, from
     was observed). ``from_first_sale`` starts each product at its first sale and
     leaves out items that never sold.
     """
-    seen = within_calendar(demand, cfg).select("product_id", "date", "demand", "lead_time", F.lit(True).alias("observed"))
-    rows = calendar_spine(items, cfg).join(seen, ["product_id", "date"], "left")
-    dense = rows.select(
+    seen = within_calendar(demand, cfg).select("product_id", "date", "demand", "lead_time")
+    rows = items.select("product_id", "category").join(seen, "product_id", "left")
+    return expand_weeks(rows, cfg, from_first_sale)
+
+
+def expand_weeks(rows: DataFrame, cfg: PlanConfig = DEFAULT, from_first_sale: bool = False) -> DataFrame:
+    """The dense panel of ``rows`` (product_id, category, date, demand, lead_time); one row with a NULL date for an item that never sold.
+
+    A product's rows are at most its weeks in the calendar; the window finds them
+    where the join or roll-up that made ``rows`` left them.
+    """
+    from .features import product_window
+
+    w, step = product_window(), F.expr("INTERVAL 7 DAYS")
+    day = F.to_date("date")
+    rows = rows.withColumns({"_first": F.row_number().over(w) == 1, "_next": F.lead(day).over(w)})
+    if from_first_sale:
+        rows, begin = rows.filter(F.col("date").isNotNull()), day
+    else:
+        begin = F.when(F.col("_first"), _day(cfg.calendar_start)).otherwise(day)
+    # Rows of one week (no contract forbids them here) do not reach back behind themselves.
+    end = F.greatest(F.coalesce(F.date_sub("_next", 7), _day(cfg.calendar_end)), begin)
+    weeks = rows.select("*", F.explode(F.sequence(begin, end, step)).alias("_week"))
+    observed = F.coalesce(F.col("_week") == day, F.lit(False))
+    return weeks.select(
         "product_id",
         "category",
-        "date",
-        F.when(F.col("observed"), F.col("demand")).otherwise(F.lit(0.0)).alias("demand"),
-        "lead_time",
-        F.coalesce("observed", F.lit(False)).alias("observed"),
+        F.col("_week").cast("timestamp_ntz").alias("date"),
+        F.when(observed, F.col("demand")).otherwise(F.lit(0.0)).alias("demand"),
+        F.when(observed, F.col("lead_time")).alias("lead_time"),
+        observed.alias("observed"),
     )
-    if not from_first_sale:
-        return dense
-    from .features import product_window
-
-    sold = F.max("observed").over(product_window())  # this week or an earlier one
-    return dense.withColumn("_sold", sold).filter("_sold").drop("_sold")

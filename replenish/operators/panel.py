@@ -28,6 +28,7 @@ from .policy import (
     COST_COLUMNS,
     baseline_columns,
     context_columns,
+    with_buffers,
 )
 
 TRADITIONAL = "Traditional"
@@ -62,6 +63,8 @@ def planning_rows(
     cfg: PlanConfig = DEFAULT,
     forecasts: DataFrame | None = None,
     scored: DataFrame | None = None,
+    buffers: DataFrame | None = None,
+    default_buffer: float | None = None,
 ) -> DataFrame:
     """One row per test product-week with both policies side by side.
 
@@ -77,6 +80,8 @@ def planning_rows(
     rows — the inner-join semantics of the reference's parameter table.
     When ``demand`` already carries the item costs (attached from the same
     item record, ``weekly_demand(with_costs=True)``) no item join is made.
+    ``buffers`` is a dimension table (category, buffer) in place of the
+    configured mapping; ``default_buffer`` serves categories without a row.
     """
     own = forecasts is None and scored is None
     if scored is not None:
@@ -112,7 +117,9 @@ def planning_rows(
             "has_context": F.lit(True) if own else F.col("model_forecast").isNotNull(),
         }
     )
-    ctx = context_columns(cfg)
+    if buffers is not None:
+        rows = with_buffers(rows, buffers, default_buffer)
+    ctx = context_columns(cfg, buffer=None if buffers is None else F.col("buffer"))
     return rows.withColumns(
         {
             "c_forecast": F.col("forecast_demand"),

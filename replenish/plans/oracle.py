@@ -45,6 +45,37 @@ SCENARIO_SQL = {
 }
 
 
+def _scenario_sql(start: float, trend: float) -> dict[str, str]:
+    """The formulas with another start of the shock and another trend."""
+    out = {k: v.replace("60e0", f"{start!r}e0") for k, v in SCENARIO_SQL.items()}
+    return out | {"trend_effect": f"{trend!r}e0 * t / n"}
+
+
+def _horner(coefs, x: str) -> str:
+    out = f"{coefs[-1]!r}::DOUBLE"
+    for c in reversed(coefs[:-1]):
+        out = f"({out} * {x} + {c!r}::DOUBLE)"
+    return out
+
+
+def _quantile_sql(p: str) -> str:
+    """The normal quantile by the published approximation (its coefficients are fixed values of ``policy_math``)."""
+    from ..functions import policy_math as pm
+
+    r = f"sqrt(-ln(CASE WHEN {p} < 0.5 THEN {p} ELSE 1 - {p} END))"
+    mid = f"(0.180625::DOUBLE - ({p} - 0.5) * ({p} - 0.5))"
+    near, far = f"({r} - 1.6::DOUBLE)", f"({r} - 5.0::DOUBLE)"
+    tail = (
+        f"CASE WHEN {r} <= 5 THEN {_horner(pm._NEAR_NUM, near)} / {_horner(pm._NEAR_DEN, near)} "
+        f"ELSE {_horner(pm._FAR_NUM, far)} / {_horner(pm._FAR_DEN, far)} END"
+    )
+    central = f"({p} - 0.5) * {_horner(pm._CENTRAL_NUM, mid)} / {_horner(pm._CENTRAL_DEN, mid)}"
+    return (
+        f"CASE WHEN {p} > 0 AND {p} < 1 THEN CASE WHEN abs({p} - 0.5) <= 0.425 THEN {central} "
+        f"WHEN {p} < 0.5 THEN -({tail}) ELSE {tail} END END"
+    )
+
+
 def _buffer_case(cfg: PlanConfig, col: str = "category") -> str:
     if not cfg.buffers:
         return "CAST(NULL AS DOUBLE)"
@@ -330,6 +361,49 @@ def oracle_sql(cfg: PlanConfig = DEFAULT) -> dict[str, str]:
         + "SELECT product_id, date, lead_time, "
         + ", ".join(_r(c) for c in ("lead_time_disruption", "scenario_lead_time"))
         + " FROM scen",
+        "scenario_comparison": w("scen_t")
+        + " UNION ALL ".join(
+            f"SELECT '{name}' AS scenario, product_id, date, {_r('seasonal_effect')}, {_r('trend_effect')}, {_r('shock_effect')}, "
+            f"ROUND(GREATEST({_d(0)}, demand * ({_d(1)} + seasonal_effect + trend_effect + shock_effect)), 6) + 0.0 AS scenario_demand, "
+            f"ROUND(GREATEST({_d(1)}, lead_time * ({_d(1)} + lead_time_disruption)), 6) + 0.0 AS scenario_lead_time "
+            f"FROM (SELECT *, {', '.join(f'{v} AS {k}' for k, v in _scenario_sql(start, trend).items())} FROM scen_t)"
+            for name, start, trend in (("given", 60, 0.05), ("late_shock", 100, 0.05), ("steep_trend", 60, 0.15))
+        ),
+        "contract_report": w("demand", "items")
+        + f"""SELECT rule, n_products, n_breaks FROM (
+  SELECT 'null_key' AS rule, count(DISTINCT product_id) AS n_products, count(*) AS n_breaks, min(product_id) AS example
+    FROM demand WHERE product_id IS NULL OR date IS NULL
+  UNION ALL SELECT 'duplicate_week', count(DISTINCT product_id), CAST(coalesce(sum(n - 1), 0) AS BIGINT), min(product_id)
+    FROM (SELECT product_id, date, count(*) AS n FROM demand GROUP BY ALL) WHERE n > 1
+  UNION ALL SELECT 'several_categories', count(*), CAST(coalesce(sum(n - 1), 0) AS BIGINT), min(product_id)
+    FROM (SELECT product_id, count(DISTINCT category) AS n FROM demand GROUP BY ALL) WHERE n > 1
+  UNION ALL SELECT 'off_calendar', count(DISTINCT product_id), count(*), min(product_id) FROM demand
+    WHERE date < DATE '{cfg.calendar_start}' OR date > DATE '{cfg.test_cutoff}' OR dayofweek(date) <> 1
+  UNION ALL SELECT 'negative_demand', count(DISTINCT product_id), count(*), min(product_id) FROM demand WHERE demand < 0
+  UNION ALL SELECT 'item_missing', count(DISTINCT product_id), count(*), min(product_id) FROM demand
+    WHERE product_id NOT IN (SELECT product_id FROM items)
+  UNION ALL SELECT 'duplicate_item', count(*), CAST(coalesce(sum(n - 1), 0) AS BIGINT), min(product_id)
+    FROM (SELECT product_id, count(*) AS n FROM items GROUP BY ALL) WHERE n > 1)""",
+        "buffer_coverage": w("demand")
+        + f"""SELECT category, category <> 'STANDARD' AS matched,
+  CASE WHEN category = 'STANDARD' THEN {_d(0.12)} ELSE {_buffer_case(cfg)} END AS buffer,
+  count(*) AS n_rows, count(DISTINCT product_id) AS n_products FROM demand GROUP BY category""",
+        "context_plan_buffers": with_("ctx_plan", cfg=cfg.with_(buffers=dict(cfg.buffers) | {"STANDARD": 0.12}))
+        + "SELECT date, product_id, category, "
+        + ", ".join(_r(c) for c in ("forecast_demand", "actual_demand", "lead_time", "safety_stock", "order_quantity", "required_inventory"))
+        + " FROM ctx_plan",
+        "service_level_policies": w("stats", "items")
+        + f"""SELECT product_id, service_level, ROUND(z, 6) + 0.0 AS z,
+  ROUND(z * demand_std * sqrt(lead_time_avg), 6) + 0.0 AS safety_stock,
+  ROUND(demand_avg * lead_time_avg + z * demand_std * sqrt(lead_time_avg), 6) + 0.0 AS reorder_point
+FROM (SELECT s.*, l.service_level, {_quantile_sql('l.service_level')} AS z
+  FROM stats s JOIN (SELECT product_id, unnest([0.5, 0.75, 0.9, 0.95, 0.99, 0.999, 0.9999, 0.02, 0.0001, 0.0, 1.0, NULL]::DOUBLE[]) AS service_level
+    FROM items) l ON l.product_id = s.product_id)""",
+        "refreshed_stats": w("stats")
+        + "SELECT product_id, "
+        + ", ".join(_r(c) for c in ("demand_avg", "demand_std", "lead_time_avg", "lead_time_std"))
+        + " FROM stats",
+        "stored_weeks": w("test") + "SELECT product_id, date, demand, lead_time FROM test",
         "densified_demand": w("spine", "demand")
         + "SELECT s.product_id, s.category, s.date, COALESCE(d.demand, CAST(0 AS DOUBLE)) AS demand, d.lead_time, "
         "d.demand IS NOT NULL AS observed FROM spine s LEFT JOIN demand d "

@@ -14,10 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..config import DEFAULT, PlanConfig
+from ..config import DEFAULT, DEFAULT_BUFFERS, PlanConfig
 from ..operators import compare, features, panel, policy, settle, split
 from ..functions.calendar import add_signals
-from ..sources.tables import items_from_parts, load_inputs, weekly_demand
+from ..functions.scenario import Scenario, scenario_tables
+from ..sources.tables import contract_report, items_from_parts, load_inputs, weekly_demand
 from . import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -234,9 +235,9 @@ def q_calendar_spine(spark, sf_dir, cfg: PlanConfig = DEFAULT):
 
 
 def q_densified_demand(spark, sf_dir, cfg: PlanConfig = DEFAULT):
-    from ..operators.calendar import densify
+    from ..operators.calendar import expand_weeks, within_calendar
 
-    return densify(*load_inputs(spark, sf_dir), cfg)
+    return expand_weeks(within_calendar(weekly_demand(spark, sf_dir, every_part=True), cfg, unsold=True), cfg)
 
 
 # ---------------------------------------------------------------- scenario overlay
@@ -257,6 +258,88 @@ def q_scenario_lead_time(spark, sf_dir):
     return finish(out.select("product_id", "date", "lead_time", "lead_time_disruption", "scenario_lead_time"))
 
 
+#: Three scenarios over one demand table: as given, a later shock, a steeper trend.
+SCENARIOS = {
+    "given": Scenario(),
+    "late_shock": Scenario(shock_start=100),
+    "steep_trend": Scenario(trend=0.15),
+}
+
+
+def q_scenario_comparison(spark, sf_dir):
+    from ..operators.scenario import apply_scenarios
+
+    out = apply_scenarios(weekly_demand(spark, sf_dir), *scenario_tables(spark, SCENARIOS))
+    return finish(out.select("scenario", "product_id", "date", "seasonal_effect", "trend_effect", "shock_effect",
+                             "scenario_demand", "scenario_lead_time"))
+
+
+# ---------------------------------------------------------------- contract, dimension tables, service levels
+
+
+def q_contract_report(spark, sf_dir, cfg: PlanConfig = DEFAULT):
+    """All rules over the whole inputs, with a calendar that ends at the test cutoff (so one rule is broken)."""
+    report = contract_report(*load_inputs(spark, sf_dir), cfg.with_(calendar_end=cfg.test_cutoff))
+    return report.select("rule", "n_products", "n_breaks")
+
+
+#: A buffer table without a row for STANDARD, and what such a category gets.
+BUFFERS = tuple((c, b) for c, b in DEFAULT_BUFFERS.items() if c != "STANDARD")
+DEFAULT_BUFFER = 0.12
+
+
+def _buffers(spark):
+    return spark.createDataFrame(BUFFERS, "category string, buffer double")
+
+
+def q_buffer_coverage(spark, sf_dir, cfg: PlanConfig = DEFAULT):
+    return policy.buffer_coverage(weekly_demand(spark, sf_dir), _buffers(spark), DEFAULT_BUFFER)
+
+
+def q_context_plan_buffers(spark, sf_dir, cfg: PlanConfig = DEFAULT):
+    demand, items = load_inputs(spark, sf_dir, cfg.test_cutoff, costs_on_demand=True)
+    rows = panel.planning_rows(demand, items, cfg, buffers=_buffers(spark), default_buffer=DEFAULT_BUFFER)
+    return finish(panel.context_from_rows(rows))
+
+
+#: Levels in the middle, in both tails and outside (0, 1).
+LEVELS = (0.5, 0.75, 0.9, 0.95, 0.99, 0.999, 0.9999, 0.02, 0.0001, 0.0, 1.0, None)
+
+
+def q_service_level_policies(spark, sf_dir, cfg: PlanConfig = DEFAULT):
+    demand, items = load_inputs(spark, sf_dir, cfg.train_cutoff)
+    levels = items.select("product_id", F.explode(F.array(*(F.lit(x).cast("double") for x in LEVELS))).alias("service_level"))
+    return finish(policy.service_level_policies(split.split_train_test(demand, cfg)[0], levels))
+
+
+# ---------------------------------------------------------------- incremental refresh
+
+
+def _refreshed(spark, sf_dir, cfg):
+    """The state after three loads and one week loaded again."""
+    from ..session import scratch_folder
+    from .refresh import Store, load
+
+    store = Store(scratch_folder(spark, "planning-state"))
+    cuts = (cfg.calendar_start, "1998-03-11", "2000-06-01", cfg.test_cutoff)
+    for since, before in zip(cuts, cuts[1:]):
+        load(spark, store, sf_dir, since, before)
+    load(spark, store, sf_dir, "1999-05-03", "1999-05-10")
+    return store
+
+
+def q_refreshed_stats(spark, sf_dir, cfg: PlanConfig = DEFAULT):
+    from .refresh import product_stats
+
+    return finish(product_stats(spark, _refreshed(spark, sf_dir, cfg), cfg.train_cutoff))
+
+
+def q_stored_weeks(spark, sf_dir, cfg: PlanConfig = DEFAULT):
+    from .refresh import weeks
+
+    return weeks(spark, _refreshed(spark, sf_dir, cfg), cfg.train_cutoff, cfg.test_cutoff)
+
+
 # ---------------------------------------------------------------- model (rows-only check)
 
 
@@ -355,6 +438,13 @@ QUERIES: dict[str, Query] = {
     "densified_demand": q_densified_demand,
     "scenario_demand": q_scenario_demand,
     "scenario_lead_time": q_scenario_lead_time,
+    "scenario_comparison": q_scenario_comparison,
+    "contract_report": q_contract_report,
+    "buffer_coverage": q_buffer_coverage,
+    "context_plan_buffers": q_context_plan_buffers,
+    "service_level_policies": q_service_level_policies,
+    "refreshed_stats": q_refreshed_stats,
+    "stored_weeks": q_stored_weeks,
     "gbt_forecast": q_gbt_forecast,
     "context_plan_gbt": q_context_plan_gbt,
     "gbt_accuracy": q_gbt_accuracy,

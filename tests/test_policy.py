@@ -3,6 +3,7 @@
 import math
 from statistics import NormalDist
 
+import pytest
 from pyspark.sql import functions as F
 
 from replenish.config import PlanConfig, Z_95
@@ -99,3 +100,31 @@ def test_reference_api_path_equals_one_pass_panel(spark, inputs_small):
     assert j.count() == api.count() == one.count()
     for c in ("total_cost", "service_level", "ending_inventory", "order_cost"):
         assert j.filter(F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")) > 1e-6).count() == 0, c
+
+
+def test_buffers_from_a_table(spark, inputs_small):
+    from replenish.operators import policy
+
+    demand, _ = inputs_small
+    table = spark.createDataFrame([("ECONOMY", 0.3), ("PROMO", None), (None, 0.9), ("unused", 0.1)], "category string, buffer double")
+    rows = demand.withColumn("category", F.when(F.col("product_id") % 5 > 0, F.col("category")))
+    got = {r.category: r.buffer for r in policy.with_buffers(rows, table, 0.07).select("category", "buffer").distinct().collect()}
+    assert got["ECONOMY"] == 0.3 and got["PROMO"] == got[None] == got["SMALL"] == 0.07
+    report = {r.category: r for r in policy.buffer_coverage(rows, table).collect()}
+    assert sum(r.n_rows for r in report.values()) == rows.count()
+    assert report["ECONOMY"].matched and not report["PROMO"].matched and report["SMALL"].buffer is None
+    with pytest.raises(ValueError, match="several buffers for category ECONOMY"):
+        policy.with_buffers(rows, table.union(table), 0.07)
+
+
+def test_levels_outside_give_no_stock(spark, inputs_small):
+    from replenish.operators import policy
+
+    demand, items = inputs_small
+    levels = items.select("product_id", F.explode(F.array(*(F.lit(x).cast("double") for x in (0.95, 0.0, 1.0, -3.0, None, float("nan"))))).alias("service_level"))
+    rows = policy.service_level_policies(demand, levels)
+    assert rows.where("z is not null").select("service_level").distinct().collect() == [(0.95,)]
+    both = rows.where("service_level = 0.95").join(policy.product_params(demand, items), "product_id")
+    gap = F.abs(rows.safety_stock - F.col("s"))
+    named = policy.product_params(demand, items).select("product_id", F.col("safety_stock").alias("s"))
+    assert rows.where("service_level = 0.95").join(named, "product_id").where(gap > 1e-9).count() == 0 and both.count() > 0

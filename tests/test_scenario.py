@@ -61,3 +61,22 @@ def test_demand_outside_the_calendar_is_an_error(spark):
         cfg = DEFAULT.with_(calendar_start=start, calendar_end=end)
         with pytest.raises(Exception, match="outside the calendar"):
             densify(_rows(spark), items, cfg).collect()
+
+
+def test_scenario_tables_equal_the_columns(spark, inputs_small):
+    from replenish.functions.scenario import Scenario, scenario_tables
+    from replenish.operators.scenario import apply_scenario, apply_scenarios
+
+    demand, _ = inputs_small
+    demand = demand.withColumn("category", F.when(F.col("product_id") % 7 > 0, F.col("category")))
+    several = {"a": Scenario(), "b": Scenario(shock_start=90, trend=-0.2), "c": Scenario(profiles={"SMALL": "Food"})}
+    got = apply_scenarios(demand, *scenario_tables(spark, several)).cache()
+    assert got.count() == 3 * demand.count()
+    for name, scenario in several.items():
+        want = apply_scenario(demand, scenario)
+        mine = got.where(F.col("scenario") == name).select(want.columns)
+        assert mine.exceptAll(want).isEmpty() and want.exceptAll(mine).isEmpty(), name
+    heads, terms = scenario_tables(spark, several)
+    for bad, what in ((heads.union(heads), "twice"), (heads.limit(0), "no scenario")):
+        with pytest.raises(ValueError, match=what):
+            apply_scenarios(demand, bad, terms)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from replenish.operators import compare, panel
-from replenish.sources.tables import canonical_demand, check_contract, load_inputs, read_canonical, weekly_demand
+from replenish.sources.tables import canonical_demand, check_contract, contract_report, contract_violations, load_inputs, read_canonical, weekly_demand
 
 from paths import SF0001
 
@@ -61,3 +61,35 @@ def test_a_product_has_one_row_and_the_items_category(spark, inputs_small):
     assert len({r.product_id for r in rows}) == len(rows) == 10
     named = {r.product_id: r.category for r in items.collect()}
     assert all(r.category == named[r.product_id] for r in rows)
+
+
+def test_every_rule_is_counted(spark):
+    demand = spark.createDataFrame(
+        [
+            (1, "A", "2000-01-03", 5.0),
+            (1, "A", "2000-01-03", 6.0),
+            (1, "A", "2000-01-03", 6.0),
+            (2, "B", "2000-01-10", -1.0),
+            (2, "C", "2000-01-17", -2.0),
+            (3, "A", "2000-01-04", 1.0),
+            (3, "A", "1980-01-07", 1.0),
+            (None, "A", "2000-01-03", 1.0),
+            (4, "A", None, 1.0),
+        ],
+        "product_id long, category string, date string, demand double",
+    )
+    items = spark.createDataFrame([(1, "A"), (2, "B"), (2, "B"), (2, "B"), (4, "A"), (9, "Z")], "product_id long, category string")
+    got = {r.rule: tuple(r)[1:] for r in contract_report(demand, items).collect()}
+    assert got == {
+        "null_key": (2, 2, 4),
+        "duplicate_week": (1, 2, 1),
+        "several_categories": (1, 1, 2),
+        "off_calendar": (1, 2, 3),
+        "negative_demand": (1, 2, 2),
+        "item_missing": (1, 2, 3),
+        "duplicate_item": (1, 2, 2),
+    }
+    clean = {r.rule: tuple(r)[1:] for r in contract_report(demand.limit(0), items.limit(0)).collect()}
+    assert set(clean.values()) == {(0, 0, None)} and len(clean) == 7
+    plan = contract_violations(demand, items)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Expand" not in plan
