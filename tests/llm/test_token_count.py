@@ -45,3 +45,22 @@ def test_edges(spark):
     got = sorted((r.doc_id or 0, r.n_tokens, r.over_limit) for r in token_counts(df, PATH).collect())
     assert got == [(0, 1, False), (1, 0, False), (1, 2, False)]
     assert token_counts(df.limit(0), PATH).count() == 0
+
+
+def test_every_character_is_of_the_librarys_kind():
+    """Each code point after a letter, a digit and a sign: joined to it or a piece of its own, as in the library."""
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from replenish.llm.token_count import piece_starts
+
+    cut = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).pre_tokenizer.pre_tokenize_str
+    points = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    for before in "a1":
+        for lo in range(0, len(points), 50_000):
+            text = "".join(f"{before}{chr(c)}'s\n" for c in points[lo : lo + 50_000])
+            want = {a for _, (a, _) in cut(text)}
+            cp = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+            got = set(np.flatnonzero(piece_starts(cp, np.array([0]))).tolist())
+            assert got == want, [hex(points[lo + i // 5]) for i in sorted(got ^ want)[:5]]
