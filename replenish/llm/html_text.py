@@ -31,10 +31,13 @@ from .common import map_batches
 # Element classes of HTML; fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-UNSEEN = frozenset("head script style template noscript title meta link base iframe noembed noframes object audio video canvas svg math datalist".split())
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure hr fieldset menu".split())
+UNSEEN = frozenset("head script style template noscript title meta link base iframe noembed noframes object audio video canvas datalist".split())
+#: Not shown inside a drawing or a formula; of a drawing only what stands in a text element is.
+DRAWN_UNSEEN = frozenset("defs desc metadata symbol clippath mask marker pattern lineargradient radialgradient filter annotation annotation-xml".split())
+DRAWN_TEXT = ("text", "foreignobject")
+SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre xmp blockquote figure hr fieldset menu".split())
 BLOCKS = SPACED | frozenset("address article aside body center dd details dialog dir div dt figcaption footer form header hgroup html legend li main nav option optgroup search section summary caption tr thead tbody tfoot".split())
-ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul li dd dt".split())
+ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul li dd dt xmp".split())
 #: Start tag: the open elements it ends, and where looking for them stops.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -55,18 +58,19 @@ HEAD_ONLY = frozenset("base link meta noscript script style template title head"
 #: A column is not padded beyond this width.
 WIDEST = 120
 
-TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>=]+|=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))?)*+)(>|\Z)|<[!?/][^>]*(?:>|\Z)|[^<]+|<", re.S)
+TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?>[^>=]+|=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))?)*+)(>|\Z)|<[!?/][^>]*(?:>|\Z)|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"([^\s/=>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 HIDES = re.compile(r"(?i)(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))")
 BLANKS = re.compile(r"[ \t\n\f\r]+")
 
 
 class Element:
-    __slots__ = ("tag", "attributes", "children")
+    __slots__ = ("tag", "attributes", "children", "unseen")
 
-    def __init__(self, tag: str, attributes: str = ""):
+    def __init__(self, tag: str, attributes: str = "", unseen: bool = False):
         self.tag = tag
         self.attributes = attributes
+        self.unseen = unseen
         self.children: list[Element | str] = []
 
     def get(self, name: str) -> str | None:
@@ -80,7 +84,7 @@ class Element:
         return min(most, int(x)) if re.fullmatch(r"-?\d{1,6}", x) else default
 
     def hidden(self) -> bool:
-        if self.tag in UNSEEN:
+        if self.unseen or self.tag in UNSEEN:
             return True
         if not self.attributes or ("hid" not in self.attributes.lower() and "none" not in self.attributes.lower() and "collapse" not in self.attributes.lower()):
             return False
@@ -119,7 +123,8 @@ def parse(page: str) -> Element:
             if text[0] != "<" or text == "<":
                 if open_.get("head") and text.strip():
                     end({"head"}, ())
-                stack[-1].children.append(html.unescape(text) if "&" in text else text)
+                if not open_.get("svg") or any(open_.get(t) for t in DRAWN_TEXT):
+                    stack[-1].children.append(html.unescape(text) if "&" in text else text)
             continue
         if not m[4]:
             break  # the page ends inside a tag
@@ -147,7 +152,8 @@ def parse(page: str) -> Element:
             end({"p"}, WALLS)
         if tag in ENDS:
             end(*ENDS[tag])
-        new = Element(tag, m[3])
+        drawn = tag in DRAWN_UNSEEN and (open_.get("svg") or open_.get("math"))
+        new = Element(tag, m[3], bool(drawn))
         stack[-1].children.append(new)
         if tag in RAW:
             close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
@@ -155,6 +161,8 @@ def parse(page: str) -> Element:
             at = close.end() if close else size
             if tag == "textarea":
                 new.children.append(html.unescape(body))
+            elif tag == "xmp":
+                new.children.append(body)
         elif tag not in VOID and not m[3].endswith("/") or tag in BLOCKS and tag not in VOID:
             stack.append(new)
             open_[tag] = open_.get(tag, 0) + 1
@@ -302,9 +310,9 @@ def render(root: Element) -> str:
                 flow.indents.append(flow.indents[-1] + "  ")
             elif tag == "table":
                 tables.append(Table())
-            elif tag == "pre":
+            elif tag in ("pre", "xmp"):
                 pre += 1
-                if node.children and isinstance(node.children[0], str) and node.children[0].startswith("\n"):
+                if tag == "pre" and node.children and isinstance(node.children[0], str) and node.children[0].startswith("\n"):
                     node.children[0] = node.children[0][1:]
             todo.append((node, True))
             todo.extend((c, False) for c in reversed(node.children))
@@ -325,7 +333,7 @@ def render(root: Element) -> str:
             flow.indents.pop()
             if tag == "li":
                 flow.marker = None
-        elif tag == "pre":
+        elif tag in ("pre", "xmp"):
             pre -= 1
         if tag in BLOCKS and tag != "tr":
             flow.block(2 if tag in SPACED and not (tag in ("ul", "ol") and lists) else 1)

@@ -37,6 +37,10 @@ CASES = {
     "<p>a<br></p><p>b": "a\n\nb",
     "<p>a<table><tr><td>b</table>": "a\n\nb",
     "<p><b>a<p>b</b>c": "a\n\nbc",
+    "a<!-->b<!--->c<!-- x -- y -->d<!--e--!>f": "abcdf",
+    "x <math><mi>a</mi><mo>+</mo><mi>b</mi><annotation>a+b</annotation></math> y": "x a+b y",
+    "u<svg><title>no</title><defs><text>no</text></defs><path d='M0'/> no <text>label <tspan>one</tspan></text><desc>no</desc></svg>v": "ulabel onev",
+    "<xmp><b>raw</b> &lt;\n  two</xmp>z": "<b>raw</b> &lt;\n  two\n\nz",
 }
 
 
@@ -77,6 +81,34 @@ def test_pages_keep_all_visible_characters(spark, sf0001):
         assert squeeze(got[r.page_id]) == squeeze("".join(v.words))
 
 
+def cells_of(rng, n_rows, n_cols):
+    words = ["a", "bb", "ccc dd", "e f g", "", "é😀", "long cell of words"]
+    return [[words[rng.randrange(len(words))] for _ in range(n_cols)] for _ in range(n_rows)]
+
+
+def test_table_cells_stand_in_columns():
+    """Every cell begins where its column does: two blanks after the widest cell of the column before."""
+    import random
+
+    rng = random.Random(8)
+    for _ in range(200):
+        rows = cells_of(rng, rng.randint(1, 5), rng.randint(1, 4))
+        page = "<table>" + "".join("<tr>" + "".join(f"<td>{c}" for c in r) for r in rows) + "</table>"
+        lines = page_text(page).split("\n")
+        widths = [max(len(r[c]) for r in rows) for c in range(len(rows[0]))]
+        at = [sum(w + 2 for w in widths[:c]) for c in range(len(widths))]
+        shown = [r for r in rows if any(r)]
+        want = []
+        for r in rows:
+            line = ""
+            for c, cell in enumerate(r):
+                if cell:
+                    line = line.ljust(at[c]) + cell
+            want.append(line)
+        assert [x for x in lines if x] == [x for x in want if x], page
+        assert len([x for x in lines if x]) == len(shown)
+
+
 def test_deep_and_long_pages_take_linear_time():
     assert page_text("<div>" * 30000 + "x" + "</span>" * 30000) == "x"
     assert page_text("<b>" * 50000 + "y") == "y"
