@@ -8,8 +8,9 @@ pattern costs one more than the pass before (convex), so the cheapest flow
 repeats as little as possible. A pattern's flow is then taken from its
 documents: whole passes for all, and one more pass for documents in the order
 of a seeded hash until the rest is used up (or, if that is more than half, for
-all but documents so chosen); later rounds fill the gap that the first
-document too long for it leaves.
+all but documents so chosen). Later rounds fill what the first document too long
+for the gap leaves, until no open document fits; each at least halves the gap. Then
+the smallest open document is let across if that ends nearer.
 
 Prefix sums run in two levels (ranges of the hash, then one range), so a
 source with a third of all documents is never ordered in one task. The driver
@@ -38,7 +39,8 @@ SHARE, PASSES = 1.5, 2
 SEED = 17
 #: Documents in one range of the hash, about.
 RANGE_ROWS = 500
-ROUNDS = 4
+#: Patterns whose table may be broadcast (a row each); more are joined by shuffle.
+PATTERN_ROWS = 50_000
 
 
 class Plan(NamedTuple):
@@ -136,18 +138,54 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _fill(open_rows: DataFrame, rest: DataFrame, ranges: int) -> DataFrame:
-    """(pattern, place, id, size) taken next: a prefix of each pattern's rows, by place, within ``gap`` words."""
-    fitting = open_rows.join(F.broadcast(rest), "pattern").where("size <= gap")
-    fitting = fitting.withColumn("cell", F.floor(F.col("place") * ranges).cast("long"))
-    cells = fitting.groupBy("pattern", "gap", "cell").agg(F.sum("size").alias("words"))
+def _near(rest: DataFrame, n: int) -> DataFrame:
+    """A table of one row a pattern, broadcast only while it is small."""
+    return F.broadcast(rest) if n <= PATTERN_ROWS else rest
+
+
+def _fill(open_rows: DataFrame, rest: DataFrame, n: int, ranges: int) -> DataFrame:
+    """(pattern, row) taken next of each pattern's open rows, within ``gap`` words; the gap at least halves if a row fits.
+
+    If rows of more than half the gap fit, the first of them by place goes in alone; else a
+    prefix of the fitting rows by place, so what is left is less than half the gap, or all are in.
+    """
+    fitting = open_rows.join(_near(rest, n), "pattern").where("size <= gap")
+    key = F.struct("place", "id", "size", "row")
+    big = fitting.where("2 * size > gap").groupBy("pattern").agg(F.min(key).alias("big")).select("pattern", F.col("big.row").alias("row"))
+    small = fitting.join(_near(big.select("pattern"), n), "pattern", "left_anti")
+    small = small.withColumn("cell", F.floor(F.col("place") * ranges).cast("long"))
+    cells = small.groupBy("pattern", "gap", "cell").agg(F.sum("size").alias("words"))
     upto = F.sum("words").over(Window.partitionBy("pattern").orderBy("cell"))
     cells = cells.select("pattern", "cell", (upto - F.col("words")).alias("before"), upto.alias("after"))
-    rows = fitting.join(cells, ["pattern", "cell"]).where("before < gap")
+    rows = small.join(cells, ["pattern", "cell"]).where("before < gap")
     whole = rows.where("after <= gap")
-    order = Window.partitionBy("pattern", "cell").orderBy("place", "id", "size", "twin").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("pattern", "cell").orderBy("place", "id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
     split = rows.where("after > gap").withColumn("upto", F.col("before") + F.sum("size").over(order)).where("upto <= gap")
-    return whole.select("pattern", "row").unionByName(split.select("pattern", "row"))
+    return big.unionByName(whole.select("pattern", "row")).unionByName(split.select("pattern", "row"))
+
+
+def _chosen(spark, rows: DataFrame, quota: list[tuple[list, int]], ranges: int) -> DataFrame:
+    """(row) of the documents whose words come nearest to each pattern's quota: filled until nothing fits, then one more if that ends nearer."""
+    gaps = {tuple(p): g for p, g in quota if g > 0}
+    taken: DataFrame | None = None
+    open_rows = rows
+    table = lambda: spark.createDataFrame([(list(p), g) for p, g in gaps.items()], "pattern array<string>, gap long")
+    while gaps:
+        got = written(spark, _fill(open_rows, table(), len(gaps), ranges).join(open_rows.select("row", "size"), "row"), "taken")
+        used = {tuple(r.pattern): r.words for r in got.groupBy("pattern").agg(F.sum("size").alias("words")).collect()}
+        if not used:
+            break
+        taken = got.select("row") if taken is None else taken.unionByName(got.select("row"))
+        gaps = {p: g - used.get(p, 0) for p, g in gaps.items() if g > used.get(p, 0)}
+        if gaps:
+            left = open_rows.join(got.select("row"), "row", "left_anti")
+            open_rows = written(spark, left.join(_near(table().select("pattern"), len(gaps)), "pattern", "left_semi"), "open")
+    if gaps:  # no open document fits any more: the smallest one crosses the gap if that ends nearer
+        least = open_rows.groupBy("pattern").agg(F.min(F.struct("size", "place", "id", "row")).alias("least"))
+        over = least.join(_near(table(), len(gaps)), "pattern").where("least.size - gap < gap").select(F.col("least.row").alias("row"))
+        over = written(spark, over, "crossing")
+        taken = over if taken is None else taken.unionByName(over)
+    return taken if taken is not None else rows.select("row").limit(0)
 
 
 def mix(docs: DataFrame, sources: Column, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, weights=WEIGHTS, share: float = SHARE, passes: int = PASSES, seed: int = SEED) -> tuple[DataFrame, Plan]:
@@ -177,20 +215,9 @@ def mix(docs: DataFrame, sources: Column, id_col: str = "doc_id", text_col: str
         quota.append((list(r.members), full, r.words - part if left_out else part, left_out))
     rest = spark.createDataFrame(quota, "pattern array<string>, full long, gap long, left_out boolean")
     ranges = max(1, sum(r.n for r in sums) // RANGE_ROWS)
-    rows = base.select(F.col("members").alias("pattern"), "place", "id", "size", "row", F.col("row").alias("twin")).where("size > 0")
-    extra: DataFrame | None = None
-    gaps = rest.select("pattern", "gap").where("gap > 0")
-    for _ in range(ROUNDS):
-        open_rows = rows if extra is None else rows.join(extra.select("row"), "row", "left_anti")
-        got = written(spark, _fill(open_rows, gaps, ranges).join(rows.select("row", "size"), "row"), "taken")
-        extra = got if extra is None else extra.unionByName(got)
-        used = {tuple(r.pattern): r.words for r in got.groupBy("pattern").agg(F.sum("size").alias("words")).collect()}
-        left = [(list(r.pattern), r.gap - used.get(tuple(r.pattern), 0)) for r in gaps.collect()]
-        left = [x for x in left if x[1] > 0]
-        if not left:
-            break
-        gaps = spark.createDataFrame(left, "pattern array<string>, gap long")
-    out = base.join(F.broadcast(rest), base.members == F.col("pattern")).join(extra.select(F.col("row").alias("more")), F.col("row") == F.col("more"), "left")
+    rows = base.select(F.col("members").alias("pattern"), "place", "id", "size", "row").where("size > 0")
+    extra = _chosen(spark, rows, [(q[0], q[2]) for q in quota], ranges)
+    out = base.join(_near(rest, len(quota)), base.members == F.col("pattern")).join(extra.select(F.col("row").alias("more")), F.col("row") == F.col("more"), "left")
     passes_of = F.col("full") + (F.col("more").isNotNull() != F.col("left_out")).cast("int")
     decoded = F.transform("members", lambda m: F.when(m != F.lit("~"), F.substring(m, 2, 1 << 30)))
     return out.select(F.col("id").alias(id_col), decoded.alias("sources"), "size", (F.col("size") * passes_of).alias("taken"), *(F.col(f"extra.{c}").alias(c) for c in carry)), made
@@ -204,5 +231,5 @@ def mix_by_source(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sized = rows.select(F.col("sources")[0].alias("s"), "size").groupBy("s").agg(F.sum("size").alias("source_size"))
     wanted = spark.createDataFrame([(s, t) for s, t in made.targets.items()] or [], "t string, target double")
     named = sized.join(wanted, F.col("s").eqNullSafe(F.col("t"))).select("s", "source_size", "target")
-    out = rows.join(F.broadcast(named), F.col("sources")[0].eqNullSafe(F.col("s")))
+    out = rows.join(F.broadcast(named) if len(made.targets) <= PATTERN_ROWS else named, F.col("sources")[0].eqNullSafe(F.col("s")))
     return out.select(id_col, "size", "source_size", "target", "taken", *(carry or []))

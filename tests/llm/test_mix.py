@@ -88,3 +88,31 @@ def test_edges(spark):
     assert all(r.taken <= 2 * r["size"] for r in got)
     assert {r.target for r in got if r.source_size == 2} == {4.0}
     assert mix.mix_by_source(docs.limit(0)).count() == 0
+
+
+def test_few_long_documents_end_near_the_target(spark):
+    """Sizes where a prefix in hash order stops far away: the rest is filled with what fits, then one may cross."""
+    import itertools
+
+    sizes = [20000, 17000, 15000, 13000, 11000, 9000, 8000, 6000, 3000, 500, 120, 40, 12, 5]
+    for seed in range(4):
+        rows = [(1000 * seed + i, "w " * n, "x") for i, n in enumerate(sizes)] + [(1000 * seed + 100 + i, "w " * 1200, "y") for i in range(40)] + [(1000 * seed + 200, "w " * 70_000, "z")]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        got = mix.mix_by_source(docs, carry=["source"]).toPandas()
+        for source, own in got.groupby("source"):
+            own_sizes, gap = own["size"].tolist(), abs(own.taken.sum() - own.target.iloc[0])
+            left = [n for n, t in zip(own_sizes, own.taken) if t < 2 * n]
+            # Nothing that is still open ends nearer, alone; and the gap is below half the smallest such document.
+            short = own.target.iloc[0] - own.taken.sum()
+            assert all(abs(short - n) >= gap - 1 for n in left), (source, gap)
+            if source == "x":
+                assert gap <= 20, gap
+            if source == "y":
+                assert gap <= 600
+
+
+def test_many_sources(spark):
+    docs = spark.range(600).selectExpr("id as doc_id", "repeat('w ', cast(1 + id % 37 as int)) as text", "cast(id % 60 as string) as source")
+    got = mix.mix_by_source(docs, carry=["source"]).toPandas()
+    by = got.groupby("source").agg(target=("target", "max"), taken=("taken", "sum"))
+    assert ((by.taken - by.target).abs() <= 19).all()
