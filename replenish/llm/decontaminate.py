@@ -13,7 +13,8 @@ d = floor((1 - similarity) * m) word edits (insert, delete, replace) of it.
 3. Bit sampling. Each of L tables has a walk of its own and samples a few
    embedding coordinates as its bucket key; a window is a candidate if it meets the
    item in a bucket of any table. L follows from the collision rate measured
-   on items with d random edits and the target recall.
+   on items with d random edits, by length class, and the target recall; where the
+   most tables do not reach it, all windows of a class go on to the check.
 4. Exact check. Bit-parallel edit distance of the item against the words around the
    window; the row holds the smallest distance and its run of words.
 
@@ -43,6 +44,8 @@ COORDINATES = 2
 #: Items broadcast at once (about 1 KB each); more items make more passes.
 BLOCK_ITEMS = 20_000
 MAX_TABLES = 64
+#: Items of a length class whose recall is measured, and edited copies of them at least.
+CLASS_PROBES, PROBES = 100, 600
 U = np.uint64
 
 
@@ -58,6 +61,7 @@ class Block(NamedTuple):
     walks: np.ndarray  # tables x 3 * longest item, odd 64-bit values
     picks: np.ndarray  # tables x coordinates, in [0, 1)
     keys: np.ndarray  # items x tables
+    direct: np.ndarray  # items whose windows are all verified
 
 
 def embed_keys(windows: np.ndarray, sizes: np.ndarray, walks: np.ndarray, picks: np.ndarray) -> np.ndarray:
@@ -150,8 +154,8 @@ def build(rows: list[tuple[int, str | None]], similarity: float = SIMILARITY, re
     picks = rng.random((MAX_TABLES, COORDINATES))
     sizes = np.array([len(i.hashes) for i in items])
     keys = embed_keys(_pad([i.hashes for i in items], width), sizes, walks, picks)
-    tables = _tables_for(items, keys, walks, picks, width, recall, rng)
-    return Block(items, piece, walks[:tables], picks[:tables], keys[:, :tables])
+    tables, direct = _fitted(items, keys, walks, picks, recall, rng)
+    return Block(items, piece, walks[:tables], picks[:tables], keys[:, :tables], direct)
 
 
 def _pad(runs: list[np.ndarray], width: int) -> np.ndarray:
@@ -161,28 +165,47 @@ def _pad(runs: list[np.ndarray], width: int) -> np.ndarray:
     return out
 
 
-def _tables_for(items: list[Item], keys: np.ndarray, walks: np.ndarray, picks: np.ndarray, width: int, recall: float, rng: np.random.Generator) -> int:
-    """Tables until the measured recall of items with their most edits reaches ``recall``."""
-    probe = [k for k in range(len(items)) if items[k].edits][:200]
-    if not probe:
-        return 1
-    changed, owner = [], []
-    for k in probe:
-        for _ in range(3):
-            run = items[k].hashes.tolist()
-            m = len(run)
-            for _ in range(items[k].edits):
-                at, what = int(rng.integers(0, len(run))), int(rng.integers(0, 3))
-                new = int(rng.integers(1, 1 << 62))
-                run[at : at + (what != 1)] = [] if what == 0 else [new]
-            run += rng.integers(1, 1 << 62, width).tolist()  # what follows in the document
-            changed.append(np.array(run[:m], np.uint64))
-            owner.append(k)
-    sizes = np.array([len(items[k].hashes) for k in owner])
-    met = embed_keys(_pad(changed, width), sizes, walks, picks) == keys[owner]
-    reached = np.logical_or.accumulate(met, axis=1).mean(axis=0)
-    enough = np.flatnonzero(reached >= recall)
-    return int(enough[0]) + 1 if len(enough) else MAX_TABLES
+def length_class(sizes: np.ndarray) -> np.ndarray:
+    """Items of 2**c to 2**(c + 1) - 1 words are class c."""
+    return np.floor(np.log2(sizes)).astype(np.int64)
+
+
+def _fitted(items: list[Item], keys: np.ndarray, walks: np.ndarray, picks: np.ndarray, recall: float, rng: np.random.Generator) -> tuple[int, np.ndarray]:
+    """(tables, items to verify without them).
+
+    Recall is measured a length class, on a hash-chosen sample of its items with
+    their most edits; the class that needs most tables sets their number. Items of a class
+    that all tables do not bring to the target have every piece window verified.
+    """
+    sizes = np.array([len(i.hashes) for i in items])
+    classes = length_class(sizes)
+    place = np.array([int(np.bitwise_xor.reduce(mix(i.hashes))) for i in items], np.uint64)
+    tables, direct = 1, np.zeros(len(items), bool)
+    for c in np.unique(classes).tolist():
+        own = np.flatnonzero((classes == c) & np.array([i.edits > 0 for i in items]))
+        if not len(own):
+            continue
+        probe = own[np.argsort(place[own], kind="stable")[:CLASS_PROBES]]
+        width = int(sizes[probe].max())
+        changed, owner = [], []
+        for k in probe.tolist():
+            for _ in range(max(3, -(-PROBES // len(probe)))):
+                run = items[k].hashes.tolist()
+                m = len(run)
+                for _ in range(items[k].edits):
+                    at, what = int(rng.integers(0, len(run))), int(rng.integers(0, 3))
+                    run[at : at + (what != 1)] = [] if what == 0 else [int(rng.integers(1, 1 << 62))]
+                run += rng.integers(1, 1 << 62, m).tolist()  # what follows in the document
+                changed.append(np.array(run[:m], np.uint64))
+                owner.append(k)
+        met = embed_keys(_pad(changed, width), sizes[owner], walks, picks) == keys[owner]
+        reached = np.logical_or.accumulate(met, axis=1).mean(axis=0)
+        enough = np.flatnonzero(reached >= recall)
+        if len(enough):
+            tables = max(tables, int(enough[0]) + 1)
+        else:
+            direct[classes == c] = True
+    return tables, direct
 
 
 def search_slice(raw: np.ndarray, at: np.ndarray, block: Block) -> list[tuple[int, int, int, int, int]]:
@@ -233,7 +256,7 @@ def _bucket_hits(part: list[tuple[tuple[int, int], int]], w, block: Block) -> li
     of = np.array([key[1] for key, _ in kept])
     sizes = np.array([len(block.items[k].hashes) for k in of])
     keys = embed_keys(_pad(runs, int(sizes.max())), sizes, block.walks, block.picks)
-    met = (keys == block.keys[of]).any(axis=1)
+    met = (keys == block.keys[of]).any(axis=1) | block.direct[of]
     return [kept[i] for i in np.flatnonzero(met)]
 
 

@@ -75,3 +75,38 @@ def test_edges(spark):
     assert got == [(3, 1, 0, 1, 11), (3, 5, 0, 1, 11), (4, 1, 1, 0, 10), (4, 5, 1, 0, 10), (6, 4, 0, 0, 2), (8, 1, 0, 70000, 70010), (8, 5, 0, 70000, 70010)]
     assert dc.find(docs.limit(0), bench).count() == 0
     assert dc.find(docs, bench.limit(0)).count() == 0
+
+
+def test_recall_holds_for_every_length(spark):
+    """Many short items and some long ones: tables are fitted a length class, so long ones are found as well."""
+    import numpy as np
+
+    from replenish.llm import decontaminate
+
+    rng = np.random.default_rng(6)
+    word = lambda: f"w{rng.integers(1, 10**9)}"
+    items = [(i, " ".join(word() for _ in range(6))) for i in range(200)] + [(1000 + i, " ".join(word() for _ in range(200))) for i in range(60)]
+    rows, want = [], set()
+    for n, (i, text) in enumerate(items):
+        words = text.split()
+        for copy in range(3 if i >= 1000 else 1):
+            run = list(words)
+            for _ in range(decontaminate.allowed_edits(len(words), decontaminate.SIMILARITY)):
+                at, what = int(rng.integers(0, len(run))), int(rng.integers(0, 3))
+                run[at : at + (what != 1)] = [] if what == 0 else [word()]
+            doc = 10 * n + copy
+            rows.append((doc, " ".join([word() for _ in range(30)] + run + [word() for _ in range(30)])))
+            want.add((doc, i))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    long = {x for x in want if x[1] >= 1000}
+    assert len(long & got) >= 0.99 * len(long) and len(want & got) >= 0.99 * len(want)
+
+
+def test_a_class_beyond_the_tables_is_verified_directly(monkeypatch):
+    from replenish.llm import decontaminate
+
+    monkeypatch.setattr(decontaminate, "MAX_TABLES", 1)
+    text = " ".join(f"w{i}" for i in range(100))
+    block = decontaminate.build([(1, text), (2, "a b c d")])
+    assert block.direct.tolist() == [True, False]
