@@ -9,9 +9,10 @@ inside a longer candidate is not one of its own.
 Features of a candidate: its length and character mix, how often its
 characters change class, its entropy, the share of it that words of its own
 document cover, path signs, and the words and signs next to it. The forest is trained on
-labelled findings: ``label_rules`` marks candidates whose format and context
-leave no doubt, and each marked one also stands in the other contexts of
-``contrasts``; a bounded, hash-chosen sample of them is used.
+labelled findings: random keys, tokens and chosen passwords, and things that look
+like them (digests, ids, paths, placeholders, names), are set into real passages of a bounded,
+hash-chosen sample of the documents and go through the same candidate code; a
+bounded sample of the corpus's own candidates in a published format joins them.
 
 Defined results: null or empty texts have no findings; a repeated row
 repeats its findings; spans are in code points, end exclusive; other columns are
@@ -21,8 +22,11 @@ empty tables, or candidates among which nothing can be labelled, give no finding
 
 from __future__ import annotations
 
+import base64
 import math
+import random
 import re
+import string
 from bisect import bisect_right
 from collections import Counter
 
@@ -48,6 +52,8 @@ VALUE = re.compile(
 )
 URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s/:@\"'<>]*:(?P<v>[^\s/\"'<>]+)@")
 LOGIN = re.compile(r"://[^\s/:@\"'<>]*:$")
+#: Three dotted base64 parts, as one candidate.
+DOTTED = re.compile(r"(?<![A-Za-z0-9_-])(?P<v>eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*)")
 BEARER = re.compile(r"(?i)\bbearer\s+(?P<v>[A-Za-z0-9._~+/=-]{6,})")
 #: Values that say where a secret would stand.
 EMPTY = re.compile(r"(?i)none|null|nil|true|false|undefined|required|optional|changeme|your[_ -].*|\$\{.*|\{\{.*|%\(.*|<.*|\*+|x+|\.+|[A-Za-z_.]+\(.*")
@@ -58,8 +64,8 @@ KNOWN = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abp
 SECRET_WORDS = re.compile(r"(?i)pass(?:word|wd|phrase)?\b|pwd|secret|token|api.?key|access.?key|private.?key|auth|bearer|credential")
 OTHER_WORDS = re.compile(r"(?i)commit|sha-?\d*\b|md5|checksum|hash|digest|uuid|guid|revision|build|isbn|order|invoice|https?:|www\.")
 ASSIGN = re.compile(r"""[=:]\s*["']?$""")
-#: Labelled findings used for training; contrasts come on top of them.
-SAMPLE_ROWS = 4_000
+#: Passages that findings are set into, findings a passage, and the corpus's own findings used for training.
+PASSAGES, EACH, SAMPLE_ROWS = 250, 16, 2_000
 TREES, DEPTH = 24, 7
 THRESHOLD = 0.5
 FEATURES = ["f_length", "f_digits", "f_upper", "f_lower", "f_hex", "f_entropy", "f_changes", "f_letter_run", "f_digit_run", "f_covered", "f_path", "f_known", "f_secret_word", "f_other_word", "f_assigned", "f_quoted", "f_at", "f_signs", "f_empty"]
@@ -111,7 +117,7 @@ def spans(text: str) -> list[tuple[int, int]]:
         lines = None if end else KEY_LINES.match(text, m.end())
         at = end.end() if end else m.end() + len(lines[0].rstrip()) if lines else m.end()
         wide.append((m.start(), at))
-    for pattern in (URL, VALUE, BEARER):
+    for pattern in (URL, DOTTED, VALUE, BEARER):
         for m in pattern.finditer(text):
             name = "q" if m.groupdict().get("q") else "v"
             a, b = m.span(name)
@@ -163,39 +169,103 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return map_batches(docs.select(id_col, text_col), run, schema)
 
 
-def label_rules(found: DataFrame) -> DataFrame:
-    """Candidates whose label is beyond doubt: 1.0 a secret, 0.0 none."""
-    random_like = (F.col("f_hex") >= 0.95) & (F.col("f_digits") < 1) | (F.col("f_entropy") >= 3.3)
-    secret = (F.col("f_known") == 1) | ((F.col("f_secret_word") == 1) & (F.col("f_assigned") == 1) & random_like & (F.col("f_covered") < 0.3) & (F.col("f_empty") == 0))
-    other = (F.col("f_known") == 0) & (F.col("f_secret_word") == 0) & ((F.col("f_digits") == 1) | (F.col("f_other_word") == 1) | (F.col("f_path") >= 2) | (F.col("f_covered") >= 0.5))
-    return found.withColumn("label", F.when(secret, 1.0).when(other, 0.0)).where("label is not null")
-
-
-def contrasts(labelled: DataFrame) -> DataFrame:
-    """The labelled findings, and the secrets among them once more as they would look in other contexts."""
-    secrets = labelled.where("label = 1.0")
-    plain = {"f_known": F.lit(0.0), "f_secret_word": F.lit(0.0), "f_assigned": F.lit(0.0), "f_quoted": F.lit(0.0), "label": F.lit(0.0)}
-    digest = secrets.withColumns(plain | {"f_other_word": F.lit(1.0)})
-    path = secrets.withColumns(plain | {"f_path": F.lit(3.0)})
-    named = secrets.withColumns(plain | {"f_covered": F.lit(0.8), "f_letter_run": F.lit(8.0), "f_entropy": F.col("f_entropy") * 0.8, "f_hex": F.lit(0.4), "f_digits": F.lit(0.15)})
-    unquoted = secrets.withColumn("f_quoted", F.lit(0.0))
-    # Values that people choose: short, of words and signs, with or without quotes; the same place may hold none.
-    chosen = {"f_known": F.lit(0.0), "f_secret_word": F.lit(1.0), "f_assigned": F.lit(1.0), "f_other_word": F.lit(0.0), "f_path": F.lit(0.0), "f_hex": F.lit(0.3), "f_empty": F.lit(0.0), "label": F.lit(1.0)}
-    short = secrets.withColumns(chosen | {"f_length": F.lit(7.0), "f_digits": F.lit(0.15), "f_upper": F.lit(0.0), "f_lower": F.lit(0.85), "f_entropy": F.lit(2.8), "f_changes": F.lit(0.15), "f_letter_run": F.lit(6.0), "f_digit_run": F.lit(1.0)})
-    phrase = secrets.withColumns(chosen | {"f_length": F.lit(24.0), "f_digits": F.lit(0.0), "f_upper": F.lit(0.15), "f_lower": F.lit(0.85), "f_entropy": F.lit(3.7), "f_changes": F.lit(0.3), "f_letter_run": F.lit(24.0), "f_digit_run": F.lit(0.0), "f_quoted": F.lit(1.0)})
-    signed = short.withColumns({"f_signs": F.lit(0.15), "f_lower": F.lit(0.6), "f_upper": F.lit(0.1), "f_changes": F.lit(0.5)})
-    empty = short.unionByName(phrase).withColumns({"f_empty": F.lit(1.0), "f_quoted": F.lit(0.0), "f_digits": F.lit(0.0), "f_digit_run": F.lit(0.0), "f_signs": F.lit(0.0), "label": F.lit(0.0)})
-    prose = short.withColumns({"f_assigned": F.lit(0.0), "f_quoted": F.lit(0.0), "f_digits": F.lit(0.0), "f_digit_run": F.lit(0.0), "f_lower": F.lit(1.0), "f_covered": F.lit(1.0), "label": F.lit(0.0)})
-    out = labelled
-    for x in (digest, path, named, unquoted, short, phrase, signed, empty, prose):
-        out = out.unionByName(x)
-    return out
-
-
-def train(labelled: DataFrame, rows: int = SAMPLE_ROWS, seed: int = 5) -> PipelineModel | None:
-    """A forest on at most ``rows`` labelled findings, half of each label."""
-    parts = [labelled.where(F.col("label") == k).orderBy(F.xxhash64("id", "start", "end"), "id", "start", "end", *FEATURES).limit(rows // 2) for k in (1.0, 0.0)]
-    sample = written(labelled.sparkSession, contrasts(parts[0].unionByName(parts[1])).coalesce(1), "findings")
+def _key(rng: random.Random) -> str:
+    """A random secret as a machine makes it."""
+    letters = string.ascii_letters + string.digits
+    pick = lambda chars, n: "".join(rng.choices(chars, k=n))
+    kinds = (
+        lambda: pick("0123456789abcdef", rng.choice((32, 40, 48, 64))),
+        lambda: pick(letters, rng.randint(16, 44)),
+        lambda: base64.b64encode(rng.randbytes(rng.randint(12, 40))).decode(),
+        lambda: base64.urlsafe_b64encode(rng.randbytes(rng.randint(12, 40))).decode().rstrip("="),
+        lambda: pick(string.ascii_lowercase, 2) + "_" + pick(letters, rng.randint(18, 36)),
+        lambda: "eyJ" + ".".join(pick(letters + "-_", rng.randint(12, 60)) for _ in range(3)),
+    )
+    return rng.choice(kinds)()
+
+
+def _password(rng: random.Random, words: list[str]) -> str:
+    """A secret as a person chooses it: words, digits and signs."""
+    parts = [rng.choice(words) for _ in range(rng.randint(1, 3))]
+    parts = [p.capitalize() if rng.random() < 0.4 else p for p in parts]
+    tail = "".join(rng.choices(string.digits, k=rng.choice((0, 1, 2, 4)))) + "".join(rng.choices("!$%#?@*&", k=rng.choice((0, 0, 1, 2))))
+    return rng.choice(("", "", "-", "_", ".")).join(parts)[:40] + tail
+
+
+def _finding(rng: random.Random, words: list[str]) -> tuple[str, str, str, float]:
+    """(before, value, after, label) of one finding."""
+    name = rng.choice(("password", "passwd", "PASSWORD", "db_password", "secret", "client_secret", "token", "auth_token", "api_key", "API-KEY", "access_key", "private_key", "credential"))
+    quote = rng.choice(('"', "'"))
+    value = _password(rng, words) if rng.random() < 0.5 else _key(rng)
+    hexes = lambda n: "".join(rng.choices("0123456789abcdef", k=n))
+    plain = rng.choice(words)
+    join = "_".join(rng.choices(words, k=3)).lower()
+    secret = (
+        lambda: (f"{name} = {quote}", value, quote),
+        lambda: (f"{name}={quote}", value, quote + ")"),
+        lambda: (f'"{name}": "', value.replace('"', "x"), '",'),
+        lambda: (f"{name}: ", value, ""),
+        lambda: (f"export {name.upper().replace('-', '_')}=", value, ""),
+        lambda: ("Authorization: Bearer ", _key(rng), ""),
+        lambda: (f"postgres://{plain.lower()}:", re.sub(r"[@/:\s]", "", value) or "x1", "@db.example.com/main"),
+        lambda: (f"the {name} is ", _key(rng), " now"),
+        lambda: (f"{name} => {quote}", value, quote),
+    )
+    other = (
+        lambda: ("commit ", hexes(40), " by"),
+        lambda: (rng.choice(("sha256: ", "md5 ", "checksum=", "digest: ", "hash ")), hexes(rng.choice((32, 40, 64))), ""),
+        lambda: (rng.choice(("uuid ", "id: ", "guid=", "revision ")), f"{hexes(8)}-{hexes(4)}-{hexes(4)}-{hexes(4)}-{hexes(12)}", ""),
+        lambda: ("https://www.example.com/", f"{join}/{hexes(10)}", "/index.html"),
+        lambda: ("see /usr/lib/", f"{join}/{plain.lower()}{rng.randint(1, 99)}", ".so for"),
+        lambda: (f"{name} = {quote}", rng.choice(("*" * rng.randint(3, 12), "x" * rng.randint(3, 12), "changeme", "<your key>", "${SECRET}", "{{ secret }}", "None", "your_token_here", "....")), quote),
+        lambda: (f"{name} = ", rng.choice(("None", "null", "true", "get_secret()", "os.environ.get(", "undefined", "required", "****")), ""),
+        lambda: (f"the {name} ", plain.lower(), " is kept elsewhere"),
+        lambda: (f"{name} is ", rng.choice(("required", "optional", "missing", "wrong", plain.lower())), ""),
+        lambda: ("order ", "".join(rng.choices(string.digits, k=rng.randint(12, 18))), " of"),
+        lambda: ("call ", f"{join}_v{rng.randint(1, 30)}", "(x)"),
+        lambda: ("build ", f"{plain.lower()}-{rng.randint(1, 9)}.{rng.randint(0, 20)}-20{rng.randint(10, 24)}{rng.randint(1000, 1231)}", ""),
+        lambda: ("data:image/png;base64,", base64.b64encode(rng.randbytes(rng.randint(30, 90))).decode(), ""),
+        lambda: ("", f"{hexes(16)}", f" {plain.lower()}"),
+    )
+    yes = rng.random() < 0.5
+    return (*rng.choice(secret if yes else other)(), float(yes))
+
+
+def made_findings(docs: DataFrame, id_col: str, text_col: str, seed: int = 5) -> DataFrame:
+    """(key, text): findings of known label in passages of at most PASSAGES documents; the key ends in label, start and end."""
+    usable = docs.where(F.length(text_col) > 0).select(F.col(text_col).alias("t"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("h"))
+    chosen = usable.orderBy("h", "t").limit(PASSAGES)
+    at = F.pmod("h", F.greatest(F.length("t") - 160, F.lit(1))) + 1
+    chosen = chosen.select("h", F.substring("t", at.cast("int"), F.lit(160)).alias("t")).repartition(1).sortWithinPartitions("h", "t")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys, texts = [], []
+        for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            rng = random.Random(h ^ seed)
+            words = WORD.findall(t) or ["word"]
+            for n in range(EACH):
+                before, value, after, label = _finding(rng, words)
+                cut = rng.randint(0, len(t))
+                left = t[:cut] + rng.choice((" ", "\n", "  ")) + before
+                keys.append(f"{h}:{n}:{label}:{len(left)}:{len(left) + len(value)}")
+                texts.append(left + value + after + rng.choice((" ", "\n")) + t[cut:])
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(texts)], names=["key", "text"])
+
+    return map_batches(chosen, run, "key string, text string")
+
+
+def labelled(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, seed: int = 5) -> DataFrame:
+    """(id, start, end, kind, FEATURES, label) of the made findings and of the corpus's own in a published format."""
+    made = written(docs.sparkSession, made_findings(docs, id_col, text_col, seed), "made")
+    parts = F.split("id", ":")
+    rows = candidates(made, "key", "text").where((F.col("start") == parts[3].cast("long")) & (F.col("end") == parts[4].cast("long"))).withColumn("label", parts[2].cast("double"))
+    own = found.where("f_known = 1").orderBy(F.xxhash64("id", "start", "end"), "id", "start", "end").limit(SAMPLE_ROWS)
+    return rows.unionByName(own.withColumn("id", F.col("id").cast("string")).withColumn("label", F.lit(1.0)))
+
+
+def train(rows: DataFrame, seed: int = 5) -> PipelineModel | None:
+    """A forest on a bounded table of labelled findings."""
+    sample = written(rows.sparkSession, rows.repartition(1).sortWithinPartitions("id", "start", "end"), "findings")
     if sample.select("label").distinct().count() < 2:
         return None
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=seed, featureSubsetStrategy="sqrt", labelCol="label")
@@ -207,7 +277,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     """(doc_id, start, end, kind, score) of the candidates that the forest takes for secrets."""
     spark = docs.sparkSession
     found = written(spark, candidates(docs, id_col, text_col), "candidates")
-    model = train(label_rules(found))
+    model = train(labelled(docs, found, id_col, text_col))
     kind = docs.schema[id_col].dataType.simpleString()
     if model is None:
         return spark.createDataFrame([], f"{id_col} {kind}, start long, end long, kind string, score double")

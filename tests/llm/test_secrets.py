@@ -94,3 +94,23 @@ def test_redact_overlapping_spans(spark):
     docs = spark.createDataFrame([(1, "abcdefghij")], "doc_id long, text string")
     found = spark.createDataFrame([(1, 1, 6), (1, 2, 4), (1, 5, 8)], "doc_id long, start long, end long")
     assert secrets.redact(docs, found).first().text == "a<secret>ij"
+
+
+def test_held_out_made_findings(spark, sf001):
+    """Precision and recall on findings of other random values in other passages than those trained on."""
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf001}/documents.parquet")
+    model = secrets.train(secrets.labelled(docs.where("doc_id % 2 = 0"), secrets.candidates(docs.where("doc_id % 2 = 0")), "doc_id", "text"))
+    other = docs.where("doc_id % 2 = 1")
+    held = secrets.labelled(other, secrets.candidates(other), "doc_id", "text", seed=99)
+    rows = model.transform(held).select("label", (vector_to_array("probability")[1] >= secrets.THRESHOLD).alias("hit")).collect()
+    hits = sum(r.hit and r.label == 1 for r in rows)
+    assert len(rows) > 2_000
+    assert hits >= 0.95 * sum(r.label for r in rows) and hits >= 0.95 * sum(r.hit for r in rows)
+    placed = docs.limit(300).select("doc_id", F.concat(F.col("text"), F.lit(' "password": "********" and token = "eyJhbGciOiJI.eyJzdWIiOiIx.sflKxwRJSMeKKF"')).alias("text"))
+    size = {r.doc_id: r.n for r in docs.select("doc_id", F.length("text").alias("n")).collect()}
+    got = secrets.find(placed).collect()
+    assert not [r for r in got if r.start == size[r.doc_id] + 14]  # the stars
+    assert len([r for r in got if r.end - r.start == 40 and r.start == size[r.doc_id] + 37]) == 300  # the dotted token as a whole
