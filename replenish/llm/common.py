@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session runs in one process and names no folder.
-LOCAL_DIR = "/tmp/checkpoints"
+from ..session import scratch_folder
+
 #: Rows in an Arrow batch at most: texts are long, and a batch is held several times over.
 BATCH_ROWS = 1_000
 #: Rows of a two-long-column table that may be broadcast (about 32 MB); counted first.
@@ -22,22 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; every executor must see it."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if spark.conf.get("spark.master", "").startswith(("local[", "local")) and "cluster" not in spark.conf.get("spark.master", ""):
-        return LOCAL_DIR
-    raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-
-
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet into the shared folder and read it back.
 
     Cuts the lineage: later steps reread files that survive lost executors.
+    The files go when the enclosing ``session.scratch`` block or the program ends.
     """
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
