@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from replenish.llm import decontaminate, lang_id, mix, near_dup, secrets
 from replenish.llm.common import BROADCAST_ROWS, table, written
+from replenish.session import scratch, scratch_folder
 
 #: The stages train models and walk components in rounds; SQL cannot express them.
 ORACLE_SQL = None
@@ -92,10 +93,17 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result but the last is written and read back."""
+    """All stages over ``documents``; each result but the last is written and read back.
+
+    What a stage wrote on its way is deleted once its result stands.
+    """
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES, 1):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES):
-            docs = written(spark, docs, name)
+        if k == len(STAGES):
+            return stage(spark, docs, sf_dir)
+        path = scratch_folder(spark, name)
+        with scratch():
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
     return docs
