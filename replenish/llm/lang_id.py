@@ -17,6 +17,7 @@ empty table.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -181,8 +182,8 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
-def training_sample(docs: DataFrame, id_col: str, text_col: str, label_col: str, may_learn: Column, rows: int = SAMPLE_ROWS) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """Subword counts of at most ``rows`` labelled texts, the same number a language at most.
+def training_sample(docs: DataFrame, id_col: str, text_col: str, label_col: str, may_learn: Column, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(i, lang, b, c): subword counts of at most ``rows`` labelled texts, the same number a language at most.
 
     Rows are chosen by a hash of their id from all labelled rows; ids first, the
     texts of the chosen ids then.
@@ -213,16 +214,31 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, label_col: str,
         return pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(bs, kind), pa.array(cs, kind)], names=["i", "lang", "b", "c"])
 
     id_kind = docs.schema[id_col].dataType.simpleString()
-    got = map_batches(chosen.select(id_col, label_col, text_col), run, f"i {id_kind}, lang string, b array<int>, c array<int>").toArrow()
-    out = list(zip(got["i"].to_pylist(), got["lang"].to_pylist(), got["b"], got["c"]))
-    out.sort(key=lambda x: (str(x[0]), x[1]))
-    # The collected rows are bounded by the sample size; repeated ids are cut to it here.
-    return [(lang, b.values.to_numpy(), c.values.to_numpy()) for _, lang, b, c in out[: 2 * rows]]
+    return map_batches(chosen.select(id_col, label_col, text_col), run, f"i {id_kind}, lang string, b array<int>, c array<int>")
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", may_learn: Column | None = None) -> Model | None:
+    """The model of the bounded sample, trained in one task; the driver gets the finished one only."""
     ok = ~held_out(id_col) if may_learn is None else may_learn
-    return train(training_sample(docs, id_col, text_col, label_col, ok))
+    sample = training_sample(docs, id_col, text_col, label_col, ok)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for x in batches:
+            rows += zip(x["i"].to_pylist(), x["lang"].to_pylist(), x["b"], x["c"])
+        rows.sort(key=lambda r: (str(r[0]), r[1]))
+        # The rows are bounded by the sample size; repeated ids are cut to it here.
+        model = train([(lang, b.values.to_numpy(), c.values.to_numpy()) for _, lang, b, c in rows[: 2 * SAMPLE_ROWS]])
+        if model is not None:
+            yield pa.RecordBatch.from_pydict(
+                {"langs": [model.langs], "table": [model.table.tobytes()], "bias": [model.bias.tolist()], "temperature": [model.temperature], "threshold": [model.threshold]}
+            )
+
+    made = sample.repartition(1).mapInArrow(run, "langs array<string>, table binary, bias array<double>, temperature double, threshold double").collect()
+    if not made:
+        return None
+    m = made[0]
+    return Model(list(m.langs), np.frombuffer(bytes(m.table), np.float32).reshape(len(m.langs), BUCKETS), np.array(m.bias), m.temperature, m.threshold)
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
