@@ -36,7 +36,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import importable, shared_dir, written
+from ..session import scratch_folder
+from .common import importable, written
 
 MIN_BYTES = 100
 #: A task begins another file beyond this size.
@@ -102,10 +103,10 @@ def write(
     file_bytes: int = FILE_BYTES,
     date: str = "2024-01-01T00:00:00Z",
 ) -> DataFrame:
-    """Write ``pages`` as archives into ``folder`` (default: a new one in the shared folder); the manifest (file, bytes, records)."""
+    """Write ``pages`` as archives into ``folder`` (default: one in the shared folder that goes with the program); the manifest (file, bytes, records)."""
     spark = pages.sparkSession
     importable(spark)
-    folder = (folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}").rstrip("/")
+    folder = (folder or scratch_folder(spark, "warc")).rstrip("/")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = opened(folder)
@@ -268,8 +269,8 @@ def read(manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     importable(manifest.sparkSession)
     starts = F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(range_bytes).cast("long"))
     ranges = manifest.where("bytes > 0").select("file", F.explode(starts).alias("start"))
-    # Every range is a key of its own, so no file or task gathers them.
-    ranges = ranges.repartition(F.col("file"), F.col("start"))
+    # A task a range: the rows are tiny, so their bytes say nothing of the work, and the number is stated.
+    ranges = ranges.repartition(max(1, ranges.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
