@@ -199,10 +199,13 @@ def candidates(spark: SparkSession, members: DataFrame, near: DataFrame, percent
         like = agree.where(F.col("agree") >= LIKE).select("a", "b", "na", "nb")
         stars = like if stars is None else stars.unionByName(like)
         # A link of an unlike member ends at a member that is this unlike the centre too.
-        unlike = agree.where(F.col("agree") < LIKE + 2 * ERROR + 1 - percent / 100).select(F.col("a").alias("centre"), F.col("b").alias("id"))
-        rest = written(spark, counted(stars_of.join(unlike, ["centre", "id"]).select("key", "id", "path")), "unlike")
+        unlike = agree.where(F.col("agree") < LIKE + 2 * ERROR + 1 - percent / 100).select(F.col("a").alias("centre"), F.col("b").alias("id"), F.col("nb").alias("n"))
+        rest = written(spark, counted(stars_of.join(unlike, ["centre", "id"]).select("key", "id", "path", "n")), "unlike")
         now = rest if split == SPLITS else rest.where(F.col("n_key") <= PAIRED)
-        two = now.select("key", F.col("id").alias("a")).join(now.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b").distinct()
+        # Sizes that allow no link part before they meet, so fewer pairs are made.
+        sides = (now.select("key", F.col("id").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
+        fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+        two = next(sides).join(next(sides), "key").where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
         found = written(spark, agreement(two, near, percent / 100 - 2 * ERROR, percent), "pairs").drop("agree")
         pairs = found if pairs is None else pairs.unionByName(found)
         if split == SPLITS:
@@ -232,7 +235,9 @@ def apart(stars: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     x = stars.join(root_a, "a", "left").join(root_b, "b", "left").withColumn("root", F.coalesce("rb", "b")).withColumn("out", F.coalesce("ra", "a") != F.col("root"))
     x = x.where(F.col("shared") >= union_size() * LIKE)
     mixed = x.groupBy("a").agg(F.max("out").alias("o"), F.count("*").alias("k")).where("o and k > 1").select("a")
-    each = x.join(mixed, "a").select("a", "b", "root", "out", F.col("nb").alias("n"), F.size("d").alias("size"), F.explode("d").alias("e"))
+    # Read three times below, so it is joined once and written.
+    within = written(stars.sparkSession, x.join(mixed, "a").select("a", "b", "root", "out", "nb", "d"), "mixed")
+    each = within.select("a", "b", "root", "out", F.col("nb").alias("n"), F.size("d").alias("size"), F.explode("d").alias("e"))
     common = each.groupBy("a", "e").agg(F.count("*").alias("f"), F.max("out").alias("met")).where("f > 1 and met").select("a", "e", "f")
     rank = F.row_number().over(Window.partitionBy("a", "b").orderBy(F.coalesce("f", F.lit(1)), "e"))
     ranked = each.join(common, ["a", "e"], "left").withColumn("r", rank).where("f is not null")
