@@ -84,11 +84,12 @@ def main(argv) -> int:
     print("  follow map-side partial aggregation, so a hot key sends one row per map task.")
     print("* `demand_profile` aggregates per product (the roll-up's own partitioning), then")
     print("  merges one row per map task; no Expand.")
-    print("* `calendar_spine` reads the items only; `densified_demand` joins its weeks with")
-    print("  the roll-up once; the scenario queries take the calendar as a parameter.")
+    print("* `calendar_spine` reads the items only; `densified_demand` expands the roll-up's")
+    print("  own rows by product; the scenario queries take the calendar as a parameter.")
     print("* The model queries (`gbt_*`, `*_gbt`, `forecast_coverage`) write one table of")
-    print("  featured history rows, split by category; each category reads its own folder")
-    print("  to fit and to score, and nothing is joined back.")
+    print("  featured history rows; all categories are fitted together from it, one aggregate")
+    print("  a tree level, and scored in one scan. `refreshed_stats` and `stored_weeks` show the")
+    print("  read of the stored state; their loads are jobs of their own.")
     spark.stop()
     return 0
 
