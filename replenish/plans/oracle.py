@@ -397,7 +397,7 @@ def oracle_sql(cfg: PlanConfig = DEFAULT) -> dict[str, str]:
   ROUND(z * demand_std * sqrt(lead_time_avg), 6) + 0.0 AS safety_stock,
   ROUND(demand_avg * lead_time_avg + z * demand_std * sqrt(lead_time_avg), 6) + 0.0 AS reorder_point
 FROM (SELECT s.*, l.service_level, {_quantile_sql('l.service_level')} AS z
-  FROM stats s JOIN (SELECT product_id, unnest([0.5, 0.75, 0.9, 0.95, 0.99, 0.999, 0.9999, 0.02, 0.0001, 0.0, 1.0, NULL]::DOUBLE[]) AS service_level
+  FROM stats s JOIN (SELECT product_id, unnest([0.55, 0.75, 0.9, 0.95, 0.99, 0.999, 0.9999, 0.02, 0.0001, 0.0, 1.0, NULL]::DOUBLE[]) AS service_level
     FROM items) l ON l.product_id = s.product_id)""",
         "refreshed_stats": w("stats")
         + "SELECT product_id, "
