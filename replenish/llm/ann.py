@@ -9,7 +9,9 @@
 3. A query looks at the entries within ``window`` ranks of it on every curve.
    Orders are cut into blocks of BLOCK ranks; a query goes to the blocks that
    its windows touch, each block returns its nearest entries by exact
-   distance, and the curves' answers are merged and ranked.
+   distance, and the curves' answers are merged and ranked. A block that many
+   queries touch is repeated, once for each QUERIES of them, and a task compares
+   slices of its queries, so neither a group nor its distances grow with the rows.
 4. The window is fitted, not guessed: for a bounded sample of queries the true
    neighbours are found by comparing them with all entries, and the window is
    the least that holds RECALL of them on at least one curve. Means and
@@ -36,6 +38,8 @@ from .common import importable, map_batches, written
 
 CURVES, AXES, KEY_BITS = 16, 8, 56
 BLOCK = 4096
+#: Queries that meet a copy of a block, and distances that a task holds at once (32 MB).
+QUERIES, DISTANCES = 4096, 1 << 22
 RECALL = 0.95
 #: Entries that the projections' scales, and queries that the window, are fitted on.
 FIT_ROWS, FIT_QUERIES = 4_000, 200
@@ -202,19 +206,29 @@ def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
         return F.floor(place / BLOCK).cast("long") * CURVES + F.col("curve")
 
     touched = F.sequence(block(F.greatest(F.col("place") - window, F.lit(0))), block(F.col("place") + window), F.lit(CURVES).cast("long"))
-    sent = placed.join(mine, "entry", "left_semi").select(F.col("entry").alias("query"), F.col("vec").alias("q_vec"), F.explode(touched).alias("q_block")).distinct()
-    blocks = placed.select(block(F.col("place")).alias("block"), "entry", "ids", "vec")
+    sent = placed.join(mine, "entry", "left_semi").select(F.col("entry").alias("query"), F.col("vec").alias("q_vec"), F.explode(touched).alias("block"))
+    copies = sent.groupBy("block").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("copies"))
+    copies = written(spark, copies, "copies")
+    sent = sent.join(copies, "block").withColumn("copy", F.pmod(F.xxhash64("query"), "copies").cast("int"))
+    blocks = placed.select(block(F.col("place")).alias("block"), "entry", "ids", "vec").join(copies, "block")
+    blocks = blocks.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     importable(spark)
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
             return pa.table({"query": pa.array([], pa.int64()), "entry": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int64())), "score": pa.array([], pa.float64())})
-        at, d = nearest(matrix(left["q_vec"]), matrix(right["vec"]), k + 1)
-        take = pa.array(at.reshape(-1))
-        q = np.repeat(left["query"].to_numpy(), at.shape[1])
-        return pa.table({"query": pa.array(q), "entry": right["entry"].take(take), "ids": right["ids"].take(take), "score": pa.array(d.reshape(-1))})
-
-    found = sent.groupBy("q_block").cogroup(blocks.groupBy("block")).applyInArrow(answer, "query long, entry long, ids array<long>, score double")
+        asks, rows, names = matrix(left["q_vec"]), matrix(right["vec"]), left["query"].to_numpy()
+        step = max(1, DISTANCES // len(rows))
+        parts = []
+        for lo in range(0, len(asks), step):
+            at, d = nearest(asks[lo : lo + step], rows, k + 1)
+            take = pa.array(at.reshape(-1))
+            q = np.repeat(names[lo : lo + step], at.shape[1])
+            parts.append(pa.table({"query": pa.array(q), "entry": right["entry"].take(take), "ids": right["ids"].take(take), "score": pa.array(d.reshape(-1))}))
+        return pa.concat_tables(parts)
+
+    met = sent.select("block", "copy", "query", "q_vec").groupBy("block", "copy").cogroup(blocks.select("block", "copy", "entry", "ids", "vec").groupBy("block", "copy"))
+    found = met.applyInArrow(answer, "query long, entry long, ids array<long>, score double")
     merged = found.groupBy("query", "entry").agg(F.first("ids").alias("ids"), F.min("score").alias("score"))
     best = F.row_number().over(Window.partitionBy("query").orderBy("score", "entry"))
     near = merged.withColumn("r", best).where(F.col("r") <= 2 * (k + 1))

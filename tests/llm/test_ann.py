@@ -26,9 +26,8 @@ def brute(ids, x, k):
     return out
 
 
-@pytest.mark.parametrize("size", ["sf0001", "sf01"])
-def test_recall_against_brute_force(spark, size, sf0001):
-    folder = sf0001 if size == "sf0001" else "/root/testdata/sf0.1"
+def hits(spark, folder):
+    """Checks a whole search's form; (true neighbours found, true neighbours)."""
     df = spark.read.parquet(f"{folder}/embeddings.parquet")
     pdf = df.toPandas()
     want = brute(pdf.vec_id.tolist(), np.array([np.asarray(v, np.float64) for v in pdf.embedding]), 10)
@@ -44,7 +43,28 @@ def test_recall_against_brute_force(spark, size, sf0001):
         true = dict((j, d) for d, j in want[q])
         hit += sum(j in true for _, _, j in rows)
         assert all(abs(s - true[j]) < 1e-12 for _, s, j in rows if j in true)
-    assert hit >= 0.9 * 10 * len(want)
+    return hit, 10 * len(want)
+
+
+def test_one_block_finds_all(spark, sf0001):
+    found, there = hits(spark, sf0001)
+    assert found == there
+
+
+def test_recall_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 16)  # many blocks, of which a query sees some
+    found, there = hits(spark, "/root/testdata/sf0.1")
+    assert 0.9 * there <= found
+
+
+def test_repeated_blocks_and_slices_change_nothing(spark, monkeypatch):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    monkeypatch.setattr(ann, "BLOCK", 64)
+    search = lambda: sorted(map(tuple, ann.search(df, F.col("id") % 20 == 0).collect()))
+    whole = search()
+    monkeypatch.setattr(ann, "QUERIES", 7)
+    monkeypatch.setattr(ann, "DISTANCES", 100)
+    assert search() == whole and len(whole) == 10 * len({r[0] for r in whole})
 
 
 def test_equal_vectors_and_edges(spark):
