@@ -21,11 +21,15 @@ Two texts are linked if 100 * |A and B| >= percent * |A or B|.
    threshold share many), again with a centre each.
 6. Components of the confirmed links, in DataFrame rounds.
 
-Nothing is capped. With 42 bands of 6 rows, a pair at similarity 0.85 (0.8)
-shares no bucket with probability below 1e-8 (3e-6). Signatures are off by
-less than 0.09 (four standard deviations) where steps 4 and 5 part.
-
-Defined results: a null, empty or white text has no shingle and is linked
+No row is dropped, but the bound depends on the bucket. With 42 bands of 6 rows, a pair
+at similarity 0.85 (0.8) shares no bucket with probability below 1e-8 (3e-6). Two
+texts unlike the centres of buckets with more than PAIRED such members must share two, three or
+four bands as the bucket is split once, twice or three times: at 0.8 they miss each other
+with probability 4.5e-5, 3.6e-4 or 1.8e-3. A bucket still large after SPLITS splits
+is paired whole. Signatures are off by less than 0.09 (four standard deviations) where
+steps 4 and 5 part.
+
+Defined results: ids are whole numbers; a null, empty or white text has no shingle and is linked
 with nothing; a row without id keeps its place, with no component, and counts as kept;
 rows that repeat an id are the same document; other columns are ignored; an empty table
 gives an empty table.
