@@ -16,18 +16,15 @@ Two texts are linked if 100 * |A and B| >= percent * |A or B|.
    has and t = (1-s)/(1+s), J(x,c) < s <= J(x,y) gives |D(x) and D(y)| >
    (1-t)/2 * |D(y)| > 0. So members still apart meet only where they share one
    of their rarest differences, as few of them as the needed overlap allows.
-5. Members unlike their centre meet as pairs in small buckets; a larger bucket of
-   them is first split by its members' other bands (two texts at the
-   threshold share many), again with a centre each.
+5. Members unlike their centre meet as pairs in buckets with at most PAIRED of them. The
+   members of larger ones form one pool, searched exactly: with the shingles of a
+   text ordered from those in one component only, over the rare to the frequent, two linked texts
+   share one among the first n - ceil(s * n) + 1 of either, so those still apart meet there.
 6. Components of the confirmed links, in DataFrame rounds.
 
-No row is dropped, but the bound depends on the bucket. With 42 bands of 6 rows, a pair
-at similarity 0.85 (0.8) shares no bucket with probability below 1e-8 (3e-6). Two
-texts unlike the centres of buckets with more than PAIRED such members must share two, three or
-four bands as the bucket is split once, twice or three times: at 0.8 they miss each other
-with probability 4.5e-5, 3.6e-4 or 1.8e-3. A bucket still large after SPLITS splits
-is paired whole. Signatures are off by less than 0.09 (four standard deviations) where
-steps 4 and 5 part.
+No row is dropped. With 42 bands of 6 rows, a pair at similarity 0.85 (0.8) shares no bucket
+with probability below 1e-8 (3e-6), and a pair that shares one meets, whatever the bucket's
+size. Signatures are off by less than 0.09 (four standard deviations) where steps 4 and 5 part.
 
 Defined results: ids are whole numbers; a null, empty or white text has no shingle and is linked
 with nothing; a row without id keeps its place, with no component, and counts as kept;
@@ -52,8 +49,8 @@ ATTEMPTS = 2048
 ERROR = 0.09
 #: Members whose signature agrees less with their centre's are unlike it.
 LIKE = 0.4
-#: Unlike members of a bucket that meet as pairs; larger buckets are split first, at most SPLITS times.
-PAIRED, SPLITS = 64, 3
+#: Unlike members of a bucket that meet as pairs; those of larger buckets meet by their rarest shingles.
+PAIRED = 64
 U = np.uint64
 _borrow = (mix(np.arange(BINS * ATTEMPTS, dtype=np.uint64) + U(0x5EED)) >> U(56)).astype(np.int64).reshape(BINS, ATTEMPTS)
 
@@ -181,11 +178,11 @@ def linked_by(percent: int) -> Column:
 
 
 def centred(members: DataFrame) -> DataFrame:
-    """(key, id, path, centre) of the members of each bucket; ``members``: (key, id, path, n_key)."""
+    """(key, id, centre) of the members of each bucket; ``members``: (key, id, n_key)."""
     weight = members.groupBy("id").agg(F.sum("n_key").alias("w"))
     weighted = members.join(weight, "id")
     centre = weighted.groupBy("key").agg(F.max(F.struct("w", (-F.col("id")).alias("m"))).alias("c")).select("key", (-F.col("c.m")).alias("centre"))
-    return members.select("key", "id", "path").join(centre, "key").where("id <> centre")
+    return members.select("key", "id").join(centre, "key").where("id <> centre")
 
 
 def counted(places: DataFrame) -> DataFrame:
@@ -193,35 +190,48 @@ def counted(places: DataFrame) -> DataFrame:
     return places.join(places.groupBy("key").agg(F.count("*").alias("n_key")).where("n_key > 1"), "key")
 
 
-def candidates(spark: SparkSession, members: DataFrame, near: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(star edges between like texts, pairs of texts unlike their centres), each (a, b, na, nb)."""
-    stars = pairs = None
-    for split in range(SPLITS + 1):
-        stars_of = written(spark, centred(members), "centred")
-        edges = stars_of.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-        agree = written(spark, agreement(edges, near, 0.0), "agree")
-        like = agree.where(F.col("agree") >= LIKE).select("a", "b", "na", "nb")
-        stars = like if stars is None else stars.unionByName(like)
-        # A link of an unlike member ends at a member that is this unlike the centre too.
-        unlike = agree.where(F.col("agree") < LIKE + 2 * ERROR + 1 - percent / 100).select(F.col("a").alias("centre"), F.col("b").alias("id"), F.col("nb").alias("n"))
-        rest = written(spark, counted(stars_of.join(unlike, ["centre", "id"]).select("key", "id", "path", "n")), "unlike")
-        now = rest if split == SPLITS else rest.where(F.col("n_key") <= PAIRED)
-        # Sizes that allow no link part before they meet, so fewer pairs are made.
-        sides = (now.select("key", F.col("id").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
-        fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-        two = next(sides).join(next(sides), "key").where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
-        found = written(spark, agreement(two, near, percent / 100 - 2 * ERROR, percent), "pairs").drop("agree")
-        pairs = found if pairs is None else pairs.unionByName(found)
-        if split == SPLITS:
-            break
-        large = rest.where(F.col("n_key") > PAIRED).select("id", "path")
-        if large.isEmpty():
-            break
-        other = F.array_except("bands", "path")  # the bands that do not name the bucket already
-        finer = large.join(near.select("id", "bands"), "id").select("id", "path", F.explode(other).alias("band"))
-        finer = finer.select("id", F.array_sort(F.array_append("path", F.col("band"))).alias("path")).distinct()
-        members = written(spark, counted(finer.withColumn("key", F.xxhash64("path"))), "members")
-    return stars.distinct(), pairs.distinct()
+def candidates(spark: SparkSession, members: DataFrame, near: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(star edges between like texts, pairs of texts unlike their centres), each (a, b, na, nb); (id) of the pool."""
+    stars_of = written(spark, centred(members), "centred")
+    edges = stars_of.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+    agree = written(spark, agreement(edges, near, 0.0), "agree")
+    stars = agree.where(F.col("agree") >= LIKE).select("a", "b", "na", "nb")
+    # A link of an unlike member ends at a member that is this unlike the centre too.
+    unlike = agree.where(F.col("agree") < LIKE + 2 * ERROR + 1 - percent / 100).select(F.col("a").alias("centre"), F.col("b").alias("id"), F.col("nb").alias("n"))
+    rest = written(spark, counted(stars_of.join(unlike, ["centre", "id"]).select("key", "id", "n")), "unlike")
+    now = rest.where(F.col("n_key") <= PAIRED)
+    # Sizes that allow no link part before they meet, so fewer pairs are made.
+    sides = (now.select("key", F.col("id").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
+    fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    two = next(sides).join(next(sides), "key").where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
+    pairs = written(spark, agreement(two, near, percent / 100 - 2 * ERROR, percent), "pairs").drop("agree")
+    return stars, pairs, rest.where(F.col("n_key") > PAIRED).select("id").distinct()
+
+
+def scattered(pool: DataFrame, sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """(a, b): texts of ``pool`` in different components that may be linked.
+
+    Linked texts of n and m shingles share at least percent * (n + m) / (100 + percent),
+    so at least percent * n / 100: in any common order of the shingles, they share one
+    among the first n - percent * n / 100 + 1. The order here begins with the shingles of a single
+    component, which no pair needs, and goes on from the rare to the frequent.
+    """
+    spark = pool.sparkSession
+    texts = pool.join(sets, "id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"), "set")
+    texts = written(spark, texts, "pool")
+    each = texts.select("id", "root", F.size("set").cast("long").alias("n"), F.explode("set").alias("e"))
+    across = each.groupBy("e").agg(F.count("*").alias("f"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("e", "f")
+    own = Window.partitionBy("id")
+    place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("f", "e"))
+    first = each.join(across, "e").withColumn("r", place).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + 1)
+    first = written(spark, first.select("e", "id", "root", "n", "r"), "first")
+    side = lambda k: first.select("e", *(F.col(c).alias(c + k) for c in ("id", "root", "n", "r")))
+    need = F.ceil((F.col("n_x") + F.col("n_y")) * percent / (100 + percent) - 1e-9)
+    fits = F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent
+    # What two texts may share from their first common shingle on.
+    left = 1 + F.least(F.col("n_x") - F.col("r_x"), F.col("n_y") - F.col("r_y"))
+    met = side("_x").join(side("_y"), "e").where((F.col("id_x") < F.col("id_y")) & (F.col("root_x") != F.col("root_y")) & fits & (left >= need))
+    return met.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct()
 
 
 def apart(stars: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
@@ -265,19 +275,21 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     # Equal sets have equal bands and signatures: one row stands for them all.
     classes = linked.groupBy("n", "h1", "h2").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     classes = written(spark, classes, "classes")
-    reps = classes.select("id", "n", "bands", "sig")
-    members = written(spark, counted(reps.select("id", F.explode("bands").alias("key")).withColumn("path", F.array("key"))), "members")
-    near = written(spark, reps.join(members.select("id").distinct(), "id", "left_semi"), "near")
-    stars, pairs = candidates(spark, members, near, percent)
+    members = written(spark, counted(classes.select("id", F.explode("bands").alias("key"))), "members")
+    near = written(spark, classes.select("id", "n", "sig").join(members.select("id").distinct(), "id", "left_semi"), "near")
+    stars, pairs, pool = candidates(spark, members, near, percent)
 
-    ids = stars.select(F.col("a").alias("id")).union(stars.select("b")).union(pairs.select("a")).union(pairs.select("b")).distinct()
+    ids = stars.select(F.col("a").alias("id")).union(stars.select("b")).union(pairs.select("a")).union(pairs.select("b")).union(pool).distinct()
     sets = written(spark, full_sets(docs, id_col, text_col, width, written(spark, ids, "ids")), "sets")
     differences = F.array_union(F.array_except("x", "y"), F.array_except("y", "x"))
     stars = written(spark, on_sets(stars, sets).select("a", "b", "na", "nb", "shared", differences.alias("d")), "stars")
     links = stars.where(linked_by(percent)).select("a", "b").unionByName(on_sets(pairs, sets).where(linked_by(percent)).select("a", "b"))
     links = written(spark, links, "links")
     roots = components(spark, links)
-    met = written(spark, apart(stars, roots, percent), "apart")
+    met = apart(stars, roots, percent)
+    if not pool.isEmpty():
+        met = met.unionByName(scattered(pool, sets, roots, percent)).distinct()
+    met = written(spark, met, "apart")
     if not met.isEmpty():
         met = agreement(met, near, percent / 100 - 2 * ERROR, percent)
         more = written(spark, on_sets(met, sets).where(linked_by(percent)).select("a", "b"), "links")

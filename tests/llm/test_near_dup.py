@@ -70,8 +70,38 @@ def test_chains_and_large_groups(spark, monkeypatch):
                         base[rng.randrange(size)] = rng.choice(vocabulary)
     rows += [(5000 + i, t) for i, t in enumerate(["", "  \n", None, "a", "A", "a b", "b a", "a b c", "a  b\tC"])]
     check(spark, rows, 3, 85)
-    monkeypatch.setattr(near_dup, "PAIRED", 2)  # splits every larger bucket of unlike texts
+    monkeypatch.setattr(near_dup, "PAIRED", 1)  # all unlike texts meet by their rarest shingles
     check(spark, rows, 3, 85)
+    check(spark, rows, 5, 80)
+
+
+def test_templated_bucket_of_unlike_texts(spark):
+    """1,300 texts with a clause in common meet in the same buckets, little like their centres; a few are linked."""
+    rng = random.Random(11)
+    clause = [f"c{i}" for i in range(60)]
+    rows = []
+    for i in range(1100):
+        w = clause + [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(14, 34))]
+        rows.append((i, " ".join(w)))
+        if i % 11 == 0:
+            for k in (2000, 4000):  # copies with a few changed words, some beyond the threshold
+                for _ in range(rng.randrange(1, 4)):
+                    w[rng.randrange(60, len(w))] = f"x{rng.randrange(10**6)}"
+                rows.append((k + i, " ".join(w)))
+    pool = []
+    real = near_dup.candidates
+
+    def watched(*args):
+        out = real(*args)
+        pool.append(out[2].count())
+        return out
+
+    near_dup.candidates = watched
+    try:
+        check(spark, rows, 3, 85)
+    finally:
+        near_dup.candidates = real
+    assert pool[0] > 1000  # the exact search was needed
 
 
 def test_hot_group_of_near_copies(spark):
