@@ -12,19 +12,34 @@ nor vanishes from it.
 
 from __future__ import annotations
 
+import datetime as _dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, PlanConfig
 
 
+#: Rows of the spine that one task makes, about.
+TASK_ROWS = 1_000_000
+
+
 def _day(value: str) -> Column:
     return F.lit(value).cast("date")
 
 
 def calendar_spine(items: DataFrame, cfg: PlanConfig = DEFAULT) -> DataFrame:
-    """(product_id, category, date): every item in every week of the calendar."""
+    """(product_id, category, date): every item in every week of the calendar.
+
+    An item is a few bytes in its file and hundreds of rows here, so the items
+    are counted and dealt out by the rows they become, not by their bytes.
+    """
     weeks = F.sequence(_day(cfg.calendar_start), _day(cfg.calendar_end), F.expr("INTERVAL 7 DAYS"))
+    items = items.select("product_id", "category")
+    days = (_dt.date.fromisoformat(cfg.calendar_end) - _dt.date.fromisoformat(cfg.calendar_start)).days
+    tasks = -(-items.count() * (days // 7 + 1) // TASK_ROWS)
+    if tasks > 1:
+        items = items.repartition(tasks)
     rows = items.select("product_id", "category", F.explode(weeks).alias("day"))
     return rows.select("product_id", "category", F.col("day").cast("timestamp_ntz").alias("date"))
 

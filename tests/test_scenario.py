@@ -55,6 +55,17 @@ def test_calendar_holds_every_item_and_week(spark):
     assert {r.product_id: r["count"] for r in late.groupBy("product_id").count().collect()} == {1: 62, 2: 1}
 
 
+def test_calendar_is_dealt_by_the_rows_it_makes(spark, monkeypatch):
+    from replenish.operators import calendar
+
+    monkeypatch.setattr(calendar, "TASK_ROWS", 200)
+    items = spark.createDataFrame([(i % 40 or None, "H") for i in range(80)], "product_id long, category string").coalesce(1)
+    spine = calendar_spine(items, DEFAULT.with_(calendar_start="2000-01-03", calendar_end="2001-03-05"))
+    per = [r["count"] for r in spine.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(per) == 80 * 62 and len(per) >= 20 and max(per) <= 6 * 62
+    assert spine.where("product_id is null").count() == 2 * 62 == spine.where("product_id = 7").count()
+
+
 def test_demand_outside_the_calendar_is_an_error(spark):
     items = spark.createDataFrame([(1, "H", 1.0, 2.0)], "product_id long, category string, unit_cost double, stockout_cost_multiplier double")
     for start, end in (("2000-01-10", "2001-03-05"), ("2000-01-03", "2001-02-26"), ("2000-01-04", "2001-03-06")):
