@@ -6,7 +6,9 @@ feature bin), whatever the number of categories. A task turns its rows into
 partial histograms (counts and sums of gradients by node, feature and bin);
 those are dealt by (category, node), added up, and the cumulated sums over the
 bins of each feature give the split of greatest gain. Only the chosen splits, one
-row a node, come back to the driver: that is the model.
+row a node, come back to the driver: that is the model. After each tree the rows
+are written anew with their forecast so far, so that a level costs the same
+in the last tree as in the first.
 
 The result does not depend on how rows are laid out over files, partitions or
 batches. Bins are cut at exact quantiles of the values of a category, gradients
@@ -28,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import importable, materialize
+from ..session import discard, importable, stored
 
 #: Values are rounded down to this many binary digits for the bin bounds, so that a
 #: feature has at most 2**(DIGITS - 1) different ones between two powers of two.
 DIGITS = 13
 #: Nodes whose partial histogram a task holds before it hands them on.
 HELD_NODES = 4_096
+#: Rows that are summed at once; with gradients below 2**36 a sum of them is exact in a double.
+CHUNK_ROWS = 1 << 17
 #: Bytes of trees that may be broadcast to the scoring tasks; beyond, the join shuffles.
 BROADCAST_BYTES = 32 << 20
 
@@ -62,19 +66,27 @@ def empty_forest(categories: list[str], features: Iterable[str], trees: int, dep
 def descend(feature: np.ndarray, bound: np.ndarray, group: np.ndarray, x: np.ndarray, depth: int) -> np.ndarray:
     """The node that each row of ``x`` reaches in the tree of its group (feature, bound: group x node)."""
     node = np.ones(len(x), np.int64)
-    at = np.arange(len(x))
+    first, row = group * feature.shape[1], np.arange(len(x)) * x.shape[1]
+    x, feature, bound = (np.ascontiguousarray(a).ravel() for a in (x, feature, bound))
     for _ in range(depth):
-        f = feature[group, node]
-        right = ~(x[at, np.maximum(f, 0)] <= bound[group, node])
+        at = first + node
+        f = feature.take(at)
+        right = ~(x.take(row + np.maximum(f, 0)) <= bound.take(at))
         node = np.where(f < 0, node, 2 * node + right)
     return node
 
 
-def exact_sums(at: np.ndarray, g: np.ndarray, size: int) -> np.ndarray:
-    """(2, size): the sum of the integers ``g`` and the number of rows at each place, exact."""
-    low = np.bincount(at, weights=(g & 0x3FFFFFF).astype(np.float64), minlength=size)
-    high = np.bincount(at, weights=(g >> 26).astype(np.float64), minlength=size)
-    return np.stack([(high.astype(np.int64) << 26) + low.astype(np.int64), np.bincount(at, minlength=size)])
+def exact_sums(at: np.ndarray, parts: list[tuple[int, np.ndarray]], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of the integers that ``parts`` holds (see ``in_doubles``) and the number of rows at each place, exact."""
+    total = sum(np.bincount(at, weights=part, minlength=size).astype(np.int64) << shift for shift, part in parts)
+    return total, np.bincount(at, minlength=size)
+
+
+def in_doubles(g: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """The integers ``g`` as (shift, doubles) whose sums over all rows stay exact: one part, or two of fewer digits."""
+    if not len(g) or int(np.abs(g).max()) * len(g) < 1 << 53:
+        return [(0, g.astype(np.float64))]
+    return [(26, (g >> 26).astype(np.float64)), (0, (g & 0x3FFFFFF).astype(np.float64))]
 
 
 # Bins
@@ -166,54 +178,92 @@ def scales(rows_of: np.ndarray, largest: np.ndarray) -> np.ndarray:
     return np.array([min(20, r) for r in room], np.int64)
 
 
-def gradients(y: np.ndarray, group: np.ndarray, bins: np.ndarray, grown: Forest, tree: int, shift: np.ndarray) -> np.ndarray:
-    """The integer gradients that tree number ``tree`` is fitted on, given the trees before it."""
-    if not tree:
-        return np.rint(np.ldexp(y, shift[group])).astype(np.int64)
-    sofar = np.zeros(len(y))
-    for t in range(tree):
-        node = descend(grown.feature[:, t], grown.bound[:, t], group, bins, grown.depth)
-        sofar += grown.weight[group, t] * grown.value[group, t, node]
-    return np.rint(np.ldexp(2.0 * (y - sofar), shift[group])).astype(np.int64)
+def gradients(y: np.ndarray, sofar: np.ndarray | None, group: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """The integer gradients that the next tree is fitted on; ``sofar`` is the forecast of the trees before it."""
+    return np.rint(np.ldexp(y if sofar is None else 2.0 * (y - sofar), shift[group])).astype(np.int64)
+
+
+def blocks(batches: Iterator[pa.RecordBatch], width: int, rows: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]]:
+    """Category number, bins, label and forecast so far (None before the first tree) of blocks, joined to at least ``rows`` rows but for the last."""
 
+    def joined() -> tuple:
+        return tuple(None if part[0] is None else np.concatenate(part) for part in zip(*held))
 
-def blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Category number, bins and label of the rows of each block."""
+    held, n = [], 0
     for batch in batches:
-        for g, x, y in zip(*(batch.column(i) for i in range(3))):
-            group = np.frombuffer(g.as_buffer(), np.int32).astype(np.int64)
-            yield group, np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, width), np.frombuffer(y.as_buffer(), np.float64)
+        for i in range(batch.num_rows):
+            g, x, y, *more = (batch.column(c)[i].as_buffer() for c in range(batch.num_columns))
+            group = np.frombuffer(g, np.int32).astype(np.int64)
+            held.append((group, np.frombuffer(x, np.uint8).reshape(-1, width), np.frombuffer(y, np.float64), np.frombuffer(more[0], np.float64) if more else None))
+            n += len(group)
+            if n >= rows:
+                yield joined()
+                held, n = [], 0
+    if held:
+        yield joined()
+
+
+def advanced(table: DataFrame, cuts: Forest, tree: int) -> DataFrame:
+    """The blocks with what tree number ``tree`` adds to their forecast so far."""
+    width, depth = len(cuts.features), cuts.depth
+    feature, bound, value, weight = cuts.feature[:, tree], cuts.bound[:, tree], cuts.value[:, tree], cuts.weight[:, tree]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, bins, y, sofar in blocks(batches, width):
+            added = weight[group] * value[group, descend(feature, bound, group, bins, depth)]
+            now = added if sofar is None else sofar + added
+            yield pa.RecordBatch.from_pydict({"groups": [group.astype(np.int32).tobytes()], "bins": [bins.tobytes()], "y": [y.tobytes()], "sofar": [now.tobytes()]})
+
+    return table.mapInArrow(run, "groups binary, bins binary, y binary, sofar binary")
 
 
-def histograms(table: DataFrame, grown: Forest, tree: int, level: int, n_bins: int, shift: np.ndarray) -> DataFrame:
-    """(slot, cell, g, n): partial sums by node (slot: category and node) and by feature and bin (cell)."""
-    width = len(grown.features)
-    nodes, cells = 2 << grown.depth, len(grown.features) * n_bins
+def histograms(table: DataFrame, cuts: Forest, tree: int, level: int, n_bins: int, shift: np.ndarray) -> DataFrame:
+    """(slot, sums): a row a node (slot: category and node) with its partial sums and counts by feature and bin, as 64-bit integers."""
+    width, groups = len(cuts.features), len(cuts.categories)
+    nodes, cells = 2 << cuts.depth, len(cuts.features) * n_bins
+    feature, bound = cuts.feature[:, tree], cuts.bound[:, tree]
+    dense = groups << level <= HELD_NODES  # every node of the level has its place
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
 
         def handed() -> pa.RecordBatch:
-            slots = np.fromiter(held, np.int64, len(held))
-            sums = np.stack(list(held.values()), axis=1)
+            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([h.tobytes() for h in held.values()], pa.binary())], names=["slot", "sums"])
             held.clear()
-            where, cell = np.nonzero(sums[1])
-            return pa.RecordBatch.from_arrays([pa.array(slots[where]), pa.array(cell.astype(np.int32)), pa.array(sums[0][where, cell]), pa.array(sums[1][where, cell])], names=["slot", "cell", "g", "n"])
-
-        for group, bins, y in blocks(batches, width):
-            node = descend(grown.feature[:, tree], grown.bound[:, tree], group, bins, level)
-            there = node >= 1 << level  # the others stopped at a leaf above
-            g = gradients(y[there], group[there], bins[there], grown, tree, shift)
-            slots, slot = np.unique(group[there] * nodes + node[there], return_inverse=True)
-            sums = np.concatenate([exact_sums(slot * n_bins + bins[there, f], g, len(slots) * n_bins).reshape(2, len(slots), n_bins) for f in range(width)], axis=2)
-            for i, s in enumerate(slots.tolist()):
-                held[s] = held[s] + sums[:, i] if s in held else sums[:, i]
-            if len(held) >= HELD_NODES:
-                yield handed()
+            return out
+
+        whole = np.zeros((2, width, groups << level, n_bins), np.int64) if dense else None
+        for group, bins, y, sofar in blocks(batches, width, CHUNK_ROWS):
+            node = descend(feature, bound, group, bins, level)
+            if not (there := node >= 1 << level).all():  # the others stopped at a leaf above
+                group, bins, y, node = group[there], bins[there], y[there], node[there]
+                sofar = None if sofar is None else sofar[there]
+            parts = in_doubles(gradients(y, sofar, group, shift))
+            if dense:
+                slots, slot = None, (group << level) + node - (1 << level)
+            else:
+                slots, slot = np.unique(group * nodes + node, return_inverse=True)
+            size = groups << level if dense else len(slots)
+            sums = whole if dense else np.zeros((2, width, size, n_bins), np.int64)
+            first = slot * n_bins
+            for f in range(width):
+                total, n = exact_sums(first + bins[:, f], parts, size * n_bins)
+                sums[0, f] += total.reshape(size, n_bins)
+                sums[1, f] += n.reshape(size, n_bins)
+            if not dense:
+                for i, s in enumerate(slots.tolist()):
+                    own = sums[:, :, i]
+                    held[s] = held[s] + own if s in held else own.copy()
+                if len(held) >= HELD_NODES:
+                    yield handed()
+        if dense:
+            for i in np.flatnonzero(whole[1, 0].any(axis=1)).tolist():
+                c, node = divmod(i, 1 << level)
+                held[c * nodes + (1 << level) + node] = whole[:, :, i]
         if held:
             yield handed()
 
-    return table.mapInArrow(run, "slot long, cell int, g long, n long")
+    return table.mapInArrow(run, "slot long, sums binary")
 
 
 def split_of(g: np.ndarray, n: np.ndarray) -> tuple[int, int, int, int] | None:
@@ -237,14 +287,11 @@ def best_splits(partial: DataFrame, width: int, n_bins: int) -> DataFrame:
     kinds = pa.schema([(c, pa.int64()) for c in ("slot", "gt", "nt", "f", "b", "gl", "nl")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}  # the cells of the nodes of this partition
+        held: dict[int, np.ndarray] = {}  # the nodes of this partition
         for batch in batches:
-            slots, cell, g, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            for s in np.unique(slots).tolist():
-                own = slots == s
-                sums = held.setdefault(s, np.zeros((2, width * n_bins), np.int64))
-                np.add.at(sums[0], cell[own], g[own])
-                np.add.at(sums[1], cell[own], n[own])
+            for slot, sums in zip(batch.column(0).to_pylist(), batch.column(1)):
+                part = np.frombuffer(sums.as_buffer(), np.int64)
+                held[slot] = held[slot] + part if slot in held else part.copy()
         out = []
         for s, sums in held.items():
             g, n = sums.reshape(2, width, n_bins)
@@ -283,10 +330,14 @@ def fit(
         return grown
     shift = scales(np.array([known[c][0] for c in names]), np.array([known[c][1] for c in names]))
     bounds = _bounds(bin_bounds(rows.where(F.col("category").isNotNull()), features, bins), names, len(features), bins)
-    table = materialize(binned(rows, features, label, names, bounds), "binned-rows")
+    table, folder = stored(binned(rows, features, label, names, bounds), "binned-rows")
     cuts = grown._replace(bound=np.zeros_like(grown.bound))  # bounds as bin numbers while growing
     nodes = 2 << depth
     for tree in range(trees):
+        if tree:
+            before = folder
+            table, folder = stored(advanced(table, cuts, tree - 1), "advanced-rows")
+            discard(spark, before)
         grown.weight[:, tree] = 1.0 if not tree else step
         for level in range(depth):
             got = best_splits(histograms(table, cuts, tree, level, bins, shift), len(features), bins).collect()

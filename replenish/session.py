@@ -73,11 +73,21 @@ def materialize(df, name: str, partition_by: str | None = None):
     Filters on ``partition_by`` prune folders. The files go when the enclosing
     ``scratch`` block or the program ends.
     """
+    return stored(df, name, partition_by)[0]
+
+
+def stored(df, name: str, partition_by: str | None = None):
+    """As ``materialize``, with the folder, for a caller that will ``discard`` it sooner."""
     spark = df.sparkSession
     path = scratch_folder(spark, name)
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of ``stored`` now; frames that read it are dead then."""
+    _remove([(spark, folder)])
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:

@@ -93,6 +93,30 @@ def test_the_same_trees_for_any_layout(rows):
         assert np.array_equal(x, y)
 
 
+def test_sums_are_exact_and_the_same_in_every_form(rows, monkeypatch):
+    g = np.array([(1 << 60) - 1, -(1 << 59) - 7, 3, -5, 1 << 33], np.int64)
+    at = np.array([0, 0, 1, 1, 2])
+    for values in (g, g % 1000):
+        total, n = boosting.exact_sums(at, boosting.in_doubles(values), 4)
+        assert total.tolist() == [int(values[:2].sum()), int(values[2:4].sum()), int(values[4]), 0] and n.tolist() == [2, 2, 1, 0]
+    whole = boosting.fit(rows, FEATURES, trees=3, depth=3)
+    monkeypatch.setattr(boosting, "HELD_NODES", 2)  # places for found nodes only, handed on early
+    few = boosting.fit(rows, FEATURES, trees=3, depth=3)
+    for x, y in zip(whole[2:], few[2:]):
+        assert np.array_equal(x, y)
+
+
+def test_a_level_descends_one_tree_and_old_rows_go(spark, rows, monkeypatch):
+    """A later tree takes the forecast so far from its rows; the rows of the tree before are deleted."""
+    import os
+
+    folders, stored = [], boosting.stored
+    monkeypatch.setattr(boosting, "stored", lambda df, name: folders.append(stored(df, name)) or folders[-1])
+    boosting.fit(rows, FEATURES, trees=3, depth=2)
+    assert [df.columns[3:] for df, _ in folders] == [[], ["sofar"], ["sofar"]]
+    assert [os.path.exists(path) for _, path in folders] == [False, False, True]
+
+
 def test_scores_are_those_of_the_trees(rows):
     forest = boosting.fit(rows, FEATURES, trees=3, depth=3)
     out = boosting.score(rows, forest).toPandas()
