@@ -8,9 +8,11 @@ Generators with high recall then propose further spans: numbers in
 any grouping (each as a phone, a card and an address) and addresses with
 written-out signs. Gradient-boosted trees (Spark ML) score them by format and
 context; per kind, a threshold calibrated to precision on held-out rows selects. The
-trees are fitted on a bounded sample of documents chosen by a hash of their id,
-with the base spans as the labelled findings and ``contrasts`` of them, and are
-then written as one expression, so scoring stays in the same pass as the patterns.
+trees are fitted on the candidates of all documents, with the base spans as the
+labelled findings and ``contrasts`` of them. What the trees see of a candidate
+is a few small numbers, so candidates that look alike are counted and learned from once,
+with their number as weight. The trees are then written as one expression, which scores
+the candidates as the patterns left them: texts are read once.
 
 Positions are code points, end exclusive. Defined results: a null text counts as
 empty; repeated rows get the same answer; ties do not arise (spans are ordered
@@ -28,7 +30,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_ids, written
+from .common import written
 
 KINDS = ("email", "ip", "card", "phone")
 # The same matches as the plain patterns, in forms that Java matches in linear time and
@@ -47,8 +49,12 @@ FOURS = r"(?<![0-9])[0-9]{4}(?:[-.\x20][0-9]{4}){3}(?![0-9])"
 CONTEXT = {"email": r"(?i)e-?mail|mail|contact|write", "ip": r"(?i)\bip\b|address|host|server|login", "card": r"(?i)card|visa|master|amex|pay|credit", "phone": r"(?i)phone|\btel|call|fax|mobil|cell|whatsapp"}
 OTHER = r"(?i)version|\bv\b|isbn|order|invoice|page|chapter|id\b|no\.|date|year|token|sha|hash"
 
-SAMPLE_DOCS = 20_000
-SAMPLE_ROWS = 4_000
+#: What the findings of a table weigh together in the training at most, and as much what is none.
+CLASS_WEIGHT = 2_000
+#: Of so many folds, one is held out for the thresholds.
+FOLDS = 5
+#: Different candidates that one training task holds, about.
+TASK_ROWS = 50_000
 ROUNDS, DEPTH = 16, 4
 PRECISION = 0.99
 FEATURES = ["kind_email", "kind_ip", "kind_card", "kind_phone", "digits", "groups", "longest", "last", "plus", "paren", "dots", "dashes", "blanks", "letters", "luhn", "octets", "named", "other", "glued"]
@@ -167,21 +173,30 @@ def features(body: Column, x: Column, kind: str) -> Column:
     return F.array(*(F.coalesce(v.cast("double"), F.lit(0.0)) for v in values))
 
 
-def labelled(docs: DataFrame, id_col: str, text_col: str, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(FEATURES, kind, label, place): candidates of a bounded sample of documents and their contrasts."""
-    usable = docs.where(F.col(id_col).isNotNull())
-    ids = usable.select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE_DOCS)
-    chosen = keep_ids(usable.select(id_col, text_col), ids, id_col, SAMPLE_DOCS)
-    found = with_candidates(with_base(chosen, text_col))
+def labelled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(FEATURES, kind, label, fold, n_good, n_none, weight): ``findings`` of all documents."""
+    return findings(with_candidates(with_base(docs.select(id_col, text_col), text_col)), id_col)
+
+
+def findings(found: DataFrame, id_col: str) -> DataFrame:
+    """The labelled candidates of all rows of ``with_candidates`` and their contrasts, a row for those that look alike.
+
+    n_good and n_none count the base spans and the others that a row stands for.
+    """
     is_base = F.lit(False)
     for k in KINDS:
         is_base = is_base | ((F.col("c.kind") == k) & F.exists(f"b_{k}", lambda b: (b["start"] == F.col("c.start")) & (b["end"] == F.col("c.end"))))
     flat = found.select(id_col, F.explode("cands").alias("c"), *(f"b_{k}" for k in KINDS))
     flat = flat.withColumn("label", F.when(is_base, 1.0).when(_none(lambda f: F.col("c.f")[FEATURES.index(f)], F.col("c.kind")), 0.0)).where("label is not null")
-    flat = flat.select(F.col("c.kind").alias("kind"), "label", F.xxhash64(F.col(id_col).cast("string"), "c.start", "c.kind").alias("place"), *(F.col("c.f")[i].alias(f) for i, f in enumerate(FEATURES)))
-    flat = written(docs.sparkSession, flat, "pii-candidates")
-    halves = [flat.where(F.col("label") == y).orderBy("place", "kind", *FEATURES).limit(rows // 2) for y in (1.0, 0.0)]
-    return contrasts(halves[0].unionByName(halves[1]))
+    fold = F.pmod(F.xxhash64(F.col(id_col).cast("string"), "c.start", "c.kind"), F.lit(FOLDS)).cast("int")
+    flat = flat.select(F.col("c.kind").alias("kind"), "label", fold.alias("fold"), *(F.col("c.f")[i].alias(f) for i, f in enumerate(FEATURES)))
+    alike = ["kind", "label", "fold", *FEATURES]
+    counted = flat.groupBy(*alike).agg(F.count_if(F.col("label") == 1).alias("n_good"), F.count_if(F.col("label") == 0).alias("n_none"))
+    counted = written(found.sparkSession, counted, "pii-candidates")
+    sums = counted.agg(F.sum("n_good"), F.sum("n_none")).first()
+    share = [min(1.0, CLASS_WEIGHT / n) if n else 1.0 for n in sums]
+    out = contrasts(counted).groupBy(*alike).agg(F.sum("n_good").alias("n_good"), F.sum("n_none").alias("n_none"))
+    return out.withColumn("weight", F.col("n_good") * share[0] + F.col("n_none") * share[1])
 
 
 def _none(f, kind: Column) -> Column:
@@ -202,31 +217,37 @@ def _none(f, kind: Column) -> Column:
 
 def contrasts(found: DataFrame) -> DataFrame:
     """The labelled candidates, and the base spans among them as they look in other formats and contexts."""
-    good = found.where("label = 1.0")
-    phones, cards = good.where("kind = 'phone'"), good.where("kind = 'card'")
-    none = {c: F.lit(0.0) for c in ("plus", "paren", "dots", "dashes", "blanks", "letters", "other", "glued")}
-    grouped = none | {"digits": F.lit(10.0), "groups": F.lit(3.0), "longest": F.lit(4.0), "last": F.lit(4.0)}
+    blank = {c: F.lit(0.0) for c in ("plus", "paren", "dots", "dashes", "blanks", "letters", "other", "glued")}
+    of = lambda **values: {c: F.lit(v) if isinstance(v, float) else v for c, v in values.items()}
+    grouped = blank | of(digits=10.0, groups=3.0, longest=4.0, last=4.0)
     # National numbers: area code in parentheses, or groups parted by dashes, dots or blanks; with or without a word that names them.
     forms = [{"paren": 2.0, "blanks": 1.0, "dashes": 1.0}, {"dashes": 2.0}, {"dots": 2.0}, {"blanks": 2.0}, {"paren": 2.0, "dashes": 1.0}]
-    national = [phones.withColumns(grouped | {c: F.lit(v) for c, v in form.items()} | {"named": F.lit(named)}) for form in forms for named in (0.0, 1.0)]
-    spaced = [cards.withColumns(none | {"digits": F.lit(16.0), "groups": F.lit(4.0), "longest": F.lit(4.0), "last": F.lit(4.0), c: F.lit(3.0), "luhn": F.lit(1.0)}) for c in ("dots", "dashes", "blanks")]
+    national = [grouped | of(**form) | of(named=named) for form in forms for named in (0.0, 1.0)]
+    spaced = [blank | of(digits=16.0, groups=4.0, longest=4.0, last=4.0, luhn=1.0, **{c: 3.0}) for c in ("dots", "dashes", "blanks")]
     # Addresses with written-out signs.
-    mails = good.where("kind = 'email'")
-    written_out = [mails.withColumns(none | {"letters": F.col("letters") + 5, "paren": F.lit(p), "dots": F.lit(d), "blanks": F.lit(b)}) for p, d, b in ((4.0, 0.0, 4.0), (0.0, 0.0, 4.0), (2.0, 1.0, 2.0), (2.0, 1.0, 0.0), (4.0, 0.0, 0.0))]
-    bare = good.where("kind = 'phone'").withColumns({c: F.lit(0.0) for c in ("plus", "paren", "dashes", "blanks", "named", "label")} | {"groups": F.lit(1.0), "longest": F.col("digits"), "last": F.col("digits")})
-    dated = good.where("kind = 'phone'").withColumns({c: F.lit(0.0) for c in ("plus", "paren", "blanks", "named", "label")} | {"digits": F.lit(8.0), "groups": F.lit(3.0), "longest": F.lit(4.0), "last": F.lit(2.0), "dashes": F.lit(2.0)})
-    unfit = good.where("kind = 'card'").withColumns({"luhn": F.lit(0.0), "label": F.lit(0.0)})
-    wide = good.where("kind = 'ip'").withColumns({"octets": F.lit(0.0), "label": F.lit(0.0)})
-    version = good.where("kind = 'ip'").withColumns({"other": F.lit(1.0), "named": F.lit(0.0), "longest": F.lit(1.0), "last": F.lit(1.0), "digits": F.lit(4.0), "label": F.lit(0.0)})
-    glued = good.where("kind <> 'email'").withColumns({"glued": F.lit(1.0), "named": F.lit(0.0), "label": F.lit(0.0)})
-    out = found
+    written_out = [blank | of(letters=F.col("letters") + 5, paren=p, dots=d, blanks=b) for p, d, b in ((4.0, 0.0, 4.0), (0.0, 0.0, 4.0), (2.0, 1.0, 2.0), (2.0, 1.0, 0.0), (4.0, 0.0, 0.0))]
+    plain = of(plus=0.0, paren=0.0, blanks=0.0, named=0.0, label=0.0)
+    bare = plain | of(dashes=0.0, groups=1.0, longest=F.col("digits"), last=F.col("digits"))
+    dated = plain | of(digits=8.0, groups=3.0, longest=4.0, last=2.0, dashes=2.0)
+    unfit, wide = of(luhn=0.0, label=0.0), of(octets=0.0, label=0.0)
+    version = of(other=1.0, named=0.0, longest=1.0, last=1.0, digits=4.0, label=0.0)
+    glued = of(glued=1.0, named=0.0, label=0.0)
     # The same spans taken for another kind are none.
-    as_kind = lambda x, kind: x.withColumns({f"kind_{k}": F.lit(float(k == kind)) for k in KINDS} | {"kind": F.lit(kind), "luhn": F.lit(0.0), "octets": F.lit(0.0), "label": F.lit(0.0)})
-    wrong = [as_kind(x, k) for x in national for k in ("card", "ip")] + [as_kind(x, k) for x in spaced for k in ("phone", "ip")]
-    for x in (*national, *spaced, *written_out, *wrong, bare, dated, unfit, wide, version, glued):
-        out = out.unionByName(x)
+    as_kind = lambda x, kind: x | of(luhn=0.0, octets=0.0, label=0.0, kind=F.lit(kind), **{f"kind_{k}": float(k == kind) for k in KINDS})
+    seen = {
+        "email": written_out,
+        "ip": [wide, version, glued],
+        "card": [*spaced, *(as_kind(x, k) for x in spaced for k in ("phone", "ip")), unfit, glued],
+        "phone": [*national, *(as_kind(x, k) for x in national for k in ("card", "ip")), bare, dated, glued],
+    }
+    columns = ["kind", "label", *FEATURES]
+    row = lambda values: F.struct(*(values.get(c, F.col(c)).alias(c) for c in columns))
+    rows = F.array(row({}))
+    for kind, forms in seen.items():
+        rows = F.when((F.col("label") == 1) & (F.col("kind") == kind), F.array(row({}), *(row(x) for x in forms))).otherwise(rows)
+    out = found.select("fold", "n_good", "n_none", F.posexplode(rows).alias("place", "x"))
     # A row made from another one is held out or learned from by itself.
-    return out.withColumn("place", F.xxhash64("place", "kind", "label", *FEATURES))
+    return out.select(F.pmod(F.col("fold") + F.col("place"), F.lit(FOLDS)).cast("int").alias("fold"), "n_good", "n_none", "x.*")
 
 
 def _tree(node, features: Column) -> Column:
@@ -252,25 +273,36 @@ class Scorer:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 3) -> Scorer | None:
-    sample = written(docs.sparkSession, labelled(docs, id_col, text_col).coalesce(1), "pii-findings")
-    learn = sample.where(F.pmod("place", F.lit(5)) != 0)
+    return fitted(labelled(docs, id_col, text_col), seed)
+
+
+def fitted(found: DataFrame, seed: int = 3) -> Scorer | None:
+    """Trees and thresholds from all ``findings``."""
+    table = written(found.sparkSession, found, "pii-findings")
+    tasks = max(1, -(-table.count() // TASK_ROWS))
+    table = table.repartition(tasks, *FEATURES).sortWithinPartitions("kind", "label", "fold", *FEATURES)
+    learn = table.where("fold <> 0")
     if learn.select("label").distinct().count() < 2:
         return None
-    boosted = GBTClassifier(maxIter=ROUNDS, maxDepth=DEPTH, stepSize=0.3, seed=seed, labelCol="label")
+    boosted = GBTClassifier(maxIter=ROUNDS, maxDepth=DEPTH, stepSize=0.3, seed=seed, labelCol="label", weightCol="weight")
     model = Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), boosted]).fit(learn).stages[-1]
     scorer = Scorer(model, {})
-    scored = sample.where(F.pmod("place", F.lit(5)) == 0).select("kind", "label", scorer.margin(F.array(*FEATURES)).alias("m")).collect()  # a fifth of the bounded sample
+    held = table.where("fold = 0").withColumn("m", scorer.margin(F.array(*FEATURES))).where("m > 0")
+    scored = held.groupBy("kind", "m").agg(F.sum(F.col("weight") * F.col("label")).alias("good"), F.sum("weight").alias("n")).collect()  # a row a value that the trees give
     for kind in KINDS:
-        scorer.thresholds[kind] = threshold([(r.m, r.label) for r in scored if r.kind == kind])
+        own = [(r.m, r.good, r.n) for r in scored if r.kind == kind]
+        least = threshold(own)
+        # If all that the trees take is precise enough, their own bound at 0 is, not just the lowest margin seen.
+        scorer.thresholds[kind] = math.ulp(0.0) if own and least == min(own)[0] else least
     return scorer
 
 
-def threshold(scored: list[tuple[float, float]]) -> float:
-    """The smallest positive margin at and above which at least PRECISION of the rows are findings."""
-    best, good, n = math.inf, 0.0, 0
+def threshold(scored: list[tuple]) -> float:
+    """The smallest positive margin at and above which at least PRECISION of the weight is of findings; rows: margin, findings, weight (1 if none)."""
+    best, good, n = math.inf, 0.0, 0.0
     ordered = sorted(scored, reverse=True)
-    for i, (margin, label) in enumerate(ordered):
-        good, n = good + label, n + 1
+    for i, (margin, label, *weight) in enumerate(ordered):
+        good, n = good + label, n + (weight[0] if weight else 1)
         last = i + 1 == len(ordered) or ordered[i + 1][0] < margin
         if last and margin > 0 and good >= PRECISION * n:
             best = margin
@@ -279,18 +311,24 @@ def threshold(scored: list[tuple[float, float]]) -> float:
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scorer: Scorer | None = None, learn: bool = True) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans): counts are of the base spans."""
-    if scorer is None and learn:
-        scorer = fit(docs, id_col, text_col)
     based = with_base(docs.select(F.col(id_col), F.col(text_col)), text_col)
+    spans = [id_col, *(f"b_{k}" for k in KINDS)]
+    if scorer is None and learn:
+        found = written(docs.sparkSession, with_candidates(based).select(*spans, "cands"), "pii-spans")
+        scorer = fitted(findings(found, id_col))
+    elif scorer is not None:
+        found = with_candidates(based)
+    else:
+        found = based
 
     def plain(kind: str) -> Column:
         return F.transform(f"b_{kind}", lambda x: F.struct(F.lit(KINDS.index(kind)).alias("k"), x["start"].alias("start"), x["end"].alias("end")))
 
     base = F.concat(*(plain(k) for k in KINDS))
     if scorer is None:
-        out = based.withColumn("base", base).withColumn("all", F.col("base"))
+        out = found.withColumn("base", base).withColumn("all", F.col("base"))
     else:
-        out = with_candidates(based).withColumn("base", base)
+        out = found.withColumn("base", base)
         known = list(scorer.thresholds.items())
 
         def selected(c: Column) -> Column:

@@ -122,6 +122,23 @@ def test_expression_equals_model(spark, sf001):
     assert all(r.m == pytest.approx(r.r) for r in rows)
 
 
+def test_trees_learn_from_every_document(spark):
+    """All labelled candidates count, also of repeated rows; those that look alike are one row."""
+    rows = [(i, f"phone: +1 (988) 555-{2000 + i} and 4111 1111 1111 1111 or version 10.2.33.4", ) for i in range(300)] * 2 + [(None, "+49 30 123 456 789")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pii.labelled(df, "doc_id", "text").collect()
+    base = [r for r in pii.find(df, learn=False).collect()]
+    own = sum(r.n_phone + r.n_card + r.n_ip for r in base)
+    assert own == 601 + 600 + 600
+    kept = pii.findings(pii.with_candidates(pii.with_base(df, "text")), "doc_id").agg(F.sum(F.col("n_good") * F.col("kind_card") * F.col("luhn") * F.col("label") * (1 - F.col("dots").cast("boolean").cast("int")))).first()[0]
+    assert kept >= 600 and len(found) < 500 and sum(r.n_none for r in found) >= 600
+    assert max(r.n_good for r in found) >= 600 / pii.FOLDS  # not a row a document
+
+
+def test_thresholds_weigh(spark):
+    assert pii.threshold([(2.0, 99.5, 100.0), (1.0, 0.0, 0.4), (0.5, 0.0, 50.0)]) == 1.0
+
+
 def test_threshold():
     assert pii.threshold([(2.0, 1.0), (1.0, 1.0), (0.5, 0.0)]) == 1.0
     assert pii.threshold([(2.0, 0.0)]) == pii.threshold([]) == float("inf")
