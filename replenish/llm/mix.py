@@ -143,17 +143,15 @@ def _near(rest: DataFrame, n: int) -> DataFrame:
     return F.broadcast(rest) if n <= PATTERN_ROWS else rest
 
 
-def _fill(open_rows: DataFrame, rest: DataFrame, n: int, ranges: int) -> DataFrame:
-    """(pattern, row) taken next of each pattern's open rows, within ``gap`` words; the gap at least halves if a row fits.
-
-    If rows of more than half the gap fit, the first of them by place goes in alone; else a
-    prefix of the fitting rows by place, so what is left is less than half the gap, or all are in.
-    """
-    fitting = open_rows.join(_near(rest, n), "pattern").where("size <= gap")
+def _big(fitting: DataFrame) -> DataFrame:
+    """(pattern, row, size): the first by place of each pattern's rows that fill more than half its gap."""
     key = F.struct("place", "id", "size", "row")
-    big = fitting.where("2 * size > gap").groupBy("pattern").agg(F.min(key).alias("big")).select("pattern", F.col("big.row").alias("row"))
-    small = fitting.join(_near(big.select("pattern"), n), "pattern", "left_anti")
-    small = small.withColumn("cell", F.floor(F.col("place") * ranges).cast("long"))
+    return fitting.where("2 * size > gap").groupBy("pattern").agg(F.min(key).alias("big")).select("pattern", "big.row", "big.size")
+
+
+def _prefix(fitting: DataFrame, ranges: int) -> DataFrame:
+    """(pattern, row, size): the rows by place whose words together stay within their pattern's gap."""
+    small = fitting.withColumn("cell", F.floor(F.col("place") * ranges).cast("long"))
     cells = small.groupBy("pattern", "gap", "cell").agg(F.sum("size").alias("words"))
     upto = F.sum("words").over(Window.partitionBy("pattern").orderBy("cell"))
     cells = cells.select("pattern", "cell", (upto - F.col("words")).alias("before"), upto.alias("after"))
@@ -161,17 +159,28 @@ def _fill(open_rows: DataFrame, rest: DataFrame, n: int, ranges: int) -> DataFra
     whole = rows.where("after <= gap")
     order = Window.partitionBy("pattern", "cell").orderBy("place", "id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
     split = rows.where("after > gap").withColumn("upto", F.col("before") + F.sum("size").over(order)).where("upto <= gap")
-    return big.unionByName(whole.select("pattern", "row")).unionByName(split.select("pattern", "row"))
+    return whole.select("pattern", "row", "size").unionByName(split.select("pattern", "row", "size"))
 
 
 def _chosen(spark, rows: DataFrame, quota: list[tuple[list, int]], ranges: int) -> DataFrame:
-    """(row) of the documents whose words come nearest to each pattern's quota: filled until nothing fits, then one more if that ends nearer."""
+    """(row) of the documents whose words come nearest to each pattern's quota: filled until nothing fits, then one more if that ends nearer.
+
+    A round at least halves each gap that a row fits. If rows of more than half the gap fit, the
+    first of them by place goes in alone, else a prefix of the fitting rows by place, so what is left is less
+    than half the gap, or all are in. Which of the two holds comes to the driver, a row a pattern, so rows only
+    ever meet the gap of their pattern.
+    """
     gaps = {tuple(p): g for p, g in quota if g > 0}
     taken: DataFrame | None = None
     open_rows = rows
-    table = lambda: spark.createDataFrame([(list(p), g) for p, g in gaps.items()], "pattern array<string>, gap long")
+    table = lambda of=None: spark.createDataFrame([(list(p), g) for p, g in gaps.items() if of is None or p in of], "pattern array<string>, gap long")
+    fitting = lambda of, n: open_rows.join(_near(of, n), "pattern").where("size <= gap")
     while gaps:
-        got = written(spark, _fill(open_rows, table(), len(gaps), ranges).join(open_rows.select("row", "size"), "row"), "taken")
+        big = {tuple(r.pattern): (r.row, r["size"]) for r in _big(fitting(table(), len(gaps))).collect()}
+        alone = spark.createDataFrame([(list(p), row, size) for p, (row, size) in big.items()], "pattern array<string>, row long, size long")
+        rest = gaps.keys() - big.keys()
+        got = alone.unionByName(_prefix(fitting(table(rest), len(rest)), ranges)) if rest else alone
+        got = written(spark, got, "taken")
         used = {tuple(r.pattern): r.words for r in got.groupBy("pattern").agg(F.sum("size").alias("words")).collect()}
         if not used:
             break

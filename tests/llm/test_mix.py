@@ -111,6 +111,17 @@ def test_few_long_documents_end_near_the_target(spark):
                 assert gap <= 600
 
 
+def test_rows_meet_only_the_gap_of_their_pattern(spark, monkeypatch):
+    """A source whose gap one document fills must not send the rows of all others through a join against it."""
+    plans, written = [], mix.written
+    monkeypatch.setattr(mix, "written", lambda s, df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or written(s, df, name))
+    rows = [(i, "w " * (3 + i % 5), "x") for i in range(200)] + [(1000 + i, "w " * n, "y") for i, n in enumerate((60, 50, 7))]
+    got = mix.mix_by_source(spark.createDataFrame(rows, "doc_id long, text string, source string"), carry=["source"]).toPandas()
+    assert not any(re.search(r"Join LeftAnti, .*pattern", x) for x in plans)
+    by = got.groupby("source").agg(target=("target", "max"), taken=("taken", "sum"))
+    assert ((by.taken - by.target).abs() <= 4).all()
+
+
 def test_many_sources(spark):
     docs = spark.range(600).selectExpr("id as doc_id", "repeat('w ', cast(1 + id % 37 as int)) as text", "cast(id % 60 as string) as source")
     got = mix.mix_by_source(docs, carry=["source"]).toPandas()
